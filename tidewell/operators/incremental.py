@@ -31,6 +31,9 @@ CURSOR_TYPES: dict[str, str] = {
 }
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
 class WatermarkError(ValueError):
     """A stored watermark that does not parse; reading everything again would hide it."""
 
@@ -144,8 +147,15 @@ def high_watermark(df: DataFrame, cursor: str) -> DataFrame:
 
 
 def high_watermark_value(df: DataFrame, cursor: str) -> Any:
-    """The scalar itself; the only value that reaches the driver."""
-    return high_watermark(df, cursor).first()[0]
+    """The scalar itself; the only value that reaches the driver.
+
+    An instant comes back as an aware UTC datetime, whatever the zone of the driver.
+    """
+    top = high_watermark(df, cursor)
+    if not isinstance(df.schema[cursor].dataType, T.TimestampType):
+        return top.first()[0]
+    micros = top.select(F.unix_micros("high_watermark")).first()[0]
+    return None if micros is None else EPOCH + timedelta(microseconds=micros)
 
 
 def choose_cursor(

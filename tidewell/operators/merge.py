@@ -1,10 +1,10 @@
 """Applying inserts, updates and deletes to a keyed table.
 
-A plain upsert or delete is an anti join: the target streams past the changed keys, which
-Catalyst broadcasts when their measured size allows and otherwise sorts and merges. Rules
-that need the old row (late guard, unchanged columns) use one full outer join. Keys are
-unique on both sides by then, so neither form can be skewed, and a target bucketed by its
-key is not shuffled.
+The target always streams past the changes: an anti join for a plain upsert or delete, a left
+join for rules that need the old row (late guard, unchanged columns). Catalyst broadcasts the
+changes when their measured size allows and otherwise sorts and merges. Keys are unique on both
+sides by then, so no join can be skewed; and the output keeps the partitioning of the target,
+so that a target bucketed by its key is neither shuffled for the join nor for the write.
 """
 
 from __future__ import annotations
@@ -82,8 +82,10 @@ class MergeRules:
     unchanged: str | None = None
 
 
-def _order_key(prefix: str, columns: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"{prefix}.{c}") for c in (CDC_TS, CDC_SEQ) if c in columns])
+def latest_changes(changes: DataFrame, rules: MergeRules) -> DataFrame:
+    """The event that decides each key; rows without a full key are left to the quarantine."""
+    usable, _ = split_null_keys(changes, list(rules.keys))
+    return dedup_last_by_key(usable, list(rules.keys))
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, rules: MergeRules) -> DataFrame:
@@ -94,40 +96,60 @@ def apply_changes(target: DataFrame, changes: DataFrame, rules: MergeRules) -> D
     event cannot revive a deleted row; readers filter on ``_cdc_op``. ``unchanged`` names an
     array column listing the columns an update did not send.
     """
+    return apply_latest(target, latest_changes(changes, rules), rules)
+
+
+def apply_latest(target: DataFrame, latest: DataFrame, rules: MergeRules) -> DataFrame:
+    """``apply_changes`` for events already reduced to one per key.
+
+    The events are used more than once: a caller whose batch is costly, or could read
+    differently the second time, writes it down first.
+    """
+    keys = list(rules.keys)
+    if rules.guard_late or rules.unchanged:
+        return _apply_with_old_rows(target, latest, rules)
+    kept = merge_delete(target, latest, keys)
+    return kept.unionByName(_stored(latest, rules), allowMissingColumns=True)
+
+
+def _stored(events: DataFrame, rules: MergeRules) -> DataFrame:
+    return events if rules.keep_tombstones else events.filter(F.col(CDC_OP) != "delete")
+
+
+def _apply_with_old_rows(target: DataFrame, latest: DataFrame, rules: MergeRules) -> DataFrame:
+    """Target rows beside their event, then the events of keys the target lacks."""
     keys = list(rules.keys)
-    usable, _ = split_null_keys(changes, keys)
-    latest = dedup_last_by_key(usable, keys)
-    if not (rules.guard_late or rules.unchanged):
-        kept = merge_delete(target, latest, keys)
-        if not rules.keep_tombstones:
-            latest = latest.filter(F.col(CDC_OP) != "delete")
-        return kept.unionByName(latest, allowMissingColumns=True)
-
-    latest = latest.withColumn("__new", F.lit(True))
-    stored = target.withColumn("__old", F.lit(True))
-    both = stored.alias("t").join(
-        latest.alias("s"), _all([F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]), "full_outer"
+    event = latest.withColumn("__hit", F.lit(True)).select(
+        *keys, F.struct("__hit", *[c for c in latest.columns if c not in keys]).alias("__s")
     )
-    take_new = F.col("__new").isNotNull()
-    if rules.guard_late:
-        order = [c for c in (CDC_TS, CDC_SEQ) if c in target.columns and c in latest.columns]
-        newer = _order_key("s", order) >= _order_key("t", order)
-        take_new = take_new & (F.col("__old").isNull() | newer)
+    both = target.join(event, keys, "left")
+    take = F.col("__s").isNotNull()
+    order = [c for c in (CDC_TS, CDC_SEQ) if c in target.columns and c in latest.columns]
+    if rules.guard_late and order:
+        newer = F.struct(*[F.col(f"__s.{c}") for c in order]) >= F.struct(*[F.col(c) for c in order])
+        take = take & newer
+    both = both.withColumn("__take", F.coalesce(take, F.lit(False)))
+    if not rules.keep_tombstones:
+        both = both.filter(~(F.col("__take") & (F.col(f"__s.{CDC_OP}") == "delete")))
 
     names = [*target.columns, *[c for c in latest.columns if c not in target.columns]]
-    names = [c for c in names if c not in ("__new", rules.unchanged)]
-    both = both.withColumn("__take", F.coalesce(take_new, F.lit(False)))
 
     def pick(name: str) -> Column:
-        old = F.col(f"t.{name}") if name in target.columns else F.lit(None)
+        if name in keys:
+            return F.col(name)
+        old = F.col(name) if name in target.columns else F.lit(None)
         if name not in latest.columns:
-            return old.alias(name)
-        new = F.col(f"s.{name}")
-        if rules.unchanged and name in target.columns and name not in keys:
-            kept = F.col("__old").isNotNull() & F.array_contains(F.col(f"s.{rules.unchanged}"), name)
-            new = F.when(F.coalesce(kept, F.lit(False)), old).otherwise(new)
-        return F.when(F.col("__take"), new).otherwise(old).alias(name)
-
-    if not rules.keep_tombstones:
-        both = both.filter(~(F.col("__take") & (F.col(f"s.{CDC_OP}") == "delete")))
-    return both.select(*[pick(c) for c in names])
+            return old
+        take_new = F.col("__take")
+        if rules.unchanged and name in target.columns:
+            not_sent = F.array_contains(F.col(f"__s.{rules.unchanged}"), name)
+            take_new = take_new & ~F.coalesce(not_sent, F.lit(False))
+        return F.when(take_new, F.col(f"__s.{name}")).otherwise(old).alias(name)
+
+    updated = both.select(*[pick(c) for c in names if c != rules.unchanged])
+    # Keys only, and with the small side on the right, so that the target is not shuffled for it.
+    known = target.select(*keys).join(latest.select(*keys), keys, "left_semi")
+    added = _stored(latest.join(known, keys, "left_anti"), rules)
+    if rules.unchanged:
+        added = added.drop(rules.unchanged)
+    return updated.unionByName(added, allowMissingColumns=True)

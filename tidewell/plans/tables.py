@@ -11,13 +11,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.model import CDC_SEQ, primary_keys
-from tidewell.operators.merge import MergeRules, apply_changes
+from tidewell.model import primary_keys
+from tidewell.operators.merge import MergeRules, apply_latest, latest_changes
 from tidewell.operators.schema import added_columns, conform, evolve_schema, with_meta_schema
 
 
@@ -75,8 +78,12 @@ class Target:
 
     def replace(self, df: DataFrame) -> None:
         """Make these rows the whole table, also when there are none."""
+        self._swap(self._laid_out(df))
+
+    def _swap(self, df: DataFrame) -> None:
+        """Write a new version and point the table at it."""
         folder, staged = self._new_folder(), f"{self.name}_{uuid.uuid4().hex[:12]}"
-        self._writer(self._laid_out(df)).option("path", folder).saveAsTable(staged)
+        self._writer(df).option("path", folder).saveAsTable(staged)
         same_layout = self.exists() and self._stored_columns(self.name) == self._stored_columns(staged)
         if same_layout:
             self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{folder}'")
@@ -100,15 +107,54 @@ class Target:
         self.spark.catalog.refreshTable(self.name)
 
     def merge(self, changes: DataFrame, rules: MergeRules | None = None) -> None:
-        """Apply change events by key."""
+        """Apply change events by key.
+
+        The batch, one event per key, is written down first. So the source is read once and
+        cannot differ between the uses of the batch, its size is known when Spark chooses the
+        join, and tasks that are lost are repeated from files.
+        """
         rules = rules or MergeRules(self.keys or tuple(primary_keys(changes.schema)))
         if not rules.keys:
             raise ValueError(f"{self.name} has no key to merge by")
-        self.ensure(changes.drop(*filter(None, [rules.unchanged])).schema, meta=False)
-        stored = self.read()
-        merged = apply_changes(stored, changes, rules)
-        wanted = evolve_schema(stored.schema, merged.schema)
-        self.replace(conform(merged, wanted, rescue=False))
+        staged = self._stage(latest_changes(changes, rules))
+        try:
+            # The batch takes the layout of the target, whose rows then stay where they are.
+            latest = self._laid_out(self.spark.read.parquet(staged))
+            self.ensure(latest.drop(*filter(None, [rules.unchanged])).schema, meta=False)
+            stored = self.read()
+            merged = apply_latest(stored, latest, rules)
+            self._swap(conform(merged, evolve_schema(stored.schema, merged.schema), rescue=False))
+        finally:
+            self._delete(staged)
+
+    def _stage(self, df: DataFrame) -> str:
+        folder = f"{self.root.rstrip('/')}/{self.name.replace('.', '/')}/batch-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return folder
+
+    def _hadoop_path(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, folder: str) -> None:
+        fs, path = self._hadoop_path(folder)
+        fs.delete(path, True)
+
+    def expire_versions(self, older_than: datetime) -> int:
+        """Delete the folders of replaced versions; returns how many.
+
+        Give a time that lies before the start of any query still reading them.
+        """
+        current = self.location().rstrip("/").rsplit("/", 1)[-1]
+        fs, folder = self._hadoop_path(f"{self.root.rstrip('/')}/{self.name.replace('.', '/')}")
+        gone = [
+            s.getPath()
+            for s in fs.listStatus(folder)
+            if s.getPath().getName().startswith("v-")
+            and s.getPath().getName() != current
+            and s.getModificationTime() < older_than.timestamp() * 1000
+        ]
+        return sum(bool(fs.delete(path, True)) for path in gone)
 
     def merge_partitions(self, changes: DataFrame, rules: MergeRules) -> None:
         """Merge that rewrites only the partitions the changes touch.
@@ -120,21 +166,24 @@ class Target:
             raise ValueError(f"{self.name} is not partitioned")
         parts = list(self.partition_by)
         stored = self.read()
-        touched = changes.select(*parts).distinct()
-        # Joining on partition columns lets Spark prune the scan at run time.
-        affected = stored.join(touched, parts, "left_semi")
-        merged = conform(apply_changes(affected, changes, rules), stored.schema, rescue=False)
-        staged = Target(self.spark, f"{self.name}_{uuid.uuid4().hex[:12]}", self.root)
-        staged.replace(merged)
-        # Written by path: insertInto would ignore the option and overwrite every partition.
-        (
-            staged.read()
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(self.location())
-        )
-        staged.drop()
+        batch = self._stage(latest_changes(changes, rules))
+        latest = self.spark.read.parquet(batch)
+        touched = [row.asDict() for row in latest.select(*parts).distinct().collect()]
+        affected = stored.filter(_any_of(touched))
+        merged = conform(apply_latest(affected, latest, rules), stored.schema, rescue=False)
+        rows = self._stage(merged)
+        try:
+            # Written by path: insertInto would ignore the option and overwrite every partition.
+            (
+                self.spark.read.schema(merged.schema).parquet(rows)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*parts)
+                .parquet(self.location())
+            )
+        finally:
+            self._delete(rows)
+            self._delete(batch)
         self.spark.catalog.recoverPartitions(self.name)
         self.spark.catalog.refreshTable(self.name)
 
@@ -143,6 +192,14 @@ class Target:
         return described.filter(F.col("col_name") == "Location").first()["data_type"]
 
 
+def _any_of(values: list[dict]) -> Column:
+    """Filter on partition values; literals prune the partitions when the scan is planned."""
+    rows = [
+        reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in row.items()]) for row in values
+    ]
+    return reduce(or_, rows, F.lit(False))
+
+
 def clustered(df: DataFrame, sort_by: Sequence[str]) -> DataFrame:
     """Rows range-partitioned and sorted, nulls last; unknown columns are skipped."""
     known = [c for c in sort_by if c in df.columns]
@@ -150,7 +207,3 @@ def clustered(df: DataFrame, sort_by: Sequence[str]) -> DataFrame:
         return df
     order = [F.col(c).asc_nulls_last() for c in known]
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def strip_sequence(df: DataFrame) -> DataFrame:
-    return df.drop(CDC_SEQ)

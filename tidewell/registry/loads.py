@@ -674,9 +674,9 @@ def append_log(spark, sf):
     return target.read().drop("_cdc_ingest_ts")
 
 
-@query()
+@query("SELECT *, 'snapshot' AS _cdc_op, 'shop' AS _cdc_source FROM orders")
 def ensure_table(spark, sf):
-    """A table made from a schema alone, then described."""
+    """A table made from a schema alone, twice, then filled."""
     target = _target(spark, "ensured")
     target.ensure(read_table(spark, sf, "orders").schema)
     target.ensure(read_table(spark, sf, "orders").schema)
@@ -684,7 +684,7 @@ def ensure_table(spark, sf):
     return target.read().drop("_cdc_ts", "_cdc_ingest_ts")
 
 
-@query()
+@query("SELECT * FROM lineitem")
 def sorted_write(spark, sf):
     target = _target(spark, "sorted", sort_by=("l_shipdate", "no_such_column"))
     target.append(read_table(spark, sf, "lineitem"))
@@ -753,12 +753,14 @@ def copy_into_load(spark, sf):
     return target.read()
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def copy_files_regex(spark, sf):
-    folder = fresh_dir(spark, "regex")
-    read_table(spark, sf, "orders").repartition(4).write.parquet(folder)
-    chosen = list_files(spark, folder, pattern=r"^part-0000[02].*\.parquet$")
-    return chosen.select("path", "length")
+    """Files chosen by a pattern on their path below the location."""
+    folder, tag = fresh_dir(spark, "regex"), _tag()
+    read_table(spark, sf, "orders").write.partitionBy("o_orderstatus").parquet(folder)
+    target, state = _target(spark, "regex"), P.StateStore(spark, folder + "-state", f"state_{tag}")
+    copy_into(spark, target, folder, state, pattern=r"^o_orderstatus=[FO]/")
+    return target.read().select("o_orderkey", "o_custkey", "o_orderdate")
 
 
 @query()

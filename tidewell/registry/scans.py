@@ -150,7 +150,7 @@ def scan_detected(spark, sf):
     orders.filter(status == "F").write.parquet(f"{folder}/f")
     orders.filter(status == "O").write.json(f"{folder}/o")
     orders.filter(~status.isin("F", "O")).write.option("header", "true").csv(f"{folder}/p")
-    rows = FS.read_detected(spark, FS.list_files(spark, folder))
+    rows, _ = FS.read_detected(spark, FS.list_files(spark, folder))
     return rows.groupBy("o_orderstatus").agg(
         F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
     )
@@ -351,6 +351,6 @@ def hudi_incremental(spark, sf):
     return TF.hudi_incremental(spark, _copy_on_write(spark, sf), COMMITS[0]).select(*LIVE_COLUMNS)
 
 
-@query()
+@query(f"WITH {SQL_LIVE} SELECT DISTINCT _hoodie_commit_time AS commit_time FROM live")
 def hudi_commits(spark, sf):
     return TF.completed_commits(TF.timeline(spark, _copy_on_write(spark, sf)))

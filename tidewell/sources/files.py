@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators.incremental import EPOCH
 from tidewell.operators.schema import union_by_name
 
 # File endings and the format each one means.
@@ -151,7 +152,8 @@ def list_files(
     """Files below a path as rows of ``path, modificationTime, length``.
 
     ``newer_than`` is exclusive. The cap keeps the oldest files, after sorting, so that the
-    next run goes on where this one stopped. A list of names wins over a pattern.
+    next run goes on where this one stopped. A list of names wins over a pattern, which is
+    matched against the part of a name below ``path``.
     """
     where = [path] if isinstance(path, str) else list(path)
     found = (
@@ -164,11 +166,13 @@ def list_files(
         found = found.filter(F.col("modificationTime") > _instant(newer_than))
     if not_after is not None:
         found = found.filter(F.col("modificationTime") <= _instant(not_after))
-    name = F.substring_index("path", "/", -1)
+    below = F.col("path")
+    for root in where:
+        below = F.substring_index(below, root.split("://", 1)[-1].rstrip("/") + "/", -1)
     if files:
-        found = found.filter(name.isin(*[f.rsplit("/", 1)[-1] for f in files]))
+        found = found.filter(below.isin(*files))
     elif pattern:
-        found = found.filter(name.rlike(pattern))
+        found = found.filter(below.rlike(pattern))
     return found if max_files is None else found.orderBy("modificationTime", "path").limit(max_files)
 
 
@@ -213,24 +217,28 @@ def read_detected(
     listing: DataFrame,
     options: FileOptions = FileOptions(),
     blob: bool = False,
-) -> DataFrame:
-    """Read the files of a listing, each in the format its name means.
+) -> tuple[DataFrame, datetime]:
+    """Rows of the files of a listing, each read in the format its name means, and the newest
+    modification time among them.
 
-    Only file names reach the driver, where any reader needs them to plan its scan.
+    Only names and times reach the driver, where any reader needs the names to plan its scan.
     """
     fmt = F.lit(options.file_format) if options.file_format else detect_format("path", blob)
-    chosen = listing.withColumn("fmt", fmt).select("fmt", "path").toLocalIterator()
+    chosen = listing.select(fmt.alias("fmt"), "path", F.unix_micros("modificationTime").alias("us"))
     by_format: dict[str, list[str]] = {}
-    for row in chosen:
+    newest = 0
+    for row in chosen.toLocalIterator():
         by_format.setdefault(row["fmt"], []).append(row["path"])
+        newest = max(newest, row["us"])
     if not by_format:
         raise FileNotFoundError("the listing holds no files")
-    return union_by_name(
+    rows = union_by_name(
         [
             with_source_file(read_files(spark, paths, f, options, recursive=False))
             for f, paths in sorted(by_format.items())
         ]
     )
+    return rows, EPOCH + timedelta(microseconds=newest)
 
 
 def new_files(listing: DataFrame, ledger: DataFrame, path: str = "path") -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.operators.incremental import high_watermark_value
 from tidewell.sources import payloads
-from tidewell.sources.dialects import DIALECTS, SOURCE_TYPES
+from tidewell.sources.dialects import DIALECTS, SOURCE_TYPES, SourceType
 from tidewell.sources.files import FileOptions, list_files, read_detected, resolve_prefix
 from tidewell.sources.jdbc import cursor_bound_query, read_database
 from tidewell.sources.table_formats import delta_snapshot, hudi_snapshot
@@ -18,57 +18,64 @@ from tidewell.sources.table_formats import delta_snapshot, hudi_snapshot
 PAYLOAD_TABLES = {"google_ads": payloads.GOOGLE_ADS, "linkedin_ads": payloads.LINKEDIN_ADS}
 
 
-@dataclass(frozen=True)
+@dataclass
 class ConfiguredSource:
     """The source a job's configuration describes."""
 
     spark: SparkSession
     config: Mapping[str, Any]
+    newest_file: dict[str, Any] = field(default_factory=dict)
+
+    @property
+    def source(self) -> SourceType:
+        source_type = self.config["source_type"]
+        if source_type not in SOURCE_TYPES:
+            raise ValueError(f"unknown source type: {source_type}")
+        return SOURCE_TYPES[source_type]
+
+    def _table_config(self, table: str) -> Mapping[str, Any]:
+        return self.config.get("tables_config", {}).get(table, {})
 
     def read(self, table: str, newer_than: Any = None) -> DataFrame:
-        return read_source(self.spark, self.config, table, newer_than)
+        """Rows of one table. ``newer_than`` limits file sources to later files.
+
+        API sources are read from the folder their raw pages were landed in, named by
+        ``connection.landing``.
+        """
+        spark, source, settings = self.spark, self.source, self._table_config(table)
+        connection = self.config.get("connection", {})
+        if source.kind == "database":
+            return read_database(
+                spark, source.dialect, connection, table, settings.get("columns"), settings, settings.get("partition")
+            )
+        if source.kind == "format":
+            options = {**connection.get("options", {}), **settings.get("options", {})}
+            return spark.read.format(connection["format"]).options(**options).load(settings.get("path"))
+        if source.kind in ("files", "blobs"):
+            options = FileOptions.from_config(connection, settings)
+            listing = list_files(spark, resolve_prefix(connection["path"], table), newer_than, max_files=options.max_files)
+            rows, newest = read_detected(spark, listing, options, blob=source.kind == "blobs")
+            self.newest_file[table] = newest
+            return rows
+        path = resolve_prefix(connection.get("path") or connection.get("landing", ""), table)
+        if source.kind == "delta":
+            return delta_snapshot(spark, path)
+        if source.kind == "hudi":
+            return hudi_snapshot(spark, path)
+        return read_landed(spark, self.config["source_type"], table, path, connection)
 
     def high_watermark(self, table: str, cursor: str, rows: DataFrame) -> Any:
-        """Maximum cursor; a database reached by JDBC computes it itself."""
-        source = SOURCE_TYPES[self.config["source_type"]]
-        settings = self.config.get("tables_config", {}).get(table, {})
+        """Maximum cursor. For files it is that of the very files ``read`` listed; a database
+        reached by JDBC computes it itself."""
+        source, settings = self.source, self._table_config(table)
+        if table in self.newest_file and cursor == source.default_cursor:
+            return self.newest_file[table]
         if source.kind != "database" or DIALECTS[source.dialect].format != "jdbc" or settings.get("query"):
             return high_watermark_value(rows, cursor)
         connection = self.config.get("connection", {})
         query = cursor_bound_query(source.dialect, table, cursor, default=connection.get("schema"))
-        return read_database(self.spark, source.dialect, connection, table, config={"query": query}).first()[0]
-
-
-def read_source(
-    spark: SparkSession, config: Mapping[str, Any], table: str, newer_than: Any = None
-) -> DataFrame:
-    """Rows of one table of a job. ``newer_than`` limits file sources to later files.
-
-    API sources are read from the folder their raw pages were landed in, named by
-    ``connection.landing``.
-    """
-    source_type = config["source_type"]
-    if source_type not in SOURCE_TYPES:
-        raise ValueError(f"unknown source type: {source_type}")
-    source = SOURCE_TYPES[source_type]
-    connection = config.get("connection", {})
-    table_config = config.get("tables_config", {}).get(table, {})
-    if source.kind == "database":
-        return read_database(
-            spark, source.dialect, connection, table, table_config.get("columns"), table_config,
-            table_config.get("partition"),
-        )
-    if source.kind in ("files", "blobs"):
-        options = FileOptions.from_config(connection, table_config)
-        folder = resolve_prefix(connection["path"], table)
-        listing = list_files(spark, folder, newer_than, max_files=options.max_files)
-        return read_detected(spark, listing, options, blob=source.kind == "blobs")
-    path = resolve_prefix(connection.get("path") or connection.get("landing", ""), table)
-    if source.kind == "delta":
-        return delta_snapshot(spark, path)
-    if source.kind == "hudi":
-        return hudi_snapshot(spark, path)
-    return read_landed(spark, source_type, table, path, connection)
+        top = read_database(self.spark, source.dialect, connection, table, config={"query": query})
+        return high_watermark_value(top, top.columns[0])
 
 
 def read_landed(

@@ -86,9 +86,12 @@ def apply_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        routed = (
-            split_by_table(batch, list(targets), source_table) if source_table else dict.fromkeys(targets, batch)
-        )
+        if source_table:
+            # Kept while its tables are written one after the other.
+            batch = only_tables(batch, list(targets), source_table).persist()
+            routed = split_by_table(batch, list(targets), source_table)
+        else:
+            routed = dict.fromkeys(targets, batch)
         for table, rows in routed.items():
             if mode == "merge":
                 targets[table].merge(rows, rules if isinstance(rules, MergeRules) else rules[table])
@@ -100,6 +103,8 @@ def apply_stream(
             targets[table].append(rows)
             if state is not None:
                 state.set_offset(f"stream:{name}", table, batch_id, "integer")
+        if source_table:
+            batch.unpersist()
 
     return (
         changes.writeStream.foreachBatch(write)
