@@ -156,3 +156,17 @@ def test_pages_do_not_overlap(spark):
     df = spark.createDataFrame([(i, i // 5) for i in range(23)], "id int, c int")
     seen = [r["id"] for k in range(0, 25, 5) for r in I.page_offset(df, "c", k, 5, "id").collect()]
     assert sorted(seen) == list(range(23))
+
+
+def test_watermarks_only_advance():
+    assert I.advances("5", 9, "integer") and not I.advances(9, 5, "integer") and not I.advances(5, 5, "integer")
+    assert not I.advances(5, None, "integer")
+    assert I.advances("2024-01-01T00:00:00+00:00", datetime(2024, 1, 2, tzinfo=timezone.utc), "timestamp")
+    early, late = "ffffffff-0000-1000-8000-000000000000", "00000000-0001-1000-8000-000000000000"
+    assert I.advances(early, late, "timeuuid") and not I.advances(late, early, "timeuuid")
+
+
+def test_high_watermark_of_timeuuids(spark):
+    early, late = "ffffffff-0000-1000-8000-000000000000", "00000000-0001-1000-8000-000000000000"
+    df = spark.createDataFrame([(early,), (late,)], "u string")
+    assert I.high_watermark_value(df, "u", "timeuuid") == late

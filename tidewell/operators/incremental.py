@@ -89,6 +89,11 @@ def timeuuid_order(col: Column | str) -> Column:
     return F.concat(F.substring(col, 16, 3), F.substring(col, 10, 4), F.substring(col, 1, 8))
 
 
+def _timeuuid_text(value: Any) -> str:
+    text = str(value)
+    return text[15:18] + text[9:13] + text[0:8]
+
+
 def cursor_value(df: DataFrame, cursor: str, cursor_type: str) -> Column:
     """The expression compared with a watermark of the given type."""
     data_type = df.schema[cursor].dataType
@@ -102,8 +107,7 @@ def cursor_value(df: DataFrame, cursor: str, cursor_type: str) -> Column:
 
 def _bound(df: DataFrame, cursor: str, value: Any, cursor_type: str) -> Column:
     if cursor_type == "timeuuid":
-        text = str(value)
-        return F.lit(text[15:18] + text[9:13] + text[0:8])
+        return F.lit(_timeuuid_text(value))
     return watermark_literal(value, cursor_type, df.schema[cursor].dataType)
 
 
@@ -141,23 +145,34 @@ def incremental_range(
     return df_lo if hi is None else df_lo.filter(col <= _bound(df, cursor, hi, cursor_type))
 
 
-def high_watermark(df: DataFrame, cursor: str) -> DataFrame:
+def high_watermark(df: DataFrame, cursor: str, cursor_type: str = "") -> DataFrame:
     """One row: the maximum cursor."""
+    if cursor_type == "timeuuid":
+        return df.agg(F.max_by(cursor, timeuuid_order(cursor)).alias("high_watermark"))
     return df.agg(F.max(cursor).alias("high_watermark"))
 
 
-def high_watermark_value(df: DataFrame, cursor: str) -> Any:
+def high_watermark_value(df: DataFrame, cursor: str, cursor_type: str = "") -> Any:
     """The scalar itself; the only value that reaches the driver.
 
     An instant comes back as an aware UTC datetime, whatever the zone of the driver.
     """
-    top = high_watermark(df, cursor)
+    top = high_watermark(df, cursor, cursor_type)
     if not isinstance(df.schema[cursor].dataType, T.TimestampType):
         return top.first()[0]
     micros = top.select(F.unix_micros("high_watermark")).first()[0]
     return None if micros is None else EPOCH + timedelta(microseconds=micros)
 
 
+def advances(lo: Any, hi: Any, cursor_type: str) -> bool:
+    """Whether a new watermark lies past the stored one."""
+    if hi is None:
+        return False
+    if cursor_type == "timeuuid":
+        return _timeuuid_text(hi) > _timeuuid_text(lo)
+    return parse_watermark(hi, cursor_type) > parse_watermark(lo, cursor_type)
+
+
 def choose_cursor(
     columns: Sequence[str],
     keys: Sequence[str] = (),

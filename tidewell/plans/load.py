@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any, Protocol
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.masking import apply_masking
 from tidewell.model import add_cdc_meta, primary_keys, target_name
-from tidewell.operators.incremental import choose_cursor, high_watermark_value, incremental_range
+from tidewell.operators.incremental import advances, choose_cursor, high_watermark_value, incremental_range
 from tidewell.operators.merge import MergeRules
+from tidewell.plans.rowlevel import merge_into, supports_row_level
 from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 from tidewell.sources.dialects import SOURCE_TYPES, default_cursor
@@ -29,7 +31,7 @@ class Source(Protocol):
 
     def read(self, table: str, newer_than: Any = None) -> DataFrame: ...
 
-    def high_watermark(self, table: str, cursor: str, rows: DataFrame) -> Any: ...
+    def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any: ...
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,8 @@ class FrameSource:
     def read(self, table: str, newer_than: Any = None) -> DataFrame:
         return self.frames[table]
 
-    def high_watermark(self, table: str, cursor: str, rows: DataFrame) -> Any:
-        return high_watermark_value(rows, cursor)
+    def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any:
+        return high_watermark_value(rows, cursor, cursor_type)
 
 
 @dataclass(frozen=True)
@@ -146,10 +148,12 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
         return metrics.get["rows"]
 
     cursor, cursor_type = job.cursor_for(table, rows)
-    hi = source.high_watermark(table, cursor, rows)
-    if hi is None and lo is not None:
-        return 0
+    hi = source.high_watermark(table, cursor, rows, cursor_type)
     lookback = job.tables_config.get(table, {}).get("lookback")
+    if lo is not None and not advances(lo, hi, cursor_type):
+        if not lookback:
+            return 0
+        hi = lo
     selected = incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
     events, metrics = observed(_events(job, table, selected))
     _write(target, events, keys)
@@ -159,7 +163,9 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
 
 
 def _write(target: Target, rows: DataFrame, keys: tuple[str, ...]) -> None:
-    if keys:
+    if keys and supports_row_level(target.spark, target.name):
+        merge_into(rows, target.name, MergeRules(keys))
+    elif keys:
         target.merge(rows, MergeRules(keys))
     else:
         target.append(rows)
@@ -173,10 +179,15 @@ def run_job(
     state: StateStore,
     keys: Mapping[str, tuple[str, ...]] | None = None,
     buckets: int = 0,
+    parallel: int = 1,
 ) -> list[LoadResult]:
-    """Load every table of a job. A table that fails does not stop the others."""
-    results = []
-    for table in job.tables:
+    """Load every table of a job. A table that fails does not stop the others.
+
+    ``parallel`` tables are loaded at a time; set ``spark.scheduler.mode=FAIR`` for them to
+    share the cluster evenly.
+    """
+
+    def load(table: str) -> LoadResult:
         started = datetime.now(timezone.utc)
         rows, status, error = 0, "success", None
         try:
@@ -185,8 +196,10 @@ def run_job(
         except Exception as exc:  # noqa: BLE001 - recorded as a failed run
             status, error = "error", str(exc)
         done = LoadResult(table, status, rows, error, started, datetime.now(timezone.utc))
-        results.append(done)
         state.add_run(
             (uuid.uuid4().hex, job.id, table, status, rows, error, started, done.finished_at, done.duration_s)
         )
-    return results
+        return done
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(load, job.tables))

@@ -7,6 +7,7 @@ only after the rows it stands for are committed.
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -58,9 +59,16 @@ def encode_offset(value: Any) -> str:
     return json.dumps(value)
 
 
+# Tables loaded at the same time write their state one after the other.
+_WRITING = threading.RLock()
+
+
 @dataclass(frozen=True)
 class StateStore:
-    """State tables of one installation, under one name prefix and folder."""
+    """State tables of one installation, under one name prefix and folder.
+
+    One driver at a time may write under a prefix.
+    """
 
     spark: SparkSession
     root: str
@@ -68,7 +76,8 @@ class StateStore:
 
     def table(self, name: str, ddl: str) -> Target:
         target = Target(self.spark, f"{self.prefix}_{name}", self.root)
-        target.ensure(T._parse_datatype_string(ddl), meta=False)
+        with _WRITING:
+            target.ensure(T._parse_datatype_string(ddl), meta=False)
         return target
 
     def watermarks(self) -> DataFrame:
@@ -87,7 +96,8 @@ class StateStore:
         target = self.table(name, ddl)
         change = self.spark.createDataFrame([row], ddl.replace(", updated_at timestamp", ""))
         change = change.withColumn("updated_at", F.current_timestamp())
-        target.replace(state_upsert(target.read(), change, keys).coalesce(1))
+        with _WRITING:
+            target.replace(state_upsert(target.read(), change, keys).coalesce(1))
 
     def set_offset(self, source: str, table: str, value: Any, cursor_type: str) -> None:
         row = (source, table, encode_offset(value), cursor_type)
@@ -95,7 +105,8 @@ class StateStore:
 
     def reset_offset(self, source: str, table: str | None = None) -> None:
         target = self.table("watermarks", WATERMARKS)
-        target.replace(reset_watermark(target.read(), source, table).coalesce(1))
+        with _WRITING:
+            target.replace(reset_watermark(target.read(), source, table).coalesce(1))
 
     def get_schema(self, source: str, table: str) -> T.StructType | None:
         row = (
@@ -116,4 +127,6 @@ class StateStore:
         return self.table("runs", RUNS).read()
 
     def add_run(self, row: tuple) -> None:
-        self.table("runs", RUNS).append(self.spark.createDataFrame([row], RUNS).coalesce(1))
+        target = self.table("runs", RUNS)
+        with _WRITING:
+            target.append(self.spark.createDataFrame([row], RUNS).coalesce(1))

@@ -64,14 +64,14 @@ class ConfiguredSource:
             return hudi_snapshot(spark, path)
         return read_landed(spark, self.config["source_type"], table, path, connection)
 
-    def high_watermark(self, table: str, cursor: str, rows: DataFrame) -> Any:
+    def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any:
         """Maximum cursor. For files it is that of the very files ``read`` listed; a database
         reached by JDBC computes it itself."""
         source, settings = self.source, self._table_config(table)
         if table in self.newest_file and cursor == source.default_cursor:
             return self.newest_file[table]
         if source.kind != "database" or DIALECTS[source.dialect].format != "jdbc" or settings.get("query"):
-            return high_watermark_value(rows, cursor)
+            return high_watermark_value(rows, cursor, cursor_type)
         connection = self.config.get("connection", {})
         query = cursor_bound_query(source.dialect, table, cursor, default=connection.get("schema"))
         top = read_database(self.spark, source.dialect, connection, table, config={"query": query})

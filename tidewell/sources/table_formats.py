@@ -120,7 +120,10 @@ def hudi_incremental(
     if until is not None:
         commits = commits.filter(F.col("commit_time") <= until)
     files = latest_files(_data_files(spark, table_path), commits)
-    rows = _read(spark, [r["path"] for r in files.toLocalIterator()], schema)
+    paths = [r["path"] for r in files.toLocalIterator()]
+    rows = _read(spark, paths, schema)
+    if not paths:
+        return rows
     if after is not None:
         rows = rows.filter(F.col(COMMIT_TIME) > after)
     return rows if until is None else rows.filter(F.col(COMMIT_TIME) <= until)
