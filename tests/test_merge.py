@@ -179,3 +179,23 @@ def test_small_batch_does_not_shuffle_the_target(spark, plan, sf):
     batch = orders.limit(10)
     text = plan(M.merge_upsert(orders, batch, ["o_orderkey"]))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_columns_missing_from_the_batch_keep_their_value(spark):
+    t = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k int, v string, n int")
+    c = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
+    expected = {1: ("a", 10), 2: ("B", 20), 3: ("c", None)}
+    assert {r["k"]: (r["v"], r["n"]) for r in M.merge_upsert(t, c, ["k"]).collect()} == expected
+    out = M.apply_changes(t, events(spark, (2, "B", "update", 1, 1), (3, "c", "insert", 1, 1)), RULES)
+    assert {r["k"]: (r["v"], r["n"]) for r in out.collect()} == expected
+
+
+def test_null_key_rows_are_all_passed_on(spark):
+    ev = events(spark, (None, "x", "insert", 1, 1), (None, "x", "insert", 1, 1), (1, "a", "insert", 1, 1), (1, "b", "update", 2, 1))
+    kept = M.latest_changes(ev, RULES, keep_null_keys=True).collect()
+    assert sorted((r["k"] or 0, r["v"]) for r in kept) == [(0, "x"), (0, "x"), (1, "b")]
+
+
+def test_hot_key_is_cut_before_the_shuffle_with_null_keys_too(spark, plan):
+    ev = events(spark, (1, "a", "insert", 1, 1))
+    assert "WindowGroupLimit" in plan(M.latest_changes(ev, RULES, keep_null_keys=True))

@@ -79,6 +79,34 @@ def test_merge_creates_updates_and_evolves(spark, tmp_path, name):
     assert left == []
 
 
+def test_drifting_batches(spark, tmp_path, name):
+    """A batch that adds a column, drops one and changes the type of a third."""
+    t = Target(spark, name, str(tmp_path), keys=("k",))
+    t.merge(stamped(frame(spark, (1, 10, "x"), (2, 20, "y"), ddl="k int, n int, gone string")))
+    t.merge(stamped(frame(spark, (2, "21", 1.5), (3, "many", 2.5), ddl="k int, n string, added double"), 5))
+    rows = {r["k"]: (r["n"], r["gone"], r["added"], r["_rescued"]) for r in t.read().collect()}
+    assert rows == {1: (10, "x", None, None), 2: (21, "y", 1.5, None), 3: (None, None, 2.5, '{"n":"many"}')}
+    t.merge(stamped(frame(spark, (3, 30), ddl="k int, n int"), 9))
+    row = t.read().filter("k = 3").first()
+    assert (row["n"], row["added"], row["_rescued"]) == (30, 2.5, None)
+
+
+def test_rows_without_key_go_to_the_quarantine(spark, tmp_path, name):
+    t = Target(spark, name, str(tmp_path), keys=("k",))
+    assert t.merge(stamped(frame(spark, (1, "a"), (None, "lost"), (None, "lost too")))) == 2
+    assert state_of(t.read()) == {1: "a"}
+    assert sorted(r["v"] for r in t.quarantine().read().collect()) == ["lost", "lost too"]
+    assert t.merge(stamped(frame(spark, (1, "b")), 5)) == 0
+
+
+def test_unchanged_columns_are_not_stored(spark, tmp_path, name):
+    t = Target(spark, name, str(tmp_path), keys=("k",))
+    rules = MergeRules(("k",), unchanged="same")
+    t.merge(stamped(frame(spark, (1, "a", []), ddl="k int, v string, same array<string>")), rules)
+    t.merge(stamped(frame(spark, (1, None, ["v"]), ddl="k int, v string, same array<string>"), 5), rules)
+    assert "same" not in t.read().columns and state_of(t.read()) == {1: "a"}
+
+
 def test_merge_without_key_raises(spark, tmp_path, name):
     with pytest.raises(ValueError, match="no key"):
         Target(spark, name, str(tmp_path)).merge(stamped(frame(spark, (1, "a"))))

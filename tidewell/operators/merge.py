@@ -17,7 +17,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.model import CDC_OP, CDC_SEQ, CDC_TS
+from tidewell.model import CDC_OP, CDC_SEQ, CDC_TS, META_COLUMNS, RESCUED, payload_columns
 from tidewell.operators.dedup import dedup_last_by_key
 
 
@@ -38,8 +38,15 @@ def merge_delete(target: DataFrame, deleted: DataFrame, keys: Sequence[str]) ->
     return target.join(deleted.select(*keys), list(keys), "left_anti").select(*target.columns)
 
 
+def carried_columns(target: DataFrame, changes: DataFrame) -> list[str]:
+    """Payload columns the batch does not have: a changed row keeps its stored value in them."""
+    return [c for c in payload_columns(target.columns) if c not in changes.columns and c != RESCUED]
+
+
 def merge_upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changed rows replace their old versions; columns new to the target are added."""
+    if carried_columns(target, changes):
+        return _apply_with_old_rows(target, changes, MergeRules(tuple(keys), keep_tombstones=True))
     return merge_delete(target, changes, keys).unionByName(changes, allowMissingColumns=True)
 
 
@@ -82,10 +89,17 @@ class MergeRules:
     unchanged: str | None = None
 
 
-def latest_changes(changes: DataFrame, rules: MergeRules) -> DataFrame:
-    """The event that decides each key; rows without a full key are left to the quarantine."""
-    usable, _ = split_null_keys(changes, list(rules.keys))
-    return dedup_last_by_key(usable, list(rules.keys))
+def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool = False) -> DataFrame:
+    """The event that decides each key.
+
+    Rows without a full key decide nothing. ``keep_null_keys`` passes them all on, so that one
+    read of the batch yields both the changes and the quarantine.
+    """
+    keys = list(rules.keys)
+    if not keep_null_keys:
+        return dedup_last_by_key(split_null_keys(changes, keys)[0], keys)
+    apart = changes.withColumn("__apart", F.when(_has_null(keys), F.monotonically_increasing_id()))
+    return dedup_last_by_key(apart, [*keys, "__apart"]).drop("__apart")
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, rules: MergeRules) -> DataFrame:
@@ -106,7 +120,7 @@ def apply_latest(target: DataFrame, latest: DataFrame, rules: MergeRules) -> Dat
     differently the second time, writes it down first.
     """
     keys = list(rules.keys)
-    if rules.guard_late or rules.unchanged:
+    if rules.guard_late or rules.unchanged or carried_columns(target, latest):
         return _apply_with_old_rows(target, latest, rules)
     kept = merge_delete(target, latest, keys)
     return kept.unionByName(_stored(latest, rules), allowMissingColumns=True)
@@ -138,6 +152,8 @@ def _apply_with_old_rows(target: DataFrame, latest: DataFrame, rules: MergeRules
         if name in keys:
             return F.col(name)
         old = F.col(name) if name in target.columns else F.lit(None)
+        if name not in latest.columns and (name in META_COLUMNS or name == RESCUED):
+            return F.when(~F.col("__take"), old).alias(name)
         if name not in latest.columns:
             return old
         take_new = F.col("__take")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.model import primary_keys
-from tidewell.operators.merge import MergeRules, apply_latest, latest_changes
-from tidewell.operators.schema import added_columns, conform, evolve_schema, with_meta_schema
+from tidewell.operators.merge import MergeRules, apply_latest, latest_changes, split_null_keys
+from tidewell.operators.schema import added_columns, conform, with_meta_schema
 
 
 @dataclass(frozen=True)
@@ -97,17 +97,33 @@ class Target:
     def _stored_columns(self, name: str) -> list[tuple[str, str]]:
         return [(f.name, f.dataType.simpleString()) for f in self.spark.table(name).schema.fields]
 
+    def _fit(self, df: DataFrame, not_stored: str | None = None) -> DataFrame:
+        """Rows in the types of the stored columns, which are never changed.
+
+        Columns the table lacks are added to it. A value that does not cast is kept as text in
+        ``_rescued``, a column that comes into being with the first such batch.
+        """
+        stored = {f.name: f for f in self.read().schema.fields}
+        wanted = T.StructType([stored.get(f.name, f) for f in df.schema.fields])
+        retyped = any(wanted[f.name].dataType != f.dataType for f in df.schema.fields)
+        fitted = conform(df, wanted, rescue=True) if retyped else df
+        self.evolve(T.StructType([f for f in fitted.schema.fields if f.name != not_stored]))
+        return fitted
+
     def append(self, df: DataFrame) -> None:
         """Add rows; columns new to the table are added to it first."""
         self.ensure(df.schema, meta=False)
-        self.evolve(df.schema)
-        rows = conform(df, self.read().schema, rescue=False)
+        rows = conform(self._fit(df), self.read().schema, rescue=False)
         clustered(rows, self.sort_by).write.insertInto(self.name)
         # A stream's batch has a session of its own; this one must list the new files too.
         self.spark.catalog.refreshTable(self.name)
 
-    def merge(self, changes: DataFrame, rules: MergeRules | None = None) -> None:
-        """Apply change events by key.
+    def quarantine(self) -> Target:
+        """Where rows without a full key go: no merge can place them."""
+        return Target(self.spark, f"{self.name}_quarantine", self.root)
+
+    def merge(self, changes: DataFrame, rules: MergeRules | None = None) -> int:
+        """Apply change events by key; returns how many rows went to the quarantine.
 
         The batch, one event per key, is written down first. So the source is read once and
         cannot differ between the uses of the batch, its size is known when Spark chooses the
@@ -116,16 +132,27 @@ class Target:
         rules = rules or MergeRules(self.keys or tuple(primary_keys(changes.schema)))
         if not rules.keys:
             raise ValueError(f"{self.name} has no key to merge by")
-        staged = self._stage(latest_changes(changes, rules))
+        batch, lost = self._stage_changes(changes, rules)
         try:
             # The batch takes the layout of the target, whose rows then stay where they are.
-            latest = self._laid_out(self.spark.read.parquet(staged))
-            self.ensure(latest.drop(*filter(None, [rules.unchanged])).schema, meta=False)
+            latest = self._laid_out(self.spark.read.parquet(batch))
+            latest, _ = split_null_keys(latest, list(rules.keys))
             stored = self.read()
             merged = apply_latest(stored, latest, rules)
-            self._swap(conform(merged, evolve_schema(stored.schema, merged.schema), rescue=False))
+            self._swap(conform(merged, stored.schema, rescue=False))
         finally:
-            self._delete(staged)
+            self._delete(batch)
+        return lost
+
+    def _stage_changes(self, changes: DataFrame, rules: MergeRules) -> tuple[str, int]:
+        """Write the deciding events down, the table made ready for them; keyless rows go aside."""
+        self.ensure(changes.drop(*filter(None, [rules.unchanged])).schema, meta=False)
+        folder = self._stage(self._fit(latest_changes(changes, rules, keep_null_keys=True), rules.unchanged))
+        keyless = split_null_keys(self.spark.read.parquet(folder), list(rules.keys))[1]
+        lost = keyless.count()
+        if lost:
+            self.quarantine().append(keyless)
+        return folder, lost
 
     def _stage(self, df: DataFrame) -> str:
         folder = f"{self.root.rstrip('/')}/{self.name.replace('.', '/')}/batch-{uuid.uuid4().hex}"
@@ -156,7 +183,7 @@ class Target:
         ]
         return sum(bool(fs.delete(path, True)) for path in gone)
 
-    def merge_partitions(self, changes: DataFrame, rules: MergeRules) -> None:
+    def merge_partitions(self, changes: DataFrame, rules: MergeRules) -> int:
         """Merge that rewrites only the partitions the changes touch.
 
         Right only where the partition columns follow from the key, so that a row cannot
@@ -165,9 +192,9 @@ class Target:
         if not self.partition_by:
             raise ValueError(f"{self.name} is not partitioned")
         parts = list(self.partition_by)
+        batch, lost = self._stage_changes(changes, rules)
+        latest, _ = split_null_keys(self.spark.read.parquet(batch), list(rules.keys))
         stored = self.read()
-        batch = self._stage(latest_changes(changes, rules))
-        latest = self.spark.read.parquet(batch)
         touched = [row.asDict() for row in latest.select(*parts).distinct().collect()]
         affected = stored.filter(_any_of(touched))
         merged = conform(apply_latest(affected, latest, rules), stored.schema, rescue=False)
@@ -186,6 +213,7 @@ class Target:
             self._delete(batch)
         self.spark.catalog.recoverPartitions(self.name)
         self.spark.catalog.refreshTable(self.name)
+        return lost
 
     def location(self) -> str:
         described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}")

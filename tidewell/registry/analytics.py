@@ -173,17 +173,17 @@ def worker_status(spark, sf):
     """State of one worker per event type and user."""
     events = read_table(spark, sf, "events")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    newest = events.agg(F.max(seconds).alias("newest"))
+    newest = events.agg(F.max(seconds).alias("newest")).scalar()
     broken = F.max("value") > 99
     per_worker = events.groupBy("event_type", "user_id").agg(
         F.max(seconds).alias("seen"),
         F.count(F.when(F.col("value") > 80, 1)).alias("error_count"),
         F.when(broken, "error").otherwise("running").alias("state"),
     )
-    return per_worker.join(F.broadcast(newest)).select(
+    return per_worker.select(
         F.col("event_type").alias("source"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("table"),
-        (F.col("newest") - F.col("seen")).alias("lag_seconds"),
+        (newest - F.col("seen")).alias("lag_seconds"),
         "error_count",
         "state",
         F.when(

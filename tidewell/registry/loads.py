@@ -265,11 +265,11 @@ moves AS (
 )
 def merge_pk_change(spark, sf):
     """The last event of every user moves that customer to a new key."""
-    top = read_table(spark, sf, "customer").agg(F.max("c_custkey").alias("top"))
+    top = read_table(spark, sf, "customer").agg(F.max("c_custkey")).scalar()
     events = read_table(spark, sf, "events")
     last = dedup_last_by_key(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
-    moves = last.join(F.broadcast(top)).select(
-        (F.col("event_id") + F.col("top") + 1).alias("c_custkey"),
+    moves = last.select(
+        (F.col("event_id") + top + 1).alias("c_custkey"),
         F.col("event_type").alias("c_mktsegment"),
         F.col("value").alias("c_acctbal"),
         F.lit("update").alias(CDC_OP),
@@ -289,16 +289,15 @@ def merge_pk_change(spark, sf):
     UNION ALL SELECT new_key, event_type, value FROM moves"""
 )
 def merge_images(spark, sf):
-    top = read_table(spark, sf, "customer").agg(F.max("c_custkey").alias("top"))
+    top = read_table(spark, sf, "customer").agg(F.max("c_custkey")).scalar()
     events = read_table(spark, sf, "events")
     last = dedup_last_by_key(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
-    moves = last.join(F.broadcast(top))
-    after = moves.select(
-        (F.col("event_id") + F.col("top") + 1).alias("c_custkey"),
+    after = last.select(
+        (F.col("event_id") + top + 1).alias("c_custkey"),
         F.col("event_type").alias("c_mktsegment"),
         F.col("value").alias("c_acctbal"),
     )
-    before = moves.select(F.col("user_id").alias("c_custkey"))
+    before = last.select(F.col("user_id").alias("c_custkey"))
     return M.merge_images(customer_target(spark, sf), before, after, CUSTOMER_KEY)
 
 
@@ -340,9 +339,10 @@ def merge_late_guard(spark, sf):
     """Stored rows carry the time of the 95th percentile event: earlier changes are late."""
     events = read_table(spark, sf, "events")
     stamp = events.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY unix_micros(cast(ts AS timestamp)))").alias("us"))
-    at = stamp.select(F.timestamp_micros(F.col("us").cast("bigint")).cast("timestamp_ntz").alias(CDC_TS))
-    target = customer_target(spark, sf).withColumn(CDC_OP, F.lit("insert")).join(F.broadcast(at))
-    target = target.withColumn(CDC_SEQ, F.lit(-1).cast("bigint"))
+    at = stamp.select(F.timestamp_micros(F.col("us").cast("bigint")).cast("timestamp_ntz")).scalar()
+    target = customer_target(spark, sf).withColumns(
+        {CDC_OP: F.lit("insert"), CDC_TS: at, CDC_SEQ: F.lit(-1).cast("bigint")}
+    )
     rules = M.MergeRules(("c_custkey",), guard_late=True)
     return M.apply_changes(target, customer_changes(spark, sf), rules)
 
@@ -363,6 +363,7 @@ def merge_idempotent(spark, sf):
     FROM lineitem WHERE l_returnflag = 'R'"""
 )
 def null_key_quarantine(spark, sf):
+    """Rows whose key has a null part, kept apart by the merge."""
     broken = read_table(spark, sf, "lineitem").withColumn(
         "l_orderkey", F.when(F.col("l_returnflag") != "R", F.col("l_orderkey"))
     )

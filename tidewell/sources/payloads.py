@@ -369,20 +369,14 @@ def manager_gate(metrics: DataFrame, accounts: DataFrame, clients: DataFrame, cu
     """Metrics of the account to report on.
 
     An ordinary account reports for itself. A manager account reports for its first enabled
-    client that is no manager, and for nobody when there is none. The choice is one row, so
-    joining it is a filter.
+    client that is no manager, and for nobody when there is none.
     """
-    manager = accounts.filter(F.col("customer_id") == customer_id).agg(
-        F.coalesce(F.max("manager"), F.lit(False)).alias("is_manager")
-    )
-    first = clients.filter(~F.col("manager") & (F.col("status") == "ENABLED")).agg(
-        F.min_by("customer_id", "position").alias("first_client")
-    )
-    own = F.lit(customer_id).cast(metrics.schema["customer_id"].dataType)
-    chosen = manager.join(F.broadcast(first)).select(
-        F.when(F.col("is_manager"), F.col("first_client")).otherwise(own).alias("customer_id")
-    )
-    return metrics.join(F.broadcast(chosen), "customer_id", "left_semi")
+    kind = metrics.schema["customer_id"].dataType
+    managers = accounts.filter((F.col("customer_id") == customer_id) & F.col("manager"))
+    is_manager = managers.agg((F.count(F.lit(1)) > 0).alias("m")).scalar()
+    usable = clients.filter(~F.col("manager") & (F.col("status") == "ENABLED"))
+    first = usable.agg(F.min_by("customer_id", "position").cast(kind).alias("c")).scalar()
+    return metrics.filter(F.col("customer_id") == F.when(is_manager, first).otherwise(F.lit(customer_id).cast(kind)))
 
 
 def salesforce_records(raw: DataFrame, binary_fields: Sequence[str] = ()) -> DataFrame:
