@@ -107,6 +107,15 @@ def test_unchanged_columns_are_not_stored(spark, tmp_path, name):
     assert "same" not in t.read().columns and state_of(t.read()) == {1: "a"}
 
 
+def test_moved_keys(spark, tmp_path, name):
+    t = Target(spark, name, str(tmp_path), keys=("k",))
+    rules = MergeRules(("k",), before="before")
+    ddl = "k int, v string, before struct<k:int>"
+    t.merge(stamped(frame(spark, (1, "a", None), (2, "b", (2,)), ddl=ddl)), rules)
+    t.merge(stamped(frame(spark, (9, "moved", (1,)), ddl=ddl), 5), rules)
+    assert "before" not in t.read().columns and state_of(t.read()) == {2: "b", 9: "moved"}
+
+
 def test_merge_without_key_raises(spark, tmp_path, name):
     with pytest.raises(ValueError, match="no key"):
         Target(spark, name, str(tmp_path)).merge(stamped(frame(spark, (1, "a"))))

@@ -10,10 +10,19 @@ FIRST_DATE_MILLIS = -62_135_596_800_000
 LAST_DATE_MILLIS = 253_402_300_799_999
 
 
+WHOLE_NUMBER = r"^[\s\p{Cntrl}]*[+-]?\d+[\s\p{Cntrl}]*$"
+
+
+def try_whole(text: Column, type_name: str = "bigint") -> Column:
+    """Whole number of a text, else null. Text that cannot be one is not cast at all: Spark
+    raises and drops an error for every value that fails ``try_cast``."""
+    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast(type_name))
+
+
 def urn_id(urn: Column | str) -> Column:
     """Number after the last colon of a URN; null where that is no number."""
     urn = F.col(urn) if isinstance(urn, str) else urn
-    return F.substring_index(urn, ":", -1).try_cast("bigint")
+    return try_whole(F.substring_index(urn, ":", -1))
 
 
 def ms_to_date(millis: Column | str) -> Column:

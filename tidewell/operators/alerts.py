@@ -128,11 +128,15 @@ def alert_cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, cooldown: in
         .select(*k, F.col("origin").alias("t"), "nxt")
     )
 
-    fired = cells.filter("opens").select(*k, F.col("first").alias("t"))
-    jumps = materialize(jumps)
+    # levels[n] jumps 2**n members ahead.
+    jumps, levels = materialize(jumps), []
     while not jumps.isEmpty():
-        reached = fired.join(jumps, [*k, "t"]).select(*k, F.col("nxt").alias("t"))
-        fired = materialize(fired.unionByName(reached))
+        levels.append(jumps)
         further = jumps.select(*k, F.col("t").alias("nxt"), F.col("nxt").alias("nxt2"))
         jumps = materialize(jumps.join(further, [*k, "nxt"]).select(*k, "t", F.col("nxt2").alias("nxt")))
+
+    fired = cells.filter("opens").select(*k, F.col("first").alias("t"))
+    for jump in levels:
+        both = F.array_compact(F.array("t", "nxt"))
+        fired = fired.join(jump, [*k, "t"], "left").select(*k, F.explode(both).alias("t"))
     return fired.select(*k, F.col("t").alias(ts))

@@ -81,12 +81,20 @@ def expand_key_changes(events: DataFrame, keys: Sequence[str], before: str = "be
 
 @dataclass(frozen=True)
 class MergeRules:
-    """What to do beyond replacing a row by its newer version."""
+    """What to do beyond replacing a row by its newer version.
+
+    ``guard_late`` keeps a stored row whose ``_cdc_ts`` (then ``_cdc_seq``) is later than
+    the event. ``keep_tombstones`` stores deletes instead of dropping them, so that a late
+    event cannot revive a deleted row; readers filter on ``_cdc_op``. ``unchanged`` names an
+    array column listing the columns an update did not send, ``before`` a struct column with
+    the key an update moved away from.
+    """
 
     keys: tuple[str, ...]
     guard_late: bool = False
     keep_tombstones: bool = False
     unchanged: str | None = None
+    before: str | None = None
 
 
 def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool = False) -> DataFrame:
@@ -96,6 +104,8 @@ def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool =
     read of the batch yields both the changes and the quarantine.
     """
     keys = list(rules.keys)
+    if rules.before:
+        changes = expand_key_changes(changes, keys, rules.before).drop(rules.before)
     if not keep_null_keys:
         return dedup_last_by_key(split_null_keys(changes, keys)[0], keys)
     apart = changes.withColumn("__apart", F.when(_has_null(keys), F.monotonically_increasing_id()))
@@ -103,13 +113,7 @@ def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool =
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, rules: MergeRules) -> DataFrame:
-    """Target after a batch of change events, the last event of each key winning.
-
-    ``guard_late`` keeps a stored row whose ``_cdc_ts`` (then ``_cdc_seq``) is later than
-    the event. ``keep_tombstones`` stores deletes instead of dropping them, so that a late
-    event cannot revive a deleted row; readers filter on ``_cdc_op``. ``unchanged`` names an
-    array column listing the columns an update did not send.
-    """
+    """Target after a batch of change events, the last event of each key winning."""
     return apply_latest(target, latest_changes(changes, rules), rules)
 
 

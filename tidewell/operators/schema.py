@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions.scalars import try_whole
 from tidewell.model import META_COLUMNS, RESCUED, map_expr
 
 # Inferred types from widest to narrowest.
@@ -124,20 +125,24 @@ def conform(df: DataFrame, schema: T.StructType, rescue: bool = True) -> DataFra
     in ``_rescued`` instead of changing the type of the column.
     """
     present = {f.name: f.dataType for f in df.schema.fields}
-    columns, failures = [], []
+    columns, failures, lost_any = [], [], F.lit(False)
     for f in schema.fields:
         if f.name not in present:
             columns.append(F.lit(None).cast(f.dataType).alias(f.name))
         elif present[f.name] == f.dataType:
             columns.append(F.col(f.name))
         else:
-            cast = F.col(f.name).try_cast(f.dataType)
+            whole = isinstance(present[f.name], T.StringType) and isinstance(f.dataType, T.IntegralType)
+            cast = (
+                try_whole(F.col(f.name), f.dataType.simpleString()) if whole else F.col(f.name).try_cast(f.dataType)
+            )
             columns.append(cast.alias(f.name))
             lost = F.col(f.name).isNotNull() & cast.isNull()
             failures.append(F.when(lost, F.col(f.name).cast("string")).alias(f.name))
+            lost_any = lost_any | lost
     if rescue:
         text = F.to_json(F.struct(*failures)) if failures else F.lit(None).cast("string")
-        columns.append(F.when(text != "{}", text).alias(RESCUED))
+        columns.append(F.when(lost_any, text).alias(RESCUED))
     return df.select(*columns)
 
 

@@ -277,9 +277,8 @@ def merge_pk_change(spark, sf):
         F.col("event_id").alias(CDC_SEQ),
         F.struct(F.col("user_id").alias("c_custkey")).alias("before"),
     )
-    changes = M.expand_key_changes(moves, CUSTOMER_KEY).drop("before")
     target = customer_target(spark, sf)
-    return M.apply_changes(target, changes, M.MergeRules(("c_custkey",))).select(*target.columns)
+    return M.apply_changes(target, moves, M.MergeRules(("c_custkey",), before="before")).select(*target.columns)
 
 
 @query(

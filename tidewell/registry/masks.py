@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.functions.masking import PSEUDONYMS, apply_masking, mask_column
-from tidewell.registry.base import query
+from tidewell.registry.base import ORACLES, query
 from tidewell.registry.inputs import SQL_PEOPLE, people
 
 
@@ -127,3 +127,36 @@ RULES = {
 )
 def mask_ruleset(spark, sf):
     return apply_masking(people(spark, sf), "crm.people", RULES)
+
+
+EVERY_FUNCTION = {
+    "email": ("redact", "hash_sha256", "hash_md5", "mask", "nullify", "tokenize", "mask_email"),
+    "phone": ("mask_phone",),
+    "ssn": ("mask_ssn",),
+    "card": ("mask_card",),
+    "ip": ("mask_ip",),
+    "name": ("mask_name",),
+}
+
+
+def _expression(sql):
+    """The expression inside ``_sql``'s text."""
+    return sql.split("SELECT id, ", 1)[1].rsplit(" AS masked FROM people", 1)[0]
+
+
+@query(
+    f"""WITH {SQL_PEOPLE}
+    SELECT id, CASE WHEN email IS NOT NULL THEN '[REDACTED]' END AS redact, sha256(email) AS hash_sha256,
+      md5(email) AS hash_md5, CASE WHEN email IS NOT NULL THEN '***' END AS mask, CAST(NULL AS VARCHAR) AS nullify,
+      'tok_' || substr(sha256(email), 1, 16) AS tokenize, {_expression(ORACLES["mask_email"])} AS mask_email,
+      {_expression(ORACLES["mask_phone"])} AS mask_phone, {_expression(ORACLES["mask_ssn"])} AS mask_ssn,
+      {_expression(ORACLES["mask_card"])} AS mask_card, {_expression(ORACLES["mask_ip"])} AS mask_ip,
+      {_expression(ORACLES["mask_name"])} AS mask_name
+    FROM people"""
+)
+def mask_all_functions(spark, sf):
+    """All twelve functions in one projection."""
+    df = people(spark, sf)
+    return df.select(
+        "id", *[mask_column(fn, F.col(c)).alias(fn) for c, fns in EVERY_FUNCTION.items() for fn in fns]
+    )
