@@ -61,7 +61,10 @@ def test_json_shapes(spark, folder):
     put(folder / "pretty" / "a.json", '[\n {"a": 1},\n {"a": 2}\n]')
     read = lambda n, **o: FS.read_files(spark, str(folder / n), "json", FS.FileOptions(**o)).count()
     assert (read("one"), read("array")) == (1, 2)
-    assert FS.read_files(spark, str(folder / "lines"), "json").filter("a IS NOT NULL").count() == 3
+    assert read("lines") == 3
+    put(folder / "broken" / "a.json", '{"a": 1}\n{oops\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        FS.read_files(spark, str(folder / "broken"), "json", schema="a int").collect()
     assert read("pretty", json_document=True) == 2
 
 
@@ -133,3 +136,26 @@ def test_projection_reaches_the_scan(spark, sf, plan):
     assert "ReadSchema: struct<l_orderkey:bigint>" in text and "GreaterThan(l_orderkey,5)" in text
 
 
+
+
+def test_large_csv_is_split_unless_quotes_hold_breaks(spark, folder, monkeypatch):
+    monkeypatch.setattr(FS, "_split_bytes", lambda s: 1000)
+    plain = "id,v\n" + "".join(f'{i},"x ""{i}"""\n' for i in range(200))
+    put(folder / "plain" / "a.csv", plain)
+    put(folder / "broken" / "a.csv", plain + '999,"two\nlines"\n')
+    put(folder / "small" / "a.csv", "id,v\n1,x\n")
+    for name, expected in (("plain", False), ("broken", True), ("small", True)):
+        assert FS._breaks_in_quotes(spark, [str(folder / name)]) is expected
+    assert FS.read_files(spark, str(folder / "plain"), "csv").count() == 200
+    rows = FS.read_files(spark, str(folder / "broken"), "csv")
+    assert rows.count() == 201 and rows.filter("id = '999'").first()["v"] == "two\nlines"
+
+
+@pytest.mark.parametrize("text,size", [("134217728", 1 << 27), ("128MB", 1 << 27), ("64k", 1 << 16), ("134217728b", 1 << 27)])
+def test_split_bytes(spark, text, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", text)
+    try:
+        assert FS._split_bytes(spark) == size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -36,21 +36,26 @@ def json_fields(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
     )
 
 
+def _rank() -> Column:
+    """Place of a type among the widening order, as a number: aggregates over it stay in hash
+    tables, where text would have to be sorted."""
+    return F.array_position(F.array(*[F.lit(t) for t in WIDENING]), F.col("data_type")).cast("int")
+
+
+def _type_of_rank(rank: str) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in WIDENING]), F.col(rank)).alias("data_type")
+
+
 def infer_widest(df: DataFrame, json_col: str) -> DataFrame:
     """Union of keys with the widest type each one takes. Order-free, combined map-side."""
-    ranked = json_fields(df, json_col).withColumn(
-        "rank", F.array_position(F.array(*[F.lit(t) for t in WIDENING]), F.col("data_type"))
-    )
-    widest = ranked.groupBy("column_name").agg(F.min("rank").cast("int").alias("rank"))
-    return widest.select(
-        "column_name", F.element_at(F.array(*[F.lit(t) for t in WIDENING]), F.col("rank")).alias("data_type")
-    )
+    ranked = json_fields(df, json_col).groupBy("column_name").agg(F.min(_rank()).alias("rank"))
+    return ranked.select("column_name", _type_of_rank("rank"))
 
 
 def infer_first(df: DataFrame, json_col: str, ordinal: str) -> DataFrame:
     """Union of keys; the first document that has a key decides its type."""
-    fields = json_fields(df, json_col, ordinal)
-    return fields.groupBy("column_name").agg(F.min_by("data_type", ordinal).alias("data_type"))
+    ranked = json_fields(df, json_col, ordinal).groupBy("column_name").agg(F.min_by(_rank(), ordinal).alias("rank"))
+    return ranked.select("column_name", _type_of_rank("rank"))
 
 
 def infer_document(df: DataFrame, json_col: str, ordinal: str, key: str = "_id") -> DataFrame:

@@ -22,14 +22,15 @@ from tidewell.plans.tables import Target
 from tidewell.sources.dialects import SOURCE_TYPES, default_cursor
 
 # Load modes; the last two replace the target.
-LOAD_MODES = ("incremental", "full", "ctas", "full_replace")
+REPLACING = ("ctas", "full_replace")
+LOAD_MODES = ("incremental", "full", *REPLACING)
 FULL_DONE = "full:done"
 
 
 class Source(Protocol):
     """What a load reads from."""
 
-    def read(self, table: str, newer_than: Any = None) -> DataFrame: ...
+    def read(self, table: str, newer_than: Any = None) -> DataFrame | None: ...
 
     def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any: ...
 
@@ -136,6 +137,11 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
     lo = state.get_offset(job.id, table) if job.load_mode == "incremental" else None
     lo = None if lo == FULL_DONE else lo
     rows = source.read(table, newer_than=lo)
+    if rows is None:
+        if job.load_mode in REPLACING and target.exists():
+            target.replace(target.read().limit(0))
+        return 0
+    state.note_schema(job.id, table, rows.schema)
     keys = target.keys or tuple(job.tables_config.get(table, {}).get("primary_key", ()))
     keys = keys or tuple(primary_keys(rows.schema))
     if job.load_mode != "incremental":

@@ -120,6 +120,13 @@ class StateStore:
     def set_schema(self, source: str, table: str, schema: T.StructType) -> None:
         self._upsert("schemas", SCHEMAS, (source, table, schema.json()), ("source_name", "source_table"))
 
+    def note_schema(self, source: str, table: str, schema: T.StructType) -> bool:
+        """Remember the schema a table was last read with; true when it is not the one before."""
+        changed = self.get_schema(source, table) != schema
+        if changed:
+            self.set_schema(source, table, schema)
+        return changed
+
     def ledger(self) -> Target:
         return self.table("ledger", LEDGER)
 

@@ -65,14 +65,14 @@ class FileOptions:
     """Reader options of one table: connection defaults overlaid by its own settings.
 
     ``csv_multiline`` allows line breaks inside quotes, for which a file must be read by one
-    task; switch it off where the producer writes none. ``csv_empty_text`` reads an empty
+    task; left open, it is decided by a look at the files. ``csv_empty_text`` reads an empty
     field as empty text instead of null.
     """
 
     file_format: str | None = None
     csv_delimiter: str = ","
     csv_has_header: bool = True
-    csv_multiline: bool = True
+    csv_multiline: bool | None = None
     csv_empty_text: bool = False
     json_document: bool = False
     max_files: int | None = None
@@ -87,7 +87,7 @@ class FileOptions:
             file_format=merged.get("file_format"),
             csv_delimiter=merged.get("csv_delimiter", ","),
             csv_has_header=_flag(merged, "csv_has_header", True),
-            csv_multiline=_flag(merged, "csv_multiline", True),
+            csv_multiline=_flag(merged, "csv_multiline", True) if "csv_multiline" in merged else None,
             csv_empty_text=_flag(merged, "csv_empty_text", False),
             json_document=_flag(merged, "json_document", False),
             max_files=int(cap) if cap else None,
@@ -122,16 +122,21 @@ def read_files(
     if fmt == "avro":
         return reader.format("avro").load(where)
     if fmt in ("json", "ndjson", "jsonl"):
+        # A line that is no JSON fails the load; by default Spark would read it as nulls.
+        reader = reader.option("mode", reader_options.get("mode", "FAILFAST"))
         if fmt == "json" and options.json_document:
             reader = reader.option("multiLine", "true")
         return reader.json(where)
     if fmt != "csv":
         raise ValueError(f"unsupported file format: {fmt}")
+    multiline = options.csv_multiline
+    if multiline is None:
+        multiline = _breaks_in_quotes(spark, where)
     # Values stay text; typing them is the job of conform(). A quote is escaped by doubling it.
     reader = reader.options(
         sep=options.csv_delimiter,
         header=str(options.csv_has_header).lower(),
-        multiLine=str(options.csv_multiline).lower(),
+        multiLine=str(multiline).lower(),
         escape='"',
     )
     rows = reader.csv(where)
@@ -140,6 +145,26 @@ def read_files(
     return rows.fillna("") if options.csv_empty_text else rows
 
 
+def _breaks_in_quotes(spark: SparkSession, where: Sequence[str]) -> bool:
+    """Whether CSV files may hold line breaks inside quotes.
+
+    Files too small to be split are read whole by one task in any case, so nothing is lost by
+    allowing for it. Of larger ones the lines are searched, in parallel: a record that goes on
+    in the next line leaves an odd number of quotes on this one.
+    """
+    if list_files(spark, where).filter(F.col("length") > _split_bytes(spark)).isEmpty():
+        return True
+    lines = spark.read.option("recursiveFileLookup", "true").text(list(where))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    return int(size[:-1]) << units[size[-1]] if size[-1] in units else int(size)
+
+
 def list_files(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -217,9 +242,9 @@ def read_detected(
     listing: DataFrame,
     options: FileOptions = FileOptions(),
     blob: bool = False,
-) -> tuple[DataFrame, datetime]:
+) -> tuple[DataFrame | None, datetime]:
     """Rows of the files of a listing, each read in the format its name means, and the newest
-    modification time among them.
+    modification time among them. No files give no rows, and so no frame.
 
     Only names and times reach the driver, where any reader needs the names to plan its scan.
     """
@@ -231,7 +256,7 @@ def read_detected(
         by_format.setdefault(row["fmt"], []).append(row["path"])
         newest = max(newest, row["us"])
     if not by_format:
-        raise FileNotFoundError("the listing holds no files")
+        return None, EPOCH
     rows = union_by_name(
         [
             with_source_file(read_files(spark, paths, f, options, recursive=False))

@@ -36,8 +36,9 @@ class ConfiguredSource:
     def _table_config(self, table: str) -> Mapping[str, Any]:
         return self.config.get("tables_config", {}).get(table, {})
 
-    def read(self, table: str, newer_than: Any = None) -> DataFrame:
-        """Rows of one table. ``newer_than`` limits file sources to later files.
+    def read(self, table: str, newer_than: Any = None) -> DataFrame | None:
+        """Rows of one table. ``newer_than`` limits file sources to later files; None where
+        there are no files.
 
         API sources are read from the folder their raw pages were landed in, named by
         ``connection.landing``.
