@@ -191,6 +191,15 @@ def test_schemas_round_trip(spark, state):
     assert state.get_schema("s", "t") == schema and state.get_schema("s", "u") is None
 
 
+def test_jobs_keep_their_creation_time(state):
+    state.put_job("j", "first", {"a": 1})
+    created = state.jobs().first()["created_at"]
+    state.put_job("j", "second", {"a": 2}, enabled=False)
+    row = state.jobs().collect()
+    assert len(row) == 1 and (row[0]["name"], row[0]["enabled"], row[0]["created_at"]) == ("second", False, created)
+    assert row[0]["updated_at"] > created
+
+
 def test_upsert_keeps_created(spark):
     ddl = "id int, v string, created int"
     out = state_upsert(frame(spark, (1, "a", 10), ddl=ddl), frame(spark, (1, "b", 20), (2, "c", 20), ddl=ddl), ["id"], "created")

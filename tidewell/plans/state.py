@@ -127,6 +127,19 @@ class StateStore:
             self.set_schema(source, table, schema)
         return changed
 
+    def put_job(self, job_id: str, name: str, config: dict, enabled: bool = True) -> None:
+        """Insert or replace a job; the time it was created stays."""
+        target = self.table("jobs", JOBS)
+        row = (job_id, name, json.dumps(config), enabled)
+        change = self.spark.createDataFrame([row], "id string, name string, config_json string, enabled boolean")
+        now = F.current_timestamp()
+        change = change.withColumns({"created_at": now, "updated_at": now})
+        with _WRITING:
+            target.replace(state_upsert(target.read(), change, ["id"], created="created_at").coalesce(1))
+
+    def jobs(self) -> DataFrame:
+        return self.table("jobs", JOBS).read()
+
     def ledger(self) -> Target:
         return self.table("ledger", LEDGER)
 

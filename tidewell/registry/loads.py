@@ -322,7 +322,7 @@ def merge_unchanged_cols(spark, sf):
 SQL_STORED = """
 stored AS (
   SELECT c_custkey, c_mktsegment, c_acctbal, 'insert' AS _cdc_op, t.ts AS _cdc_ts, CAST(-1 AS BIGINT) AS _cdc_seq
-  FROM target, (SELECT quantile_disc(ts, 0.95) AS ts FROM events) t)
+  FROM target, (SELECT max(ts) - INTERVAL 36 HOUR AS ts FROM events) t)
 """
 
 
@@ -335,10 +335,9 @@ stored AS (
     WHERE l.c_custkey IS NULL OR l._cdc_ts < s._cdc_ts"""
 )
 def merge_late_guard(spark, sf):
-    """Stored rows carry the time of the 95th percentile event: earlier changes are late."""
-    events = read_table(spark, sf, "events")
-    stamp = events.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY unix_micros(cast(ts AS timestamp)))").alias("us"))
-    at = stamp.select(F.timestamp_micros(F.col("us").cast("bigint")).cast("timestamp_ntz")).scalar()
+    """Stored rows carry a time 36 hours before the last event: earlier changes are late."""
+    newest = read_table(spark, sf, "events").agg(F.max("ts").alias("ts"))
+    at = newest.select(F.col("ts") - F.expr("INTERVAL '36' HOUR")).scalar()
     target = customer_target(spark, sf).withColumns(
         {CDC_OP: F.lit("insert"), CDC_TS: at, CDC_SEQ: F.lit(-1).cast("bigint")}
     )

@@ -43,9 +43,21 @@ def work_dir(spark: SparkSession) -> str:
     return (shared or current).rstrip("/")
 
 
+# Scratch folder of every application of this process.
+_scratch: dict[str, str] = {}
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{work_dir(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; it goes when the session ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        folder = f"{work_dir(spark)}/tidewell-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _scratch[app] = folder
+    return f"{_scratch[app]}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
