@@ -139,6 +139,36 @@ def test_landed_payload_source(spark, tmp_path):
     assert source.read("campaigns").first()["campaign_id"] == 5
 
 
+def test_table_export(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    lines = [
+        {"Item": {"id": {"S": "a"}, "n": {"N": "1.5"}, "ok": {"BOOL": True}, "tags": {"SS": ["x", "y"]}, "mix": {"S": "s"}}},
+        {"Item": {"id": {"S": "b"}, "n": {"NULL": True}, "mix": {"N": "7"}}},
+    ]
+    (tmp_path / "t" / "a.json").write_text("\n".join(json.dumps(x) for x in lines))
+    source = ConfiguredSource(spark, {"source_type": "dynamodb", "connection": {"export": str(tmp_path)}})
+    rows = {r["id"]: (r["n"], r["ok"], r["tags"], r["mix"]) for r in source.read("t").collect()}
+    assert rows == {"a": (1.5, True, '["x","y"]', "s"), "b": (None, None, None, "7")}
+
+
+def test_catalog(spark, monkeypatch):
+    columns = spark.createDataFrame(
+        [("public", "t", "id", 1, "20"), ("public", "t", "at", 2, "1184"), ("public", "t", "x", 3, "99999")],
+        "table_schema string, table_name string, column_name string, ordinal_position int, data_type string",
+    )
+    keys = spark.createDataFrame([("public", "t", "id")], "table_schema string, table_name string, column_name string")
+    monkeypatch.setattr(J, "read_database", lambda s, src, c, table, **k: columns if table == "columns" else keys)
+    out = {r["column_name"]: (r["data_type"], r["primary_key"]) for r in J.read_catalog(spark, "postgres", {}).collect()}
+    assert out == {"id": ("bigint", True), "at": ("timestamp", False), "x": ("varchar", False)}
+
+
+def test_given_schema_spares_inference(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.jsonl").write_text('{"id": 1, "other": 2}\n')
+    config = {"source_type": "gcs", "connection": {"path": str(tmp_path)}, "tables_config": {"t": {"schema": "id string"}}}
+    assert ConfiguredSource(spark, config).read("t").drop("_source_file", "last_modified").columns == ["id"]
+
+
 def test_unknown_source_type(spark):
     with pytest.raises(ValueError, match="unknown source type"):
         ConfiguredSource(spark, {"source_type": "ftp"}).read("t")

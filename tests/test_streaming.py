@@ -8,7 +8,7 @@ from tidewell.operators.merge import MergeRules, apply_changes
 from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 from tidewell.streaming import cdc
-from tidewell.streaming.cooldown import STATE_STORE, cooldown_stream
+from tidewell.streaming.cooldown import STATE_STORE, cooldown_batches, cooldown_stream
 from tidewell.streaming.pipe import dedupe_notifications, file_stream, ingest
 
 T0 = datetime(2024, 1, 1)
@@ -108,3 +108,22 @@ def test_cooldown_state_carries_over_batches(spark, tmp_path):
         done(q.trigger(availableNow=True).start())
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(r["t"] for r in spark.read.parquet(out).select(F.col("t")).collect()) == [0, 300, 600, 900]
+
+
+def test_cooldown_by_batches_carries_on_and_survives_a_replay(spark, tmp_path):
+    src = str(tmp_path / "in")
+    fired = Target(spark, f"fired_{uuid.uuid4().hex[:8]}", str(tmp_path / "out"))
+    run = lambda checkpoint: done(
+        cooldown_batches(
+            spark.readStream.schema("k string, t bigint").parquet(src), fired, ["k"], "t", 300, str(tmp_path / checkpoint)
+        )
+    )
+    for times in ([0, 100, 300], [599, 600, 700], [900, 100]):
+        rows = [("a", t) for t in times] + [("b", times[0])]
+        spark.createDataFrame(rows, "k string, t bigint").coalesce(1).write.mode("append").parquet(src)
+        run("c")
+    got = lambda: sorted((r["k"], r["t"]) for r in fired.read().collect())
+    expected = [("a", 0), ("a", 300), ("a", 600), ("a", 900), ("b", 0), ("b", 599), ("b", 900)]
+    assert got() == expected
+    run("other")
+    assert got() == expected

@@ -40,7 +40,7 @@ from tidewell.registry.inputs import (
 )
 from tidewell.session import fresh_dir, read_table
 from tidewell.sources.files import incremental_files as read_incremental
-from tidewell.sources.files import list_files, new_files
+from tidewell.sources.files import list_files, new_files, read_detected
 from tidewell.streaming.cdc import lsn_range, normalize_ops
 from tidewell.streaming.cdc import split_by_table as route
 
@@ -762,11 +762,14 @@ def copy_files_regex(spark, sf):
     return target.read().select("o_orderkey", "o_custkey", "o_orderdate")
 
 
-@query()
+@query("SELECT * FROM orders")
 def list_files_since(spark, sf):
+    """Rows of the files a listing finds."""
     folder = fresh_dir(spark, "listing")
     read_table(spark, sf, "orders").repartition(6).write.parquet(folder)
-    return list_files(spark, folder, newer_than="2020-01-01T00:00:00Z", max_files=4).select("path", "length")
+    listing = list_files(spark, folder, newer_than="2020-01-01T00:00:00Z", pattern=r"\.parquet$")
+    rows, _ = read_detected(spark, listing)
+    return rows.drop("_source_file", "last_modified")
 
 
 @query("SELECT * FROM orders")

@@ -66,7 +66,7 @@ class FileOptions:
 
     ``csv_multiline`` allows line breaks inside quotes, for which a file must be read by one
     task; left open, it is decided by a look at the files. ``csv_empty_text`` reads an empty
-    field as empty text instead of null.
+    field as empty text instead of null. ``schema`` (DDL) spares the pass that infers one.
     """
 
     file_format: str | None = None
@@ -75,6 +75,7 @@ class FileOptions:
     csv_multiline: bool | None = None
     csv_empty_text: bool = False
     json_document: bool = False
+    schema: str | None = None
     max_files: int | None = None
     extra: Mapping[str, str] = field(default_factory=dict)
 
@@ -90,6 +91,7 @@ class FileOptions:
             csv_multiline=_flag(merged, "csv_multiline", True) if "csv_multiline" in merged else None,
             csv_empty_text=_flag(merged, "csv_empty_text", False),
             json_document=_flag(merged, "json_document", False),
+            schema=merged.get("schema"),
             max_files=int(cap) if cap else None,
         )
 
@@ -109,6 +111,7 @@ def read_files(
     documents and NDJSON share a scan that Spark can split. A document spread over lines
     needs ``json_document``, and then one task reads a whole file.
     """
+    schema = schema or options.schema
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     for key, value in {**options.extra, **reader_options}.items():
         reader = reader.option(key, value)

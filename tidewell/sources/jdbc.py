@@ -10,8 +10,10 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.model import default_schema
+from tidewell.operators.schema import lookup_type, primary_key_columns
 from tidewell.sources.dialects import DIALECTS, Dialect
 
 
@@ -89,14 +91,31 @@ def cursor_bound_query(source: str, table: str, cursor: str, fn: str = "MAX", de
     return f"SELECT {fn}({dialect.quoted(cursor)}) AS {alias} FROM {table_reference(dialect, table, default)}"
 
 
-# Catalog queries for primary_key_columns(): columns, and the columns of primary keys.
+# Catalog queries: columns, and the columns of primary keys.
 COLUMNS_QUERY = (
     "SELECT table_schema, table_name, column_name, ordinal_position, data_type "
     "FROM information_schema.columns"
 )
+POSTGRES_COLUMNS_QUERY = (
+    "SELECT n.nspname AS table_schema, c.relname AS table_name, a.attname AS column_name, "
+    "a.attnum AS ordinal_position, CAST(a.atttypid AS text) AS data_type "
+    "FROM pg_attribute a JOIN pg_class c ON c.oid = a.attrelid JOIN pg_namespace n ON n.oid = c.relnamespace "
+    "WHERE a.attnum > 0 AND NOT a.attisdropped"
+)
 KEY_COLUMNS_QUERY = (
     "SELECT k.table_schema, k.table_name, k.column_name "
     "FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k "
     "ON c.constraint_name = k.constraint_name AND c.table_schema = k.table_schema "
     "AND c.table_name = k.table_name WHERE c.constraint_type = 'PRIMARY KEY'"
 )
+
+
+def read_catalog(spark: SparkSession, source: str, connection: Mapping[str, Any]) -> DataFrame:
+    """Columns of all tables with their normalised type and their part in the primary key."""
+    dialect = DIALECTS[source]
+    query = POSTGRES_COLUMNS_QUERY if source == "postgres" else COLUMNS_QUERY
+    columns = read_database(spark, source, connection, "columns", config={"query": query})
+    keys = read_database(spark, source, connection, "keys", config={"query": KEY_COLUMNS_QUERY})
+    native = F.col("data_type") if source in ("postgres", "clickhouse", "spanner") else F.lower("data_type")
+    typed = columns.withColumn("data_type", lookup_type(dict(dialect.type_map), native))
+    return primary_key_columns(typed, keys)

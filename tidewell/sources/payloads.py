@@ -416,3 +416,24 @@ def zendesk_page_schema(table: str) -> T.StructType:
         ]
     )
     return T.StructType([T.StructField(table, T.ArrayType(record))])
+
+
+def dynamodb_items(export: DataFrame, item: str = "Item") -> DataFrame:
+    """Rows of a table export, whose attributes are wrapped in their type: ``{"n": {"N": "1"}}``.
+
+    Numbers become doubles; sets, lists and maps become JSON text.
+    """
+
+    def unwrap(attribute: T.StructField) -> Column:
+        kinds = set(attribute.dataType.names)
+        at = lambda kind: F.col(f"`{item}`.`{attribute.name}`.`{kind}`")
+        if kinds <= {"N", "NULL"} and "N" in kinds:
+            return at("N").try_cast("double")
+        if kinds <= {"BOOL", "NULL"} and "BOOL" in kinds:
+            return at("BOOL").cast("boolean")
+        parts = [at(k).cast("string") for k in ("S", "N", "BOOL", "B") if k in kinds]
+        parts += [F.to_json(at(k)) for k in ("SS", "NS", "BS", "L", "M") if k in kinds]
+        return F.coalesce(*parts) if parts else F.lit(None).cast("string")
+
+    attributes = export.schema[item].dataType.fields
+    return export.select(*[unwrap(a).alias(a.name) for a in attributes])

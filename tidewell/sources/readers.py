@@ -45,6 +45,8 @@ class ConfiguredSource:
         """
         spark, source, settings = self.spark, self.source, self._table_config(table)
         connection = self.config.get("connection", {})
+        if source.dialect == "dynamodb" and "export" in connection:
+            return payloads.dynamodb_items(spark.read.json(resolve_prefix(connection["export"], table)))
         if source.kind == "database":
             return read_database(
                 spark, source.dialect, connection, table, settings.get("columns"), settings, settings.get("partition")
@@ -63,7 +65,7 @@ class ConfiguredSource:
             return delta_snapshot(spark, path)
         if source.kind == "hudi":
             return hudi_snapshot(spark, path)
-        return read_landed(spark, self.config["source_type"], table, path, connection)
+        return read_landed(spark, self.config["source_type"], table, path, connection, settings.get("schema"))
 
     def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any:
         """Maximum cursor. For files it is that of the very files ``read`` listed; a database
@@ -80,9 +82,14 @@ class ConfiguredSource:
 
 
 def read_landed(
-    spark: SparkSession, source_type: str, table: str, path: str, connection: Mapping[str, Any]
+    spark: SparkSession,
+    source_type: str,
+    table: str,
+    path: str,
+    connection: Mapping[str, Any],
+    schema: str | None = None,
 ) -> DataFrame:
-    """Typed rows of landed API pages."""
+    """Typed rows of landed API pages. ``schema`` is that of a page, where none is fixed."""
     mapping = PAYLOAD_TABLES.get(source_type, {}).get(table)
     if mapping:
         extra = {"account_id": connection["account_id"]} if source_type == "linkedin_ads" else {}
@@ -90,7 +97,7 @@ def read_landed(
     if source_type == "zendesk":
         pages = spark.read.schema(payloads.zendesk_page_schema(table)).json(path)
         return payloads.zendesk_rows(pages, table)
-    pages = spark.read.json(path)
+    pages = (spark.read.schema(schema) if schema else spark.read).json(path)
     if source_type == "hubspot":
         return payloads.hubspot_owners(pages) if table == "owners" else payloads.hubspot_objects(pages)
     if source_type == "salesforce":

@@ -1,13 +1,21 @@
-"""Stateful alert suppression: one value of state per alert key, the time it last fired."""
+"""Stateful alert suppression: one value of state per alert key, the time it last fired.
+
+``cooldown_stream`` keeps that value in the state store and passes the rows of a key through one
+task. ``cooldown_batches`` keeps it in the table of fired alerts and follows the chains of a batch
+with the batch operator, which splits the rows of a hot key over many tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from tidewell.operators.alerts import alert_cooldown
+from tidewell.plans.tables import Target
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,3 +61,38 @@ def cooldown_stream(alerts: DataFrame, keys: Sequence[str], ts: str, cooldown: i
         outputMode="Append",
         timeMode="None",
     )
+
+
+def cooldown_batches(
+    alerts: DataFrame,
+    fired: Target,
+    keys: Sequence[str],
+    ts: str,
+    cooldown: int,
+    checkpoint: str,
+    trigger: Mapping[str, object] | None = None,
+) -> StreamingQuery:
+    """Append the alerts that fire to a table, batch by batch.
+
+    The last time a key fired heads its chain again, so a batch goes on where the one before
+    ended, and a batch that is replayed after it was written adds nothing.
+    """
+    k = list(keys)
+    thin = alerts.select(*k, F.col(ts).cast("bigint").alias(ts))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fired.ensure(batch.schema, meta=False)
+        last = fired.read().groupBy(*k).agg(F.max(ts).alias("__last"))
+        later = batch.join(last, k, "left").filter(
+            F.col("__last").isNull() | (F.col(ts) - F.col("__last") >= cooldown)
+        )
+        heads = last.join(later.select(*k), k, "left_semi").select(*k, F.col("__last").alias(ts))
+        chain = alert_cooldown(later.select(*k, ts).unionByName(heads), k, ts, cooldown)
+        fired.append(chain.join(heads, [*k, ts], "left_anti"))
+
+    return (
+        thin.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
