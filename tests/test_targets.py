@@ -144,6 +144,28 @@ def test_partition_merge_leaves_other_partitions_alone(spark, tmp_path, name):
     assert {f.name for f in (folder / "p=1").glob("*.parquet")} == before
 
 
+def test_partition_merge_may_empty_a_partition(spark, tmp_path, name):
+    ddl = "k int, v string, p string"
+    t = Target(spark, name, str(tmp_path), keys=("k",), partition_by=("p",))
+    t.replace(stamped(frame(spark, (1, "a", "x y"), (2, "b", "x y"), (3, "c", "z"), ddl=ddl)))
+    gone = stamped(frame(spark, (1, None, "x y"), (2, None, "x y"), ddl=ddl), 5).withColumn("_cdc_op", F.lit("delete"))
+    t.merge_partitions(gone, MergeRules(("k",)))
+    assert state_of(t.read()) == {3: "c"}
+    t.merge_partitions(stamped(frame(spark, (4, "d", "x y"), ddl=ddl), 9), MergeRules(("k",)))
+    assert state_of(t.read()) == {3: "c", 4: "d"}
+
+
+def test_partitioned_tables_are_replaced_and_merged_whole(spark, tmp_path, name):
+    ddl = "k int, v string, p int"
+    t = Target(spark, name, str(tmp_path), keys=("k",), partition_by=("p",))
+    t.replace(stamped(frame(spark, (1, "a", 1), (2, "b", 2), ddl=ddl)))
+    t.replace(stamped(frame(spark, (1, "A", 1), (3, "c", 3), ddl=ddl)))
+    assert state_of(t.read()) == {1: "A", 3: "c"}
+    t.merge(stamped(frame(spark, (3, "C", 3), (1, "moved", 4), ddl=ddl), 5))
+    assert {r["k"]: (r["v"], r["p"]) for r in t.read().collect()} == {1: ("moved", 4), 3: ("C", 3)}
+    assert t.read().filter("p = 1").count() == 0
+
+
 def test_old_versions_expire(spark, tmp_path, name):
     t = Target(spark, name, str(tmp_path))
     for i in range(3):

@@ -2,8 +2,9 @@
 
 A table is an external Parquet table. A rewrite goes to a folder of its own and becomes
 current by ``ALTER TABLE ... SET LOCATION``, so readers see the old rows or the new ones and
-a lost executor costs only its tasks. A keyed target may be bucketed by its key: then a merge
-shuffles the changes but not the target.
+a lost executor costs only its tasks. (The catalog knows the partitions of a partitioned table
+one by one; there the new table takes the old one's name.) A keyed target may be bucketed by
+its key: then a merge shuffles the changes but not the target.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ class Target:
         """Write a new version and point the table at it."""
         folder, staged = self._new_folder(), f"{self.name}_{uuid.uuid4().hex[:12]}"
         self._writer(df).option("path", folder).saveAsTable(staged)
-        same_layout = self.exists() and self._stored_columns(self.name) == self._stored_columns(staged)
-        if same_layout:
+        same_columns = self.exists() and self._stored_columns(self.name) == self._stored_columns(staged)
+        if same_columns and not self.partition_by:
             self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{folder}'")
             self.spark.sql(f"DROP TABLE {staged}")
         else:
@@ -159,11 +160,11 @@ class Target:
         df.write.parquet(folder)
         return folder
 
-    def _hadoop_path(self, folder: str):
+    def _hadoop_path(self, folder):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _delete(self, folder: str) -> None:
+    def _delete(self, folder) -> None:
         fs, path = self._hadoop_path(folder)
         fs.delete(path, True)
 
@@ -192,25 +193,32 @@ class Target:
         if not self.partition_by:
             raise ValueError(f"{self.name} is not partitioned")
         parts = list(self.partition_by)
-        batch, lost = self._stage_changes(changes, rules)
-        latest, _ = split_null_keys(self.spark.read.parquet(batch), list(rules.keys))
-        stored = self.read()
-        touched = [row.asDict() for row in latest.select(*parts).distinct().collect()]
-        affected = stored.filter(_any_of(touched))
-        merged = conform(apply_latest(affected, latest, rules), stored.schema, rescue=False)
-        rows = self._stage(merged)
+        staged, lost = self._stage_changes(changes, rules)
+        folders = [staged]
         try:
+            latest, _ = split_null_keys(self.spark.read.parquet(staged), list(rules.keys))
+            stored = self.read()
+            touched = [row.asDict() for row in latest.select(*parts).distinct().collect()]
+            affected = stored.filter(_any_of(touched))
+            merged = conform(apply_latest(affected, latest, rules), stored.schema, rescue=False)
+            folders.append(self._stage(merged))
+            rows = self.spark.read.schema(merged.schema).parquet(folders[-1])
+            left = [row.asDict() for row in rows.select(*parts).distinct().collect()]
+            emptied = stored.filter(_any_of([t for t in touched if t not in left]))
+            gone = [r[0] for r in emptied.select("_metadata.file_path").distinct().collect()]
             # Written by path: insertInto would ignore the option and overwrite every partition.
             (
-                self.spark.read.schema(merged.schema).parquet(rows)
-                .write.mode("overwrite")
+                rows.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(*parts)
                 .parquet(self.location())
             )
+            # Overwriting leaves a partition alone in which no row is left.
+            for file in gone:
+                self._delete(self.spark._jvm.java.net.URI(file))
         finally:
-            self._delete(rows)
-            self._delete(batch)
+            for folder in folders:
+                self._delete(folder)
         self.spark.catalog.recoverPartitions(self.name)
         self.spark.catalog.refreshTable(self.name)
         return lost
