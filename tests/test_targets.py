@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.model import add_cdc_meta
-from tidewell.operators.merge import MergeRules
+from tidewell.operators.merge import MergeRules, apply_latest
 from tidewell.plans.copy_into import copy_into, reader_settings
 from tidewell.plans.load import FrameSource, LoadJob, run_job
 from tidewell.plans.rowlevel import merge_into, supports_row_level
@@ -133,6 +133,26 @@ def test_bucketed_merge_shuffles_only_the_batch(spark, tmp_path, name):
     assert described["Num Buckets"] == "4"
 
 
+@pytest.mark.parametrize("guard,exchanges", [(False, 2), (True, 3)])
+def test_bucketed_target_is_not_shuffled(spark, tmp_path, name, plan, guard, exchanges):
+    t = Target(spark, name, str(tmp_path), keys=("k",), buckets=4)
+    t.replace(stamped(spark.range(1000).selectExpr("cast(id as int) k", "'a' v")))
+    stamped(spark.range(10).selectExpr("cast(id as int) k", "'b' v")).write.parquet(str(tmp_path / "batch"))
+    batch = t._laid_out(spark.read.parquet(str(tmp_path / "batch")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = apply_latest(t.read(), batch, MergeRules(("k",), guard_late=guard))
+        lines = plan(merged).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Every exchange is one of the batch: below it, the next scan is not that of the table.
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    scans = [next(line for line in lines[i:] if "FileScan" in line) for i in shuffles]
+    assert len(shuffles) >= exchanges and not [s for s in scans if name in s]
+    assert sum(name in line and "Bucketed: true" in line for line in lines) >= 1
+
+
 def test_partition_merge_leaves_other_partitions_alone(spark, tmp_path, name):
     ddl = "k int, v string, p int"
     t = Target(spark, name, str(tmp_path), keys=("k",), partition_by=("p",))

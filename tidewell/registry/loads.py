@@ -38,7 +38,7 @@ from tidewell.registry.inputs import (
     order_batch,
     order_target,
 )
-from tidewell.session import fresh_dir, read_table
+from tidewell.session import fresh_dir, parallelism, read_table
 from tidewell.sources.files import incremental_files as read_incremental
 from tidewell.sources.files import list_files, new_files, read_detected
 from tidewell.streaming.cdc import lsn_range, normalize_ops
@@ -398,10 +398,11 @@ def cdc_normalize_ops(spark, sf):
 
 
 @query(
-    f"""WITH {SQL_CODED}, pos AS (SELECT max(lsn) AS hi, (SELECT max(lsn) FROM coded WHERE code = 1) AS lo FROM coded)
-    SELECT coded.* FROM coded, pos WHERE lsn > '000000000000000003E8' AND lsn <= lo"""
+    f"""WITH {SQL_CODED}
+    SELECT * FROM coded WHERE lsn > '000000000000000003E8' AND lsn <= (SELECT max(lsn) FROM coded WHERE code = 1)"""
 )
 def cdc_lsn_range(spark, sf):
+    """Resume after position 1000, up to the last delete."""
     coded = _coded(spark, sf)
     last_delete = coded.filter("code = 1").agg(F.max("lsn")).first()[0]
     return lsn_range(coded, "lsn", "000000000000000003E8", last_delete)
@@ -766,7 +767,7 @@ def copy_files_regex(spark, sf):
 def list_files_since(spark, sf):
     """Rows of the files a listing finds."""
     folder = fresh_dir(spark, "listing")
-    read_table(spark, sf, "orders").repartition(6).write.parquet(folder)
+    read_table(spark, sf, "orders").repartition(parallelism(spark, 6)).write.parquet(folder)
     listing = list_files(spark, folder, newer_than="2020-01-01T00:00:00Z", pattern=r"\.parquet$")
     rows, _ = read_detected(spark, listing)
     return rows.drop("_source_file", "last_modified")
@@ -775,7 +776,7 @@ def list_files_since(spark, sf):
 @query("SELECT * FROM orders")
 def incremental_files(spark, sf):
     folder = fresh_dir(spark, "mtime")
-    read_table(spark, sf, "orders").repartition(4).write.parquet(folder)
+    read_table(spark, sf, "orders").repartition(parallelism(spark, 4)).write.parquet(folder)
     rows = read_incremental(spark.read.parquet(folder), "2020-01-01T00:00:00Z")
     return rows.drop("_source_file", "last_modified")
 
@@ -792,7 +793,7 @@ def clustered_layout(spark, sf):
 )
 def merge_bucketed_target(spark, sf):
     """The same merge into a table bucketed by its key, which is not shuffled."""
-    target = _target(spark, "bucketed", keys=("o_orderkey",), buckets=8)
+    target = _target(spark, "bucketed", keys=("o_orderkey",), buckets=parallelism(spark, 8))
     stamp = lambda df: add_cdc_meta(df, "shop", ts=F.col("o_orderdate"))
     target.replace(stamp(order_target(spark, sf)))
     target.merge(stamp(order_batch(spark, sf)))

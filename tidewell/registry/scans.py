@@ -68,7 +68,7 @@ def scan_csv_quoted(spark, sf):
     return rows.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
-RECORDS_PER_DOCUMENT = 500
+RECORDS_PER_DOCUMENT = 5000
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -284,7 +284,7 @@ COMMITS = ("20240101000000", "20240201000000", "20240301000000")
 
 
 def _copy_on_write(spark, sf):
-    """A copy-on-write table of orders, one file group per priority.
+    """A copy-on-write table of orders, file groups of one priority and at most a million keys.
 
     The first commit writes the orders before the split. The second rewrites the files of two
     priorities with their later orders. A third rewrite never completed. Parked orders
@@ -312,7 +312,8 @@ def _copy_on_write(spark, sf):
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for commit, rows in slices:
         staging = f"{folder}-staging/{commit}"
-        name = F.concat_ws("-", F.lit("group"), F.substring("o_orderpriority", 1, 1))
+        block = F.floor(F.col("o_orderkey") / 1_000_000).cast("string")
+        name = F.concat_ws("-", F.lit("group"), F.substring("o_orderpriority", 1, 1), block)
         rows.withColumn("file_id", name).repartition("file_id").write.partitionBy("file_id").parquet(staging)
         fs.mkdirs(path(folder))
         for group in fs.listStatus(path(staging)):

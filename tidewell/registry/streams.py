@@ -11,18 +11,18 @@ from tidewell.plans.tables import Target
 from tidewell.registry.analytics import COOLDOWN
 from tidewell.registry.base import ORACLES, query
 from tidewell.registry.inputs import SQL_CHANGES, SQL_OP, op_of_event
-from tidewell.session import fresh_dir, read_table
+from tidewell.session import fresh_dir, parallelism, read_table
 from tidewell.streaming.cdc import apply_stream
-from tidewell.streaming.cooldown import STATE_STORE, cooldown_stream
+from tidewell.streaming.cooldown import cooldown_batches
 from tidewell.streaming.pipe import file_stream, ingest
 
 
-def _event_files(spark, sf, files):
-    """The events table as several files, later events in later files or not."""
-    folder = fresh_dir(spark, "events")
+def _event_files(spark, sf):
+    """The events table as files, read in two batches: folder, schema, files per batch."""
+    folder, files = fresh_dir(spark, "events"), parallelism(spark, 4)
     events = read_table(spark, sf, "events")
-    events.repartitionByRange(files, "ts").write.parquet(folder)
-    return folder, events.schema
+    events.repartition(files, "event_id").write.parquet(folder)
+    return folder, events.schema, files // 2
 
 
 def _finish(started):
@@ -33,11 +33,11 @@ def _finish(started):
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def stream_file_ingest(spark, sf):
-    folder, schema = _event_files(spark, sf, 4)
+    folder, schema, batch = _event_files(spark, sf)
     out, checkpoint = fresh_dir(spark, "ingested"), fresh_dir(spark, "checkpoint")
     for _ in range(2):
         # The second run finds every file known and adds nothing.
-        _finish(ingest(file_stream(spark, folder, schema, max_files=2), out, checkpoint))
+        _finish(ingest(file_stream(spark, folder, schema, max_files=batch), out, checkpoint))
     return spark.read.parquet(out).drop("_source_file", "last_modified", "_ingested_at")
 
 
@@ -55,10 +55,10 @@ def _changes(stream):
 @query(f"WITH {SQL_CHANGES} SELECT * FROM latest WHERE _cdc_op <> 'delete'")
 def stream_cdc_apply(spark, sf):
     """Files in any order: tombstones and the late guard make the end state the same."""
-    folder, schema = _event_files(spark, sf, 4)
+    folder, schema, batch = _event_files(spark, sf)
     target = Target(spark, f"streamed_{uuid.uuid4().hex[:12]}", fresh_dir(spark, "streamed"), ("c_custkey",))
     rules = MergeRules(("c_custkey",), guard_late=True, keep_tombstones=True)
-    changes = _changes(file_stream(spark, folder, schema, max_files=2))
+    changes = _changes(file_stream(spark, folder, schema, max_files=batch))
     _finish(apply_stream(changes, {"customer": target}, rules, fresh_dir(spark, "checkpoint")))
     return target.read().filter(F.col(CDC_OP) != "delete")
 
@@ -69,10 +69,10 @@ def stream_cdc_apply(spark, sf):
 )
 def stream_route_append(spark, sf):
     """One stream into the logs of two tables."""
-    folder, schema = _event_files(spark, sf, 2)
+    folder, schema, batch = _event_files(spark, sf)
     root, tag = fresh_dir(spark, "routed"), uuid.uuid4().hex[:12]
     targets = {t: Target(spark, f"{t.replace('.', '_')}_{tag}", root) for t in ("public.click", "error")}
-    changes = file_stream(spark, folder, schema).select(
+    changes = file_stream(spark, folder, schema, max_files=batch).select(
         "user_id", "value", "event_id", op_of_event().alias(CDC_OP), F.col("event_type").alias("source_table")
     )
     state = StateStore(spark, root, f"state_{tag}")
@@ -85,22 +85,10 @@ def stream_route_append(spark, sf):
 @query(ORACLES["alert_cooldown"])
 def stream_alert_cooldown(spark, sf):
     """The streaming form gives what the batch form gives."""
-    folder = fresh_dir(spark, "raised")
-    raised = read_table(spark, sf, "events").select(
+    folder, schema, _ = _event_files(spark, sf)
+    raised = spark.readStream.schema(schema).parquet(folder).select(
         F.col("event_type").alias("alert_key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")
     )
-    raised.repartitionByRange(1, "t").sortWithinPartitions("t").write.parquet(folder)
-    out, checkpoint = fresh_dir(spark, "fired"), fresh_dir(spark, "checkpoint")
-    stream = cooldown_stream(spark.readStream.schema(raised.schema).parquet(folder), ["alert_key"], "t", COOLDOWN)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, STATE_STORE)
-    try:
-        started = (
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
-        _finish(started)
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
-    return spark.read.parquet(out)
+    fired = Target(spark, f"fired_{uuid.uuid4().hex[:12]}", fresh_dir(spark, "fired"))
+    _finish(cooldown_batches(raised, fired, ["alert_key"], "t", COOLDOWN, fresh_dir(spark, "checkpoint")))
+    return fired.read()

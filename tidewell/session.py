@@ -60,6 +60,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{_scratch[app]}/{label}-{uuid.uuid4().hex}"
 
 
+def parallelism(spark: SparkSession, least: int) -> int:
+    """A number of partitions that grows with the cluster."""
+    return max(least, spark.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result outlives the executors that computed it."""
     work_dir(df.sparkSession)
