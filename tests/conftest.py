@@ -12,8 +12,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("tests", 4)
+    session = get_session("tests", 8)
     session.sparkContext.setLogLevel("ERROR")
+    # Tiny inputs: most of a test is the start of its tasks.
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     work_dir(session)
     return session
 

@@ -567,6 +567,20 @@ def schema_drift(spark, sf):
     return S.schema_drift(*_catalogs(spark, sf))
 
 
+@query(
+    f"""WITH {SQL_CATALOG}
+    SELECT 'shop' AS table_schema, c.table_name, c.column_name, c.data_type,
+      EXISTS (SELECT 1 FROM stored s WHERE s.table_name = c.table_name AND s.column_name = c.column_name
+              AND s.data_type = 'bigint') AS primary_key
+    FROM current c"""
+)
+def pk_discovery(spark, sf):
+    """Catalog columns beside the columns of key constraints: here the whole-number ones of before."""
+    stored, current = _catalogs(spark, sf)
+    keys = stored.filter(F.col("data_type") == "bigint").withColumn("table_schema", F.lit("shop"))
+    return S.primary_key_columns(current.withColumn("table_schema", F.lit("shop")), keys)
+
+
 @query(
     """SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment FROM supplier
     UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"""
