@@ -351,6 +351,27 @@ def test_copy_each_file_once_with_options(spark, tmp_path, name, state):
     assert state.ledger().read().count() == 3
 
 
+def test_keyed_copy_keeps_the_row_of_the_later_file(spark, tmp_path, name, state):
+    import os
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, (file, text) in enumerate((("b.csv", "k,v\n1,old\n2,b\n"), ("a.csv", "k,v\n1,new\n"))):
+        (folder / file).write_text(text)
+        os.utime(folder / file, (1_700_000_000 + i, 1_700_000_000 + i))
+    t = Target(spark, name, str(tmp_path / "out"), keys=("k",))
+    assert copy_into(spark, t, str(folder), state, "csv") == 3
+    assert state_of(t.read()) == {"1": "new", "2": "b"}
+    assert not [c for c in t.read().columns if c.startswith("__")]
+
+
+def test_later_cursor_wins_within_a_load(spark, tmp_path, name, state):
+    rows = [(1, "late", 9), (1, "early", 3), (1, "middle", 5)]
+    j = job(name, options={"snapshot_cursor_column": "c"})
+    run_job(spark, j, FrameSource({"a": frame(spark, *rows, ddl="k int, v string, c int")}), str(tmp_path), state, {"a": ("k",)})
+    assert state_of(spark.table(name)) == {1: "late"}
+
+
 def test_ledger_is_per_target(spark, tmp_path, name, state, sf):
     for suffix in ("x", "y"):
         t = Target(spark, f"{name}_{suffix}", str(tmp_path))

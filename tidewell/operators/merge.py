@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.model import CDC_OP, CDC_SEQ, CDC_TS, META_COLUMNS, RESCUED, payload_columns
-from tidewell.operators.dedup import dedup_last_by_key
+from tidewell.operators.dedup import dedup_last_by_key, event_order
 
 
 def _all(columns: Sequence[Column]) -> Column:
@@ -87,7 +87,8 @@ class MergeRules:
     the event. ``keep_tombstones`` stores deletes instead of dropping them, so that a late
     event cannot revive a deleted row; readers filter on ``_cdc_op``. ``unchanged`` names an
     array column listing the columns an update did not send, ``before`` a struct column with
-    the key an update moved away from.
+    the key an update moved away from. ``order_by`` names columns that order events of one
+    time, latest highest; those starting with ``__`` are not stored.
     """
 
     keys: tuple[str, ...]
@@ -95,6 +96,13 @@ class MergeRules:
     keep_tombstones: bool = False
     unchanged: str | None = None
     before: str | None = None
+    order_by: tuple[str, ...] = ()
+
+    @property
+    def not_stored(self) -> list[str]:
+        """Columns of a batch that steer the merge and are no columns of the target."""
+        hidden = [c for c in self.order_by if c.startswith("__")]
+        return [*filter(None, [self.unchanged, self.before]), *hidden]
 
 
 def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool = False) -> DataFrame:
@@ -106,10 +114,13 @@ def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool =
     keys = list(rules.keys)
     if rules.before:
         changes = expand_key_changes(changes, keys, rules.before).drop(rules.before)
+    order = [*event_order(changes), *[F.col(c).desc_nulls_last() for c in rules.order_by]]
     if not keep_null_keys:
-        return dedup_last_by_key(split_null_keys(changes, keys)[0], keys)
-    apart = changes.withColumn("__apart", F.when(_has_null(keys), F.monotonically_increasing_id()))
-    return dedup_last_by_key(apart, [*keys, "__apart"]).drop("__apart")
+        latest = dedup_last_by_key(split_null_keys(changes, keys)[0], keys, order)
+    else:
+        apart = changes.withColumn("__apart", F.when(_has_null(keys), F.monotonically_increasing_id()))
+        latest = dedup_last_by_key(apart, [*keys, "__apart"], order).drop("__apart")
+    return latest.drop(*[c for c in rules.not_stored if c != rules.unchanged])
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, rules: MergeRules) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.model import add_cdc_meta
+from tidewell.operators.merge import MergeRules
 from tidewell.plans.load import observed
 from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
@@ -60,7 +61,12 @@ def copy_into(
     rows = read_files(spark, paths, file_format.lower(), options, schema, recursive=False, **extra)
     rows, metrics = observed(rows)
     if target.keys:
-        target.merge(add_cdc_meta(rows, source=target.name))
+        # Of rows with the same key, the one of the later file is kept.
+        placed = rows.withColumns(
+            {"__modified": F.col("_metadata.file_modification_time"), "__file": F.col("_metadata.file_path")}
+        )
+        rules = MergeRules(target.keys, order_by=("__modified", "__file"))
+        target.merge(add_cdc_meta(placed, source=target.name), rules)
     else:
         target.append(rows)
     # Exactly the files read above, even if more have arrived since.

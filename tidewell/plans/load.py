@@ -162,17 +162,20 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
         hi = lo
     selected = incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
     events, metrics = observed(_events(job, table, selected))
-    _write(target, events, keys)
+    _write(target, events, keys, order_by=(cursor,))
     if hi is not None:
         state.set_offset(job.id, table, hi, cursor_type)
     return metrics.get["rows"]
 
 
-def _write(target: Target, rows: DataFrame, keys: tuple[str, ...]) -> None:
+def _write(target: Target, rows: DataFrame, keys: tuple[str, ...], order_by: tuple[str, ...] = ()) -> None:
+    """Merge by key, or append where there is none. All rows of a load carry one time, so of
+    two with the same key the one with the later cursor is kept."""
+    rules = MergeRules(keys, order_by=order_by)
     if keys and supports_row_level(target.spark, target.name):
-        merge_into(rows, target.name, MergeRules(keys))
+        merge_into(rows, target.name, rules)
     elif keys:
-        target.merge(rows, MergeRules(keys))
+        target.merge(rows, rules)
     else:
         target.append(rows)
 

@@ -147,7 +147,7 @@ class Target:
 
     def _stage_changes(self, changes: DataFrame, rules: MergeRules) -> tuple[str, int]:
         """Write the deciding events down, the table made ready for them; keyless rows go aside."""
-        self.ensure(changes.drop(*filter(None, [rules.unchanged, rules.before])).schema, meta=False)
+        self.ensure(changes.drop(*rules.not_stored).schema, meta=False)
         folder = self._stage(self._fit(latest_changes(changes, rules, keep_null_keys=True), rules.unchanged))
         keyless = split_null_keys(self.spark.read.parquet(folder), list(rules.keys))[1]
         lost = keyless.count()
