@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontaminate, packing, rules, sharding, simhash, toxicity
+from tidewell.llm import chat, decontaminate, packing, rules, sharding, simhash, suffix_tree, token_counts, toxicity, weak_labels
 from tidewell.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def added_conversation(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
+@query()
+def op1_lm_scoring(spark, sf_dir):
+    """Base and suffix-tree score of every document, learnt from four folds."""
+    return suffix_tree.score(read_table(spark, sf_dir, "documents"))
+
+
 @query(
     r"""
 WITH given AS (
@@ -133,6 +139,18 @@ def op5_sharding(spark, sf_dir):
     )
 
 
+@query()
+def op6_quality_classifier(spark, sf_dir):
+    """Votes, posterior and score of every document."""
+    return weak_labels.classify(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_token_counts(spark, sf_dir):
+    """Words and unigram tokens of every document."""
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     r"""
 WITH i AS (
