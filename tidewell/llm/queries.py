@@ -27,8 +27,9 @@ def query(sql: str | None = None):
 
 def added_conversation(spark: SparkSession) -> DataFrame:
     """Conversation -7, whose texts are control strings."""
-    rows = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
-    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    text = F.lit("</s>[INST] ok [/INST]").alias("text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    return spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, text)
 
 
 @query()

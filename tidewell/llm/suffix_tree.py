@@ -69,6 +69,22 @@ END = b""
 END_HASH = np.array([word_hash(END)], np.uint64).view(np.int64)[0]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[dict]:
+    """The blocks one by one: each is some megabytes."""
+    for batch in batches:
+        batch = batch.select(list(names)) if names else batch
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     number, made = TaskContext.get().partitionId() << 32, 0
@@ -79,7 +95,7 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = np.repeat(~np.array(held, bool), [len(x) for x in texts])
         counts = np.bincount(tokens[train], minlength=len(known)).astype(np.int64)
         hashes = np.fromiter(map(word_hash, known), np.uint64, len(known))
-        values = [number + made, ids, held, [len(x) for x in texts], tokens.tobytes(), hashes.tobytes(), counts.tobytes()]
+        values = [number + made, ids, held, [len(x) for x in texts], packed(tokens), hashes.tobytes(), packed(counts)]
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
@@ -120,18 +136,19 @@ class Tree:
 def found_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted key in the sorted keys, or -1."""
     if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(keys, wanted)
+        return np.full(len(wanted), -1, np.int32)
+    at = np.searchsorted(keys, wanted).astype(np.int32)
     at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+    at[keys[at] != wanted] = -1
+    return at
 
 
-def run_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of the runs that a run ending one place earlier makes with the word; -1 where there is none."""
-    out = np.full(len(word), -1, np.int64)
+def run_keys(before: np.ndarray, word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a run ends one place earlier and a frequent word follows it in the same text, and their keys."""
     ok = (before[:-1] >= 0) & (word[1:] >= 0)
-    out[1:][ok] = (before[:-1][ok] << WORD_BITS) | word[1:][ok]
-    return out
+    ok[ends[:-1]] = False
+    at = np.flatnonzero(ok)
+    return at + 1, (before[at].astype(np.int64) << WORD_BITS) | word[at + 1]
 
 
 def runs(tree: Tree, words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -141,12 +158,9 @@ def runs(tree: Tree, words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """
     out = [words]
     for keys, _ in tree.levels:
-        before = out[-1].copy()
-        before[ends] = -1
-        wanted = run_keys(before, words)
-        place = np.full(len(words), -1, np.int64)
-        some = np.flatnonzero(wanted >= 0)
-        place[some] = found_in(keys, wanted[some])
+        at, wanted = run_keys(out[-1], words, ends)
+        place = np.full(len(words), -1, np.int32)
+        place[at] = found_in(keys, wanted)
         out.append(place)
     return out
 
@@ -159,16 +173,16 @@ def frequent_words(tree: Tree, hashes: np.ndarray, tokens: np.ndarray) -> tuple[
 
 def parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, dictionary, ends and training marks of a block."""
-    tokens, hashes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["hashes"], np.int64)
     sizes = np.array(row["sizes"], np.int64)
+    tokens, hashes = unpacked(row["tokens"], np.int32, int(sizes.sum())), np.frombuffer(row["hashes"], np.int64)
     return tokens, hashes, np.cumsum(sizes) - 1, np.repeat(~np.array(row["held"], bool), sizes)
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.select(["hashes", "counts"]).to_pylist():
-            hashes, counts = np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["counts"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > 0]), pa.array(counts[counts > 0])], names=["key", "n"])
+    for row in rows_of(batches, "hashes", "counts"):
+        hashes = np.frombuffer(row["hashes"], np.int64)
+        counts = unpacked(row["counts"], np.int64, len(hashes))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > 0]), pa.array(counts[counts > 0])], names=["key", "n"])
 
 
 def longer_runs(held):
@@ -176,16 +190,12 @@ def longer_runs(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(**held.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, hashes, ends, train = parts(row)
-                longest = runs(tree, frequent_words(tree, hashes, tokens)[1], ends)
-                before = longest[-1].copy()
-                before[ends] = -1
-                keys = run_keys(before, longest[0])
-                keys = keys[(keys >= 0) & train & (longest[-1] >= 0)]
-                keys, counts = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
+        for row in rows_of(batches):
+            tokens, hashes, ends, train = parts(row)
+            longest = runs(tree, frequent_words(tree, hashes, tokens)[1], ends)
+            at, keys = run_keys(longest[-1], longest[0], ends)
+            keys, counts = np.unique(keys[train[at] & (longest[-1][at] >= 0)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
     return run
 
@@ -194,11 +204,10 @@ def rare_words(held):
     """``key, block`` of the words of each block that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.select(["block", "hashes"]).to_pylist():
-                hashes = np.frombuffer(row["hashes"], np.int64)
-                rare = hashes[found_in(held.value["words"], hashes) < 0]
-                yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), row["block"]))], names=["key", "block"])
+        for row in rows_of(batches, "block", "hashes"):
+            hashes = np.frombuffer(row["hashes"], np.int64)
+            rare = hashes[found_in(held.value["words"], hashes) < 0]
+            yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), row["block"]))], names=["key", "block"])
 
     return run
 
@@ -256,7 +265,7 @@ def log_chances(tree: Tree, words: np.ndarray, ends: np.ndarray, root: np.ndarra
     at = runs(tree, words, ends)
     total, done = np.zeros(len(words)), np.zeros(len(words), bool)
     for level in range(len(tree.levels) - 1, -1, -1):
-        context = np.full(len(words), -1, np.int64)
+        context = np.full(len(words), -1, np.int32)
         context[1:] = at[level][:-1]
         context[1:][ends[:-1]] = -1
         here = np.flatnonzero(~done & (context >= 0))
@@ -276,7 +285,7 @@ def score_block(held):
         keys, counts = rare.column("key").to_numpy(), rare.column("n").to_numpy()
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        for row in blocks.to_pylist():
+        for row in rows_of(blocks.to_batches()):
             tokens, hashes, ends, _ = parts(row)
             own, words = frequent_words(tree, hashes, tokens)
             count = np.zeros(len(hashes), np.int64)

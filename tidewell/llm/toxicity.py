@@ -143,10 +143,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(fold(F.col("doc_id")) != 0)
     part = F.pmod(order, F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n))))
     rows = learn.join(F.broadcast(ids), learn.doc_id == ids["__toxic"], "left")
-    rows = rows.select(F.col("__toxic").isNotNull().cast("long").alias("positive"), F.coalesce(part, F.lit(True)).cast("long").alias("unlabelled"), "text")
+    rows = rows.select(F.col("__toxic").isNotNull().cast("long").alias("positive"), F.coalesce(part, F.lit(True)).cast("long").alias("unlabelled"), "text", order.alias("order"))
     prior = min(0.9, max(0.001, share)) if share else PRIOR
-    rows = rows.where("positive + unlabelled > 0").repartition(parallelism(docs.sparkSession, 8), F.xxhash64("text"))
-    return stored(rows, "toxicity-sample"), prior
+    rows = rows.where("positive + unlabelled > 0").repartition(parallelism(docs.sparkSession, 8), "order")
+    return stored(rows.drop("order"), "toxicity-sample"), prior
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES) -> Model:

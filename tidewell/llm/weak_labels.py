@@ -189,7 +189,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     known = F.create_map(*(F.lit(x) for pair in posterior.items() for x in pair)) if posterior else F.create_map(F.lit(0).cast("long"), F.lit(0.5))
     total = int(n.sum())
     part = F.pmod("order", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, total))))
-    learn = voted.where(part).select(known[F.col("votes")].alias("posterior"), "text").repartition(parallelism(spark, 8), F.xxhash64("text"))
+    learn = voted.where(part).select(known[F.col("votes")].alias("posterior"), "text", "order").repartition(parallelism(spark, 8), "order").drop("order")
     table = stored(learn.mapInArrow(sparse, "posterior double, at array<int>, values array<float>"), "weak-sample").toArrow()
     held = spark.sparkContext.broadcast(fit(table))
     scored = voted.select("doc_id", "votes", known[F.col("votes")].alias("posterior"), value_udf(scorer(held), T.DoubleType())(F.col("text")).alias("score"))
