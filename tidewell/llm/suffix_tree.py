@@ -41,7 +41,7 @@ DEPTH = 3
 WORD_SHARE = 2.0**-17
 RUN_SHARE = 2.0**-20
 DISCOUNT = 0.5
-BLOCK = 1 << 21
+BLOCK = 3 << 19
 WORD_BITS = 20
 
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, hashes binary, counts binary"
@@ -85,6 +85,13 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def documents_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[int | None, bytes]]:
+    """Ids and texts, some at a time: a batch may be large."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(part.column(0).to_pylist(), raw(part.column(1)))
+
+
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     number, made = TaskContext.get().partitionId() << 32, 0
@@ -100,7 +107,7 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+        for doc_id, text in documents_of(batch):
             found = lower_words(text)
             found.append(END)
             ids.append(doc_id)
@@ -201,13 +208,14 @@ def longer_runs(held):
 
 
 def rare_words(held):
-    """``key, block`` of the words of each block that are not frequent."""
+    """``key, block, at`` of the words of each block that are not frequent; ``at`` is the word's number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches, "block", "hashes"):
             hashes = np.frombuffer(row["hashes"], np.int64)
-            rare = hashes[found_in(held.value["words"], hashes) < 0]
-            yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), row["block"]))], names=["key", "block"])
+            at = np.flatnonzero(found_in(held.value["words"], hashes) < 0)
+            columns = [pa.array(hashes[at]), pa.array(np.full(len(at), row["block"])), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "block", "at"])
 
     return run
 
@@ -282,16 +290,13 @@ def score_block(held):
     def run(key, blocks: pa.Table, rare: pa.Table) -> pa.Table:
         tree = Tree(**held.value)
         out = []
-        keys, counts = rare.column("key").to_numpy(), rare.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        places, counts = rare.column("at").to_numpy(), rare.column("n").to_numpy()
         for row in rows_of(blocks.to_batches()):
             tokens, hashes, ends, _ = parts(row)
             own, words = frequent_words(tree, hashes, tokens)
             count = np.zeros(len(hashes), np.int64)
             count[own >= 0] = tree.word_counts[own[own >= 0]]
-            place = found_in(keys, hashes)
-            count[place >= 0] = counts[place[place >= 0]]
+            count[places] = counts
             root = tree.base(count)[tokens]
             first = np.r_[0, ends[:-1] + 1]
             chance = log_chances(tree, words, ends, root)
@@ -341,5 +346,5 @@ def score(docs: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE, r
     blocks = stored(blocks, "blocks")
     tree, counts = learn(blocks, depth, word_share, run_share)
     held = spark.sparkContext.broadcast(vars(tree))
-    rare = blocks.mapInArrow(rare_words(held), "key long, block long").join(counts, "key").select("block", "key", "n")
+    rare = blocks.mapInArrow(rare_words(held), "key long, block long, at int").join(counts, "key").select("block", "at", "n")
     return blocks.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(score_block(held), SCORES)
