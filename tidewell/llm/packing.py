@@ -34,6 +34,7 @@ LENGTH = 2048
 END = 1
 GROUP_PIECES = 65_536
 MOST_FILE = 64 << 20
+KNOWN = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
@@ -50,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[str, bytes] = Bounded(self.encode, 400_000)
+        self.known: dict[str, bytes] = Bounded(self.encode, KNOWN)
 
     def encode(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,6 +71,16 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, text.split(" ")))
 
 
+def prepared(text: bytes) -> str:
+    """The text with line ends as spaces and A to Z in lower case, which the tokenizer does too.
+
+    Texts with marks that combine with letters, or with special tokens' beginnings, keep their case.
+    """
+    if not any(x in text for x in (b"<|", b"\xcc", b"\xcd")):
+        text = text.lower()
+    return text.decode("utf-8", "replace").replace("\n", " ")
+
+
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of n ids: full windows, then the rest."""
     return [(s, min(most, n - s)) for s in range(0, n, most)]
@@ -81,12 +92,12 @@ def to_pieces(model, length: int, end: int, keep_ids: bool):
         last = np.array([end], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [x.decode("utf-8", "replace").replace("\n", " ") for x in raw(batch.column(1))]
-            for at in range(0, len(texts), 512):
-                part = texts[at : at + 512]
-                encoder.learn(part)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [prepared(x) for x in raw(part.column(1))]
+                encoder.learn(texts)
                 rows = []
-                for doc_id, text in zip(ids[at : at + 512], part):
+                for doc_id, text in zip(part.column(0).to_pylist(), texts):
                     tokens = encoder(text) + last
                     n = len(tokens) // 4
                     for start, size in cut(n, length):

@@ -57,7 +57,8 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     before = offsets(stored(rows.groupBy("__bucket").agg(F.count("*").alias("__n")), "bucket-counts"))
     earlier = lambda a, b: F.when(a["__order"] < b["__order"], -1).when(a["__order"] > b["__order"], 1).otherwise(0)
     held = rows.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.collect_list(F.struct("__order", "__row")).alias("__all"))
-    mixed = held.join(before, "__bucket").select("__before", F.shuffle(F.array_sort("__all", earlier), seed).alias("__all"))
+    # Spark draws the random numbers of a task's rows one after the other, so buckets come in a fixed order.
+    mixed = held.join(before, "__bucket").sortWithinPartitions("__bucket").select("__before", F.shuffle(F.array_sort("__all", earlier), seed).alias("__all"))
     placed = mixed.select("__before", F.posexplode("__all").alias("__at", "__each"))
     placed = placed.select(F.col("__each.__row").alias("__row"), (F.col("__before") + F.col("__at")).alias("__place"))
     placed = placed.withColumn("shard", F.expr(f"CAST(__place * {shards} DIV {max(1, total_rows)} AS INT)"))

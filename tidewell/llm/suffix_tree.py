@@ -41,7 +41,7 @@ DEPTH = 3
 WORD_SHARE = 2.0**-17
 RUN_SHARE = 2.0**-20
 DISCOUNT = 0.5
-BLOCK = 3 << 19
+BLOCK = 1 << 20
 WORD_BITS = 20
 
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, hashes binary, counts binary"
@@ -246,7 +246,7 @@ def grow(tree: Tree, discount: float = DISCOUNT) -> Tree:
         if keys_before is None:
             own_suffix = word
         else:
-            own_suffix = found_in(keys_before, (suffix[context] << WORD_BITS) | word)
+            own_suffix = found_in(keys_before, (suffix[context].astype(np.int64) << WORD_BITS) | word)
         by_suffix = given[own_suffix]
         all_n = counts.astype(float)
         kept_n = np.bincount(context, n, len(counts))

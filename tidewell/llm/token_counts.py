@@ -20,16 +20,17 @@ from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.text import struct_udf, words
+from tidewell.llm.text import raw, words
 
 MARK = "▁"
-KNOWN = 500_000
+KNOWN = 1_500_000
 UNKNOWN = 20.0
 MOST_FILE = 64 << 20
 
@@ -76,29 +77,32 @@ def trie_counts(tokens: Iterable[str], scores: dict[str, float]) -> dict[str, in
     return out
 
 
-def counter(held):
-    def make():
-        scores, known = held.value, {}
-
-        def count(text: bytes) -> tuple[int, int]:
-            found = words(text)
-            new = {w for w in set(found) if w not in known}
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = set(found)
-            if new:
-                marked = {w: MARK + w.decode("utf-8", "replace") for w in new}
-                counts = trie_counts(marked.values(), scores)
-                known.update((w, counts[m]) for w, m in marked.items())
-            return len(found), sum(map(known.__getitem__, found))
+def counter(held, part: int = 1024):
+    """Arrow function over texts: words and tokens of each, a trie for the new words of some texts at a time."""
 
-        return count
-
-    return make
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores, known = held.value, {}
+        for texts in batches:
+            rows = []
+            for at in range(0, len(texts), part):
+                found = [words(x) for x in raw(texts.slice(at, part))]
+                distinct = set().union(*found)
+                new = [w for w in distinct if w not in known]
+                if len(known) + len(new) > KNOWN:
+                    known, new = {}, list(distinct)
+                marked = [MARK + w.decode("utf-8", "replace") for w in new]
+                counts = trie_counts(marked, scores)
+                known.update(zip(new, map(counts.__getitem__, marked)))
+                rows += [(len(f), sum(map(known.__getitem__, f))) for f in found]
+            columns = zip(*rows) if rows else [[], []]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS.fieldNames())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, COUNTS).asNondeterministic()
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every row."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
-    counted = docs.select("doc_id", struct_udf(counter(held), COUNTS)(F.col("text")).alias("c"))
+    counted = docs.select("doc_id", counter(held)(F.col("text")).alias("c"))
     return counted.select("doc_id", "c.n_words", "c.n_tokens")
