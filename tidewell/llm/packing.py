@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ KNOWN = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
@@ -54,18 +59,24 @@ class Encoder:
         self.known: dict[str, bytes] = Bounded(self.encode, KNOWN)
 
     def encode(self, run: str) -> bytes:
-        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        return as_bytes(self.tokenizer.encode(run, add_special_tokens=False).ids)
 
     def learn(self, texts: list[str]) -> None:
-        """Encode the new runs of a batch together, as far as there is room for them."""
+        """Encode the new runs of a batch together, as far as there is room for them.
+
+        Letters and a point or comma after them are tokenised apart, so such runs follow from their letters.
+        """
         new = [run for run in set().union(*(t.split(" ") for t in texts)) if run not in self.known]
-        if len(self.known) + len(new) > self.known.most:
+        if len(self.known) + 2 * len(new) > self.known.most:
             self.known.clear()
-        runs = new[: self.known.most]
+        ended = {run: run[:-1] for run in new if run[-1:] in (".", ",") and run[:-1].isalpha()}
+        runs = list({x for run in new if (x := ended.get(run, run)) not in self.known} | {".", ","})[: self.known.most // 2]
         for i in range(0, len(runs), 20_000):
             part = runs[i : i + 20_000]
             for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[run] = np.array(e.ids, "<u4").tobytes()
+                self.known[run] = as_bytes(e.ids)
+        for run, letters in ended.items():
+            self.known[run] = self.known[letters] + self.known[run[-1]]
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, text.split(" ")))
@@ -89,7 +100,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 def to_pieces(model, length: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
-        last = np.array([end], "<u4").tobytes()
+        last = as_bytes([end])
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
