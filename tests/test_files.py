@@ -138,24 +138,22 @@ def test_projection_reaches_the_scan(spark, sf, plan):
 
 
 
-def test_large_csv_is_split_unless_quotes_hold_breaks(spark, folder, monkeypatch):
-    monkeypatch.setattr(FS, "_split_bytes", lambda s: 1000)
-    plain = "id,v\n" + "".join(f'{i},"x ""{i}"""\n' for i in range(200))
-    put(folder / "plain" / "a.csv", plain)
-    put(folder / "broken" / "a.csv", plain + '999,"two\nlines"\n')
-    put(folder / "small" / "a.csv", "id,v\n1,x\n")
-    for name, expected in (("plain", False), ("broken", True), ("small", True)):
-        assert FS._breaks_in_quotes(spark, [str(folder / name)]) is expected
-    assert FS.read_files(spark, str(folder / "plain"), "csv").count() == 200
-    rows = FS.read_files(spark, str(folder / "broken"), "csv")
-    assert rows.count() == 201 and rows.filter("id = '999'").first()["v"] == "two\nlines"
-
-
-@pytest.mark.parametrize("text,size", [("134217728", 1 << 27), ("128MB", 1 << 27), ("64k", 1 << 16), ("134217728b", 1 << 27)])
-def test_split_bytes(spark, text, size):
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", text)
+def test_csv_rows_do_not_depend_on_the_split_size(spark, folder):
+    put(folder / "broken" / "a.csv", "id,v\n" + "".join(f'{i},"x\r{i}"\n' for i in range(200)) + '999,"two\nlines"\n')
+    before, counts = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
     try:
-        assert FS._split_bytes(spark) == size
+        for size in ("128m", "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            counts.append(FS.read_files(spark, str(folder / "broken"), "csv").count())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert counts == [201, 201]
+
+
+def test_cap_keeps_all_files_of_one_time(spark, folder):
+    for name in "abc":
+        put(folder / "in" / f"{name}.csv", "id\n1\n", 1_700_000_000)
+    put(folder / "in" / "d.csv", "id\n1\n", 1_700_000_100)
+    first = FS.list_files(spark, str(folder / "in"), max_files=2)
+    assert first.count() == 3
+    assert FS.list_files(spark, str(folder / "in"), newer_than=datetime.fromtimestamp(1_700_000_000, timezone.utc), max_files=2).count() == 1

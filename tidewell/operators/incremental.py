@@ -111,9 +111,15 @@ def _bound(df: DataFrame, cursor: str, value: Any, cursor_type: str) -> Column:
     return watermark_literal(value, cursor_type, df.schema[cursor].dataType)
 
 
+def _above(df: DataFrame, cursor: str, lo: Any, cursor_type: str) -> Column:
+    """Nothing is below empty text, so beyond a bound a null is out either way: the bare column is pushed down."""
+    col = cursor_value(df, cursor, cursor_type) if cursor_type == "timeuuid" else F.col(cursor)
+    return col > _bound(df, cursor, lo, cursor_type)
+
+
 def cursor_after(df: DataFrame, cursor: str, lo: Any, cursor_type: str) -> DataFrame:
     """Rows strictly after the watermark."""
-    return df.filter(cursor_value(df, cursor, cursor_type) > _bound(df, cursor, lo, cursor_type))
+    return df.filter(_above(df, cursor, lo, cursor_type))
 
 
 def _back_off(lo: Any, cursor_type: str, lookback: Any) -> Any:
@@ -141,8 +147,11 @@ def incremental_range(
         if hi is None:
             return df
         return df.filter(F.col(cursor).isNull() | (col <= _bound(df, cursor, hi, cursor_type)))
-    df_lo = df.filter(col > _bound(df, cursor, lo, cursor_type))
-    return df_lo if hi is None else df_lo.filter(col <= _bound(df, cursor, hi, cursor_type))
+    df_lo = df.filter(_above(df, cursor, lo, cursor_type))
+    if hi is None:
+        return df_lo
+    top = col if cursor_type == "timeuuid" else F.col(cursor)
+    return df_lo.filter(top <= _bound(df, cursor, hi, cursor_type))
 
 
 def high_watermark(df: DataFrame, cursor: str, cursor_type: str = "") -> DataFrame:

@@ -132,11 +132,22 @@ def _events(job: LoadJob, table: str, rows: DataFrame) -> DataFrame:
     return add_cdc_meta(apply_masking(rows, table, job.masking), source=job.id)
 
 
+def lists_by_time(job: LoadJob, table: str) -> bool:
+    """Whether the watermark is a file's time; a cursor in the data says nothing about files."""
+    configured = job.options.get("snapshot_cursor_column") or job.tables_config.get(table, {}).get("cursor_column")
+    default = SOURCE_TYPES[job.source_type].default_cursor
+    return SOURCE_TYPES[job.source_type].kind in ("files", "blobs") and configured in (None, "", default)
+
+
 def load_table(job: LoadJob, table: str, source: Source, target: Target, state: StateStore) -> int:
     """Load one table; returns the number of rows written."""
     lo = state.get_offset(job.id, table) if job.load_mode == "incremental" else None
     lo = None if lo == FULL_DONE else lo
-    rows = source.read(table, newer_than=lo)
+    settings = {**getattr(source, "config", {}).get("connection", {}), **job.tables_config.get(table, {})}
+    by_file_time = lists_by_time(job, table)
+    if settings.get("max_files_per_run") and (job.load_mode != "incremental" or not by_file_time):
+        raise ValueError("max_files_per_run needs an incremental load by file time; it would leave files out")
+    rows = source.read(table, newer_than=lo if by_file_time else None)
     if rows is None:
         if job.load_mode in REPLACING and target.exists():
             target.replace(target.read().limit(0))
@@ -156,6 +167,8 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
     cursor, cursor_type = job.cursor_for(table, rows)
     hi = source.high_watermark(table, cursor, rows, cursor_type)
     lookback = job.tables_config.get(table, {}).get("lookback")
+    if lookback and not keys:
+        raise ValueError("a lookback rereads rows, so the table needs a primary key")
     if lo is not None and not advances(lo, hi, cursor_type):
         if not lookback:
             return 0

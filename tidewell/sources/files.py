@@ -65,14 +65,14 @@ class FileOptions:
     """Reader options of one table: connection defaults overlaid by its own settings.
 
     ``csv_multiline`` allows line breaks inside quotes, for which a file must be read by one
-    task; left open, it is decided by a look at the files. ``csv_empty_text`` reads an empty
+    task; false, a line is a record and Spark splits large files. It never depends on sizes. ``csv_empty_text`` reads an empty
     field as empty text instead of null. ``schema`` (DDL) spares the pass that infers one.
     """
 
     file_format: str | None = None
     csv_delimiter: str = ","
     csv_has_header: bool = True
-    csv_multiline: bool | None = None
+    csv_multiline: bool = True
     csv_empty_text: bool = False
     json_document: bool = False
     schema: str | None = None
@@ -88,7 +88,7 @@ class FileOptions:
             file_format=merged.get("file_format"),
             csv_delimiter=merged.get("csv_delimiter", ","),
             csv_has_header=_flag(merged, "csv_has_header", True),
-            csv_multiline=_flag(merged, "csv_multiline", True) if "csv_multiline" in merged else None,
+            csv_multiline=_flag(merged, "csv_multiline", True),
             csv_empty_text=_flag(merged, "csv_empty_text", False),
             json_document=_flag(merged, "json_document", False),
             schema=merged.get("schema"),
@@ -132,14 +132,11 @@ def read_files(
         return reader.json(where)
     if fmt != "csv":
         raise ValueError(f"unsupported file format: {fmt}")
-    multiline = options.csv_multiline
-    if multiline is None:
-        multiline = _breaks_in_quotes(spark, where)
     # Values stay text; typing them is the job of conform(). A quote is escaped by doubling it.
     reader = reader.options(
         sep=options.csv_delimiter,
         header=str(options.csv_has_header).lower(),
-        multiLine=str(multiline).lower(),
+        multiLine=str(options.csv_multiline).lower(),
         escape='"',
     )
     rows = reader.csv(where)
@@ -148,26 +145,6 @@ def read_files(
     return rows.fillna("") if options.csv_empty_text else rows
 
 
-def _breaks_in_quotes(spark: SparkSession, where: Sequence[str]) -> bool:
-    """Whether CSV files may hold line breaks inside quotes.
-
-    Files too small to be split are read whole by one task in any case, so nothing is lost by
-    allowing for it. Of larger ones the lines are searched, in parallel: a record that goes on
-    in the next line leaves an odd number of quotes on this one.
-    """
-    if list_files(spark, where).filter(F.col("length") > _split_bytes(spark)).isEmpty():
-        return True
-    lines = spark.read.option("recursiveFileLookup", "true").text(list(where))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
-
-
-def _split_bytes(spark: SparkSession) -> int:
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    units = {"k": 10, "m": 20, "g": 30}
-    return int(size[:-1]) << units[size[-1]] if size[-1] in units else int(size)
-
-
 def list_files(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -179,8 +156,8 @@ def list_files(
 ) -> DataFrame:
     """Files below a path as rows of ``path, modificationTime, length``.
 
-    ``newer_than`` is exclusive. The cap keeps the oldest files, after sorting, so that the
-    next run goes on where this one stopped. A list of names wins over a pattern, which is
+    ``newer_than`` is exclusive. The cap keeps the oldest files, and all of the time of the last
+    kept one, however many: the next run goes on after that time and misses none. A list of names wins over a pattern, which is
     matched against the part of a name below ``path``.
     """
     where = [path] if isinstance(path, str) else list(path)
@@ -201,7 +178,12 @@ def list_files(
         found = found.filter(below.isin(*files))
     elif pattern:
         found = found.filter(below.rlike(pattern))
-    return found if max_files is None else found.orderBy("modificationTime", "path").limit(max_files)
+    if max_files is None:
+        return found
+    oldest = found.select("modificationTime").orderBy("modificationTime").limit(max_files)
+    last = oldest.agg(F.unix_micros(F.max("modificationTime"))).first()[0]
+    kept = found if last is None else found.filter(F.col("modificationTime") <= F.timestamp_micros(F.lit(last)))
+    return kept.orderBy("modificationTime", "path")
 
 
 def _instant(value: datetime | str) -> Column:

@@ -85,6 +85,9 @@ def apply_stream(
     committed batch keeps a replay from being written twice.
     """
 
+    if not source_table and len(targets) > 1:
+        raise ValueError("several targets need source_table, which says where a row belongs")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if source_table:
             # Kept while its tables are written one after the other.

@@ -1,67 +1,19 @@
-"""Stateful alert suppression: one value of state per alert key, the time it last fired.
+"""Alert suppression over a stream: the table of fired alerts is the state.
 
-``cooldown_stream`` keeps that value in the state store and passes the rows of a key through one
-task. ``cooldown_batches`` keeps it in the table of fired alerts and follows the chains of a batch
-with the batch operator, which splits the rows of a hot key over many tasks.
+``cooldown_batches`` follows the chains of a batch with the batch operator.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators.alerts import alert_cooldown
 from tidewell.plans.tables import Target
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class CooldownProcessor(StatefulProcessor):
-    """Lets an alert through when its key has been silent for the cooldown."""
-
-    def __init__(self, cooldown: int, key_names: Sequence[str], ts: str):
-        self.cooldown, self.key_names, self.ts = cooldown, list(key_names), ts
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_fired", "fired bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        fired = []
-        for frame in rows:
-            for t in frame[self.ts]:
-                if last is None or t - last >= self.cooldown:
-                    fired.append(int(t))
-                    last = int(t)
-        if fired:
-            self.last.update((last,))
-            columns = {name: [part] * len(fired) for name, part in zip(self.key_names, key)}
-            yield pd.DataFrame({**columns, self.ts: fired})
-
-    def close(self) -> None:
-        pass
-
-
-def cooldown_stream(alerts: DataFrame, keys: Sequence[str], ts: str, cooldown: int) -> DataFrame:
-    """Alerts that fire. Needs the RocksDB state store (``STATE_STORE``).
-
-    Rows of a key reach the processor in the order they arrive, which for alerts is the order
-    of the checks that raised them.
-    """
-    k = list(keys)
-    thin = alerts.select(*k, F.col(ts).cast("bigint").alias(ts))
-    schema = thin.schema
-    return thin.groupBy(*k).transformWithStateInPandas(
-        statefulProcessor=CooldownProcessor(cooldown, k, ts),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
-
 
 def cooldown_batches(
     alerts: DataFrame,

@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.sources.files import with_source_file
 
-# Fixed value: days for which a file is known as loaded.
+# Fixed value: days for which a notice is known.
 DEDUPE_LOOKBACK_DAYS = 14
+ANY_AGE = "36500d"
 
 
 def file_stream(
@@ -21,14 +22,17 @@ def file_stream(
     schema: T.StructType | str,
     fmt: str = "parquet",
     max_files: int = 1000,
-    lookback_days: int = DEDUPE_LOOKBACK_DAYS,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """New files as a stream. The checkpoint is the ledger; ``maxFileAge`` is its lookback."""
+    """New files as a stream, whatever their age.
+
+    The checkpoint is the ledger of loaded files. Spark leaves out files older than ``maxFileAge``,
+    so that is set beyond any file; the ledger then keeps every path.
+    """
     reader = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
-        .option("maxFileAge", f"{lookback_days}d")
+        .option("maxFileAge", ANY_AGE)
     )
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
