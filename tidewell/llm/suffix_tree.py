@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.components import stored
+from tidewell.llm.components import arrow_batches, stored
 from tidewell.llm.text import FOLDS, lower_words, raw
 
 HELD_OUT = 1
@@ -42,6 +42,7 @@ WORD_SHARE = 2.0**-17
 RUN_SHARE = 2.0**-20
 DISCOUNT = 0.5
 BLOCK = 1 << 20
+BATCH = "4m"
 WORD_BITS = 20
 
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, hashes binary, counts binary"
@@ -343,8 +344,9 @@ def score(docs: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE, r
     """Scores of every row under the tree learnt from the rows that are not held out."""
     spark = docs.sparkSession
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_blocks, BLOCKS)
-    blocks = stored(blocks, "blocks")
-    tree, counts = learn(blocks, depth, word_share, run_share)
+    with arrow_batches(spark, BATCH):
+        blocks = stored(blocks, "blocks")
+        tree, counts = learn(blocks, depth, word_share, run_share)
     held = spark.sparkContext.broadcast(vars(tree))
     rare = blocks.mapInArrow(rare_words(held), "key long, block long, at int").join(counts, "key").select("block", "at", "n")
     return blocks.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(score_block(held), SCORES)
