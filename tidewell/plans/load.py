@@ -19,7 +19,8 @@ from tidewell.operators.merge import MergeRules
 from tidewell.plans.rowlevel import merge_into, supports_row_level
 from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
-from tidewell.sources.dialects import SOURCE_TYPES, default_cursor
+from tidewell.sources.dialects import SOURCE_TYPES, default_cursor, refetched
+from tidewell.sources.readers import LANDED
 
 # Load modes; the last two replace the target.
 REPLACING = ("ctas", "full_replace")
@@ -32,6 +33,8 @@ class Source(Protocol):
 
     def read(self, table: str, newer_than: Any = None) -> DataFrame | None: ...
 
+    def keys(self, table: str) -> tuple[str, ...]: ...
+
     def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any: ...
 
 
@@ -44,6 +47,9 @@ class FrameSource:
     def read(self, table: str, newer_than: Any = None) -> DataFrame:
         return self.frames[table]
 
+    def keys(self, table: str) -> tuple[str, ...]:
+        return ()
+
     def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any:
         return high_watermark_value(rows, cursor, cursor_type)
 
@@ -152,30 +158,32 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
         if job.load_mode in REPLACING and target.exists():
             target.replace(target.read().limit(0))
         return 0
-    state.note_schema(job.id, table, rows.schema)
+    state.note_schema(job.id, table, rows.drop(LANDED).schema)
     keys = target.keys or tuple(job.tables_config.get(table, {}).get("primary_key", ()))
-    keys = keys or tuple(primary_keys(rows.schema))
+    keys = keys or tuple(primary_keys(rows.schema)) or source.keys(table)
+    landed = (LANDED,) if LANDED in rows.columns else ()
     if job.load_mode != "incremental":
         events, metrics = observed(_events(job, table, rows))
         if job.load_mode == "full":
-            _write(target, events, keys)
+            _write(target, events, keys, order_by=landed)
         else:
-            target.replace(events)
+            target.replace(events.drop(LANDED))
         state.set_offset(job.id, table, FULL_DONE, "string")
         return metrics.get["rows"]
 
     cursor, cursor_type = job.cursor_for(table, rows)
+    whole = bool(keys) and refetched(job.source_type, table)
     hi = source.high_watermark(table, cursor, rows, cursor_type)
     lookback = job.tables_config.get(table, {}).get("lookback")
     if lookback and not keys:
         raise ValueError("a lookback rereads rows, so the table needs a primary key")
-    if lo is not None and not advances(lo, hi, cursor_type):
+    if not whole and lo is not None and not advances(lo, hi, cursor_type):
         if not lookback:
             return 0
         hi = lo
-    selected = incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
+    selected = rows if whole else incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
     events, metrics = observed(_events(job, table, selected))
-    _write(target, events, keys, order_by=(cursor,))
+    _write(target, events, keys, order_by=(*landed, cursor) if whole else (cursor, *landed))
     if hi is not None:
         state.set_offset(job.id, table, hi, cursor_type)
     return metrics.get["rows"]
@@ -190,7 +198,7 @@ def _write(target: Target, rows: DataFrame, keys: tuple[str, ...], order_by: tup
     elif keys:
         target.merge(rows, rules)
     else:
-        target.append(rows)
+        target.append(rows.drop(LANDED))
 
 
 def run_job(

@@ -21,6 +21,7 @@ from tidewell.operators import schema as S
 from tidewell.operators.dedup import current_state, dedup_last_by_key
 from tidewell.operators.flatten import canonicalize_values, normalize_values
 from tidewell.plans import state as P
+from tidewell.plans.config import run_configured
 from tidewell.plans.copy_into import copy_into
 from tidewell.plans.load import FrameSource, LoadJob, observed, run_job
 from tidewell.plans.tables import Target, clustered
@@ -661,6 +662,26 @@ def load_incremental_resume(spark, sf):
     return spark.table(job.target_table).select(*orders.columns)
 
 
+@query(
+    """SELECT CAST(c_custkey AS BIGINT) AS campaign_id, c_mktsegment AS status,
+      CASE WHEN c_custkey % 3 = 0 THEN 'New ' || c_name ELSE c_name END AS campaign_name FROM customer"""
+)
+def job_payload_twice(spark, sf):
+    """A configured ads job over pages landed from customers, run again when a third have landed renamed."""
+    landing, root, tag = fresh_dir(spark, "pages"), fresh_dir(spark, "ads"), _tag()
+    state = P.StateStore(spark, root, f"state_{tag}")
+    customer = read_table(spark, sf, "customer")
+    renamed = customer.filter("c_custkey % 3 = 0").withColumn("c_name", F.concat(F.lit("New "), "c_name"))
+    job = {"id": "ads", "source_type": "google_ads", "connection": {"landing": landing}, "tables": ["campaigns"]}
+    for page in (customer, renamed):
+        campaign = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
+        page.select(campaign.alias("campaign")).write.mode("append").json(f"{landing}/campaigns")
+        (result,) = run_configured(spark, {"jobs": [{**job, "target_table": f"ads_{tag}"}]}, root, state)["ads"]
+        if result.error:
+            raise RuntimeError(result.error)
+    return spark.table(f"ads_{tag}").select("campaign_id", "campaign_name", "status")
+
+
 @query("SELECT 'orders' AS table_name, 'success' AS status, count(*) AS rows FROM orders")
 def run_metrics(spark, sf):
     """The run record counts the rows while they are written."""

@@ -119,3 +119,20 @@ def read_catalog(spark: SparkSession, source: str, connection: Mapping[str, Any]
     native = F.col("data_type") if source in ("postgres", "clickhouse", "spanner") else F.lower("data_type")
     typed = columns.withColumn("data_type", lookup_type(dict(dialect.type_map), native))
     return primary_key_columns(typed, keys)
+
+
+# Dialects whose catalog answers ``KEY_COLUMNS_QUERY``.
+KEY_CATALOGS = ("postgres", "mysql", "sqlserver")
+
+
+def primary_key_of(spark: SparkSession, source: str, connection: Mapping[str, Any], table: str) -> tuple[str, ...]:
+    """Key columns of one table by the catalog; none where it has no key or the catalog no such table.
+
+    The filters are pushed to the database. An undotted table of a dialect without a default schema lies
+    in the connection's database.
+    """
+    dialect = DIALECTS[source]
+    schema, name = default_schema(table, connection.get("schema") or dialect.default_schema or connection.get("database", ""))
+    found = read_database(spark, source, connection, "keys", config={"query": KEY_COLUMNS_QUERY})
+    found = found.filter((F.col("table_schema") == schema) & (F.col("table_name") == name))
+    return tuple(sorted(r["column_name"] for r in found.collect()))

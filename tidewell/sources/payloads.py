@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.scalars import ad_metrics, date_from_parts, ms_to_date, pivot_ids, urn_id
-from tidewell.model import canonical_type, field
+from tidewell.model import canonical_type, field, with_primary_key
 from tidewell.operators.flatten import flatten_joined, promote_properties, unnest_pages
 
 
@@ -318,8 +318,13 @@ def _money(schema: T.StructType, path: str) -> Column:
     return F.when(F.col(parent).isNotNull(), F.coalesce(amount, F.lit(0.0)))
 
 
-def map_payload(raw: DataFrame, table: Sequence[Mapped], account_id: int | str | None = None) -> DataFrame:
-    """Raw nested rows to the typed columns of a mapping, in one projection."""
+def map_payload(
+    raw: DataFrame, table: Sequence[Mapped], account_id: int | str | None = None, keep: Sequence[Column] = ()
+) -> DataFrame:
+    """Raw nested rows to the typed columns of a mapping, its keys flagged, in one projection.
+
+    ``keep`` are columns of the raw rows passed on.
+    """
     schema = raw.schema
     kinds: dict[str, Callable[[Mapped], Column]] = {
         "value": lambda m: _first_filled(schema, m.paths),
@@ -329,7 +334,8 @@ def map_payload(raw: DataFrame, table: Sequence[Mapped], account_id: int | str |
         "money": lambda m: _money(schema, m.paths[0]),
         "account": lambda m: F.lit(account_id),
     }
-    return raw.select(*[kinds[m.kind](m).try_cast(canonical_type(m.type)).alias(m.name) for m in table])
+    columns = [kinds[m.kind](m).try_cast(canonical_type(m.type)).alias(m.name) for m in table]
+    return with_primary_key(raw.select(*columns, *keep), [m.name for m in table if m.primary_key])
 
 
 def read_payload(spark: SparkSession, paths: str | Sequence[str], table: Sequence[Mapped], **kwargs) -> DataFrame:
@@ -352,7 +358,8 @@ def map_analytics(elements: DataFrame, pivot: str) -> DataFrame:
         "cost_in_usd": usd,
         **counts,
     }
-    return elements.select(*[c.alias(n) for n, c in columns.items()])
+    keys = ("creative_id" if pivot == "CREATIVE" else "campaign_id", "date")
+    return with_primary_key(elements.select(*[c.alias(n) for n, c in columns.items()]), keys)
 
 
 def audience_counts(campaigns: DataFrame, landed: DataFrame, fetched_at: str) -> DataFrame:

@@ -7,14 +7,17 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.operators.incremental import high_watermark_value
 from tidewell.sources import payloads
 from tidewell.sources.dialects import DIALECTS, SOURCE_TYPES, SourceType
 from tidewell.sources.files import FileOptions, list_files, read_detected, resolve_prefix
-from tidewell.sources.jdbc import cursor_bound_query, read_database
+from tidewell.sources.jdbc import KEY_CATALOGS, cursor_bound_query, primary_key_of, read_database
 from tidewell.sources.table_formats import delta_snapshot, hudi_snapshot
 
+# When the page a row came with was landed. Of rows with one key the latest counts; it is not stored.
+LANDED = "__landed"
 PAYLOAD_TABLES = {"google_ads": payloads.GOOGLE_ADS, "linkedin_ads": payloads.LINKEDIN_ADS}
 
 
@@ -67,6 +70,13 @@ class ConfiguredSource:
             return hudi_snapshot(spark, path)
         return read_landed(spark, self.config["source_type"], table, path, connection, settings.get("schema"))
 
+    def keys(self, table: str) -> tuple[str, ...]:
+        """Primary key by the catalog of the database; none for a query or another kind of source."""
+        source = self.source
+        if source.dialect not in KEY_CATALOGS or self._table_config(table).get("query"):
+            return ()
+        return primary_key_of(self.spark, source.dialect, self.config.get("connection", {}), table)
+
     def high_watermark(self, table: str, cursor: str, rows: DataFrame, cursor_type: str = "") -> Any:
         """Maximum cursor. For files it is that of the very files ``read`` listed; a database
         reached by JDBC computes it itself."""
@@ -93,7 +103,8 @@ def read_landed(
     mapping = PAYLOAD_TABLES.get(source_type, {}).get(table)
     if mapping:
         extra = {"account_id": connection["account_id"]} if source_type == "linkedin_ads" else {}
-        return payloads.read_payload(spark, path, mapping, **extra)
+        raw = spark.read.schema(payloads.raw_schema(mapping)).json(path)
+        return payloads.map_payload(raw, mapping, keep=[F.col("_metadata.file_modification_time").alias(LANDED)], **extra)
     if source_type == "zendesk":
         pages = spark.read.schema(payloads.zendesk_page_schema(table)).json(path)
         return payloads.zendesk_rows(pages, table)
