@@ -46,51 +46,91 @@ KNOWN = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: bytes) -> tuple[int, ...]:
-    """Hashed features of one word: its letters, and their runs with marked ends."""
-    out = set()
-    for core in LETTERS.findall(word.decode("utf-8", "replace").lower()):
-        marked = b"^" + core.encode() + b"$"
-        out.add(marked)
-        out.update([marked[i : i + n] for n in RUNS for i in range(len(marked) - n + 1)])
-    return tuple({crc & (SPACE - 1) for crc in map(zlib.crc32, out)})
+# By byte, what it does to a CRC-32: worked out from the CRC of one byte.
+CRC = np.array([zlib.crc32(bytes([b ^ 0xFF])) for b in range(256)], np.uint32) ^ np.uint32(0xFF000000)
+
+
+def hashed(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, as the word's place in the list and the feature, some of them twice.
+
+    They are the word's runs of letters, with marked ends, and the byte runs of those.
+    """
+    cores, owners = [], []
+    for i, word in enumerate(found):
+        if word.isalpha():
+            cores.append(b"^%b$" % word.lower())
+            owners.append(i)
+            continue
+        for core in LETTERS.findall(word.decode("utf-8", "replace").lower()):
+            cores.append(b"^%b$" % core.encode())
+            owners.append(i)
+    sizes, owner = np.array([len(c) for c in cores], np.int64), np.array(owners, np.int64)
+    places, values = [owner], [np.fromiter(map(zlib.crc32, cores), np.uint32, len(cores))]
+    letters = np.frombuffer(b"".join(cores), np.uint8)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))
+    of_letter = np.repeat(owner, sizes)
+    # The CRC of the run from each letter on, one letter longer each time.
+    state = np.full(len(letters), 0xFFFFFFFF, np.uint32)
+    for n in range(1, max(RUNS) + 1):
+        state = state[: max(0, len(letters) - n + 1)]
+        state = CRC[(state ^ letters[n - 1 :]) & 0xFF] ^ (state >> 8)
+        if n in RUNS:
+            inside = left[: len(state)] >= n
+            places.append(of_letter[: len(state)][inside])
+            values.append(~state[inside])
+    return np.concatenate(places), np.concatenate(values) & np.uint32(SPACE - 1)
 
 
 class Seen:
-    """What of the words of a text matters, each word worked out once while there is room."""
+    """What of the words of a text matters, each word worked out once while there is room.
 
-    def __init__(self, of):
-        self.of, self.known, self.useful = of, set(), {}
+    ``place`` has a number for each feature that matters, and -1 for all others.
+    """
+
+    def __init__(self, place: np.ndarray):
+        self.place, self.known, self.useful = place, set(), {}
 
     def __call__(self, text: bytes) -> set[int]:
         found = set(words(text))
         new = found - self.known
         if len(self.known) + len(new) > KNOWN:
             self.known, self.useful, new = set(), {}, found
-        for w in new:
-            if own := self.of(w):
-                self.useful[w] = own
-        self.known |= new
+        if new:
+            listed = list(new)
+            word, feature = hashed(listed)
+            own = self.place[feature]
+            hit = own >= 0
+            for w, f in zip(word[hit].tolist(), own[hit].tolist()):
+                self.useful.setdefault(listed[w], set()).add(f)
+            self.known |= new
         return set().union(*(self.useful[w] for w in self.useful.keys() & found))
 
 
+def places(chosen: list[int]) -> np.ndarray:
+    """Place of each chosen feature, by feature."""
+    out = np.full(SPACE, -1, np.int32)
+    out[np.array(chosen, np.int64)] = np.arange(len(chosen))
+    return out
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each feature, among the positive and the unlabelled texts of a task."""
-    of, totals = Seen(features), np.zeros((2, SPACE), np.int64)
+    totals = np.zeros((2, SPACE), np.int64)
     for batch in batches:
         for positive, unlabelled, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))):
-            own = np.fromiter(of(text), np.int64)
+            # A feature found twice counts once: that is what adding at a list of places does.
+            own = hashed(list(set(words(text))))[1]
             totals[0, own] += positive
             totals[1, own] += unlabelled
     some = np.flatnonzero(totals.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["feature", "p", "u"])
 
 
-def chosen_rows(chosen: dict[int, int]):
+def chosen_rows(chosen: list[int]):
     """Places of the chosen features that each sampled text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Seen(lambda w: tuple(chosen[f] for f in features(w) if f in chosen))
+        of = Seen(places(chosen))
         for batch in batches:
             rows = [sorted(of(x)) for x in raw(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "unlabelled", "places"])
@@ -161,18 +201,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     best = counts.where((F.col("p") >= 3) & (surplus > STANDARD_ERRORS) & (toxic > 4 * clean))
     best = best.select("feature", (toxic * F.log(toxic / clean)).alias("gain")).orderBy(F.desc("gain"), "feature")
     picked = [r.feature for r in best.limit(most_features).collect()]
-    place = {f: i for i, f in enumerate(picked)}
-    table = rows.mapInArrow(chosen_rows(place), "positive long, unlabelled long, places array<int>").collect()
+    table = rows.mapInArrow(chosen_rows(picked), "positive long, unlabelled long, places array<int>").collect()
     weights, bias = fit([tuple(r) for r in table], len(picked), prior)
     return Model({f: float(w) for f, w in zip(picked, weights)}, bias)
 
 
 def scorer(model: Model):
     weights, bias = list(model.weights.values()), model.bias
-    place = {f: i for i, f in enumerate(model.weights)}
+    chosen = list(model.weights)
 
     def make():
-        of = Seen(lambda w: tuple(place[f] for f in features(w) if f in place))
+        of = Seen(places(chosen))
 
         def score(text: bytes) -> float:
             z = bias + sum(weights[i] for i in sorted(of(text)))
