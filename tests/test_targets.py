@@ -175,6 +175,53 @@ def test_partition_merge_may_empty_a_partition(spark, tmp_path, name):
     assert state_of(t.read()) == {3: "c", 4: "d"}
 
 
+def test_partition_merge_that_dies_leaves_whole_partitions(spark, tmp_path, name, monkeypatch):
+    ddl = "k int, v string, p string"
+    t = Target(spark, name, str(tmp_path), keys=("k", "p"), partition_by=("p",))
+    t.replace(stamped(frame(spark, (1, "a", "it's"), (2, "b", "x%y"), ddl=ddl)))
+    change = stamped(frame(spark, (1, "A", "it's"), (2, "B", "x%y"), (3, "C", "a/b"), ddl=ddl), 5)
+    with monkeypatch.context() as broken:
+        broken.setattr(Target, "_relocate", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            t.merge(change)
+    assert state_of(t.read()) == {1: "a", 2: "b"}
+    for _ in range(2):
+        t.merge(change)
+        assert state_of(t.read()) == {1: "A", 2: "B", 3: "C"}
+    # The first version, the one that died and the first of the two repeats; reads go on.
+    assert t.expire_versions(datetime.now() - timedelta(days=1)) == 0
+    t.expire_versions(datetime.now() + timedelta(seconds=5))
+    assert state_of(t.read()) == {1: "A", 2: "B", 3: "C"}
+    assert len([p for p in (tmp_path / name).iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_partitions_hold_empty_text_as_null(spark, tmp_path, name):
+    ddl = "k int, v string, p string"
+    t = Target(spark, name, str(tmp_path), keys=("k",), partition_by=("p",))
+    t.replace(stamped(frame(spark, (1, "a", None), (2, "b", "x"), ddl=ddl)))
+    t.merge_partitions(stamped(frame(spark, (3, "c", ""), ddl=ddl), 5), MergeRules(("k",)))
+    assert state_of(t.read()) == {1: "a", 2: "b", 3: "c"}
+    t = Target(spark, name, str(tmp_path), keys=("k", "p"), partition_by=("p",))
+    assert t.merge(stamped(frame(spark, (9, "lost", ""), ddl=ddl), 5)) == 1
+
+
+def test_merge_by_a_key_with_the_partition_rewrites_touched_partitions(spark, tmp_path, name):
+    ddl = "k int, v string, p int"
+    t = Target(spark, name, str(tmp_path), keys=("k", "p"), partition_by=("p",), sort_by=("v",))
+    t.replace(stamped(frame(spark, (1, "a", 1), (2, "b", 2), ddl=ddl)))
+    kept = set(t.read().filter("p = 1").inputFiles())
+    t.merge(stamped(frame(spark, (2, "B", 2), (1, "c", 3), ddl=ddl), 5))
+    assert sorted((r["k"], r["p"], r["v"]) for r in t.read().collect()) == [(1, 1, "a"), (1, 3, "c"), (2, 2, "B")]
+    assert set(t.read().filter("p = 1").inputFiles()) == kept
+    t.append(stamped(frame(spark, (5, "e", 2), ddl=ddl)))
+    assert t.read().filter("p = 2").count() == 2
+
+
+def test_buckets_and_partitions_exclude_each_other(spark, tmp_path, name):
+    with pytest.raises(ValueError, match="either bucketed or partitioned"):
+        Target(spark, name, str(tmp_path), keys=("k",), buckets=4, partition_by=("p",))
+
+
 def test_partitioned_tables_are_replaced_and_merged_whole(spark, tmp_path, name):
     ddl = "k int, v string, p int"
     t = Target(spark, name, str(tmp_path), keys=("k",), partition_by=("p",))
@@ -365,6 +412,17 @@ def test_keyed_copy_keeps_the_row_of_the_later_file(spark, tmp_path, name, state
     assert not [c for c in t.read().columns if c.startswith("__")]
 
 
+def test_layout_and_write_mode_come_from_the_configuration(spark, tmp_path, name, state):
+    table = {"partition_by": ["p"], "sort_by": ["v"], "write_mode": "append", "primary_key": ["k"]}
+    j = job(name, load_mode="full", tables_config={"a": table})
+    for _ in range(2):
+        run_job(spark, j, FrameSource({"a": frame(spark, (1, "x", 7), ddl="k int, v string, p int")}), str(tmp_path), state)
+    assert spark.table(name).count() == 2 and "p" in [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    bad = job(name, tables_config={"a": {"write_mode": "sideways"}})
+    (result,) = run_job(spark, bad, FrameSource({"a": frame(spark, (1, "x"))}), str(tmp_path), state)
+    assert "unknown write mode" in result.error
+
+
 def test_later_cursor_wins_within_a_load(spark, tmp_path, name, state):
     rows = [(1, "late", 9), (1, "early", 3), (1, "middle", 5)]
     j = job(name, options={"snapshot_cursor_column": "c"})

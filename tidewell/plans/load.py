@@ -16,7 +16,6 @@ from tidewell.functions.masking import apply_masking
 from tidewell.model import add_cdc_meta, primary_keys, target_name
 from tidewell.operators.incremental import advances, choose_cursor, high_watermark_value, incremental_range
 from tidewell.operators.merge import MergeRules
-from tidewell.plans.rowlevel import merge_into, supports_row_level
 from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 from tidewell.sources.dialects import SOURCE_TYPES, default_cursor, refetched
@@ -26,6 +25,7 @@ from tidewell.sources.readers import LANDED
 REPLACING = ("ctas", "full_replace")
 LOAD_MODES = ("incremental", "full", *REPLACING)
 FULL_DONE = "full:done"
+WRITE_MODES = ("merge", "append")
 
 
 class Source(Protocol):
@@ -93,6 +93,19 @@ class LoadJob:
             return self.target_table
         return f"{self.target_table}_{target_name(table, lakehouse=True)}"
 
+    def setting(self, table: str, name: str, default: Any = None) -> Any:
+        """What the table's configuration says, else the job's options."""
+        return self.tables_config.get(table, {}).get(name, self.options.get(name, default))
+
+    def layout(self, table: str) -> dict[str, tuple[str, ...]]:
+        return {name: tuple(self.setting(table, name) or ()) for name in ("partition_by", "sort_by")}
+
+    def write_mode(self, table: str) -> str:
+        mode = self.setting(table, "write_mode", "merge")
+        if mode not in WRITE_MODES:
+            raise ValueError(f"unknown write mode: {mode}")
+        return mode
+
     def cursor_for(self, table: str, df: DataFrame) -> tuple[str, str]:
         """Cursor column and type."""
         config = self.tables_config.get(table, {})
@@ -161,17 +174,19 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
     state.note_schema(job.id, table, rows.drop(LANDED).schema)
     keys = target.keys or tuple(job.tables_config.get(table, {}).get("primary_key", ()))
     keys = keys or tuple(primary_keys(rows.schema)) or source.keys(table)
+    merging = job.write_mode(table) == "merge"
     landed = (LANDED,) if LANDED in rows.columns else ()
     if job.load_mode != "incremental":
         events, metrics = observed(_events(job, table, rows))
         if job.load_mode == "full":
-            _write(target, events, keys, order_by=landed)
+            _write(target, events, keys if merging else (), order_by=landed)
         else:
             target.replace(events.drop(LANDED))
         state.set_offset(job.id, table, FULL_DONE, "string")
         return metrics.get["rows"]
 
     cursor, cursor_type = job.cursor_for(table, rows)
+    keys = keys if merging else ()
     whole = bool(keys) and refetched(job.source_type, table)
     hi = source.high_watermark(table, cursor, rows, cursor_type)
     lookback = job.tables_config.get(table, {}).get("lookback")
@@ -192,11 +207,8 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
 def _write(target: Target, rows: DataFrame, keys: tuple[str, ...], order_by: tuple[str, ...] = ()) -> None:
     """Merge by key, or append where there is none. All rows of a load carry one time, so of
     two with the same key the one with the later cursor is kept."""
-    rules = MergeRules(keys, order_by=order_by)
-    if keys and supports_row_level(target.spark, target.name):
-        merge_into(rows, target.name, rules)
-    elif keys:
-        target.merge(rows, rules)
+    if keys:
+        target.merge(rows, MergeRules(keys, order_by=order_by))
     else:
         target.append(rows.drop(LANDED))
 
@@ -221,7 +233,7 @@ def run_job(
         started = datetime.now(timezone.utc)
         rows, status, error = 0, "success", None
         try:
-            target = Target(spark, job.target_for(table), root, (keys or {}).get(table, ()), buckets)
+            target = Target(spark, job.target_for(table), root, (keys or {}).get(table, ()), buckets, **job.layout(table))
             rows = load_table(job, table, source, target, state)
         except Exception as exc:  # noqa: BLE001 - recorded as a failed run
             status, error = "error", str(exc)

@@ -2,19 +2,22 @@
 
 A table is an external Parquet table. A rewrite goes to a folder of its own and becomes
 current by ``ALTER TABLE ... SET LOCATION``, so readers see the old rows or the new ones and
-a lost executor costs only its tasks. (The catalog knows the partitions of a partitioned table
-one by one; there the new table takes the old one's name.) A keyed target may be bucketed by
-its key: then a merge shuffles the changes but not the target.
+a lost executor costs only its tasks. The catalog knows the partitions of a partitioned table
+one by one: a merge gives each partition it rewrote its new location, so readers see every
+partition before or after the merge, and a merge that died in between is repeated. Replacing a
+partitioned table whole gives the new table the old one's name. A keyed target may be bucketed
+by its key: then a merge shuffles the changes but not the target.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 from operator import and_, or_
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 from tidewell.model import primary_keys
 from tidewell.operators.merge import MergeRules, apply_latest, latest_changes, split_null_keys
 from tidewell.operators.schema import added_columns, conform, with_meta_schema
+from tidewell.plans.rowlevel import merge_into, supports_row_level
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,10 @@ class Target:
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        if self.buckets and self.partition_by:
+            raise ValueError(f"{self.name}: a target is either bucketed or partitioned")
+
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
@@ -128,16 +136,24 @@ class Target:
 
         The batch, one event per key, is written down first. So the source is read once and
         cannot differ between the uses of the batch, its size is known when Spark chooses the
-        join, and tasks that are lost are repeated from files.
+        join, and tasks that are lost are repeated from files. Only files or partitions with
+        changes are rewritten where the table's format, or a partitioning that follows from the
+        key, allows.
         """
         rules = rules or MergeRules(self.keys or tuple(primary_keys(changes.schema)))
         if not rules.keys:
             raise ValueError(f"{self.name} has no key to merge by")
+        if self.partition_by and set(self.partition_by) <= set(rules.keys):
+            return self.merge_partitions(changes, rules)
         batch, lost = self._stage_changes(changes, rules)
         try:
             # The batch takes the layout of the target, whose rows then stay where they are.
             latest = self._laid_out(self.spark.read.parquet(batch))
             latest, _ = split_null_keys(latest, list(rules.keys))
+            if supports_row_level(self.spark, self.name):
+                # What these two rules say is done by now.
+                merge_into(latest, self.name, replace(rules, before=None, order_by=()))
+                return lost
             stored = self.read()
             merged = apply_latest(stored, latest, rules)
             self._swap(conform(merged, stored.schema, rescue=False))
@@ -146,7 +162,12 @@ class Target:
         return lost
 
     def _stage_changes(self, changes: DataFrame, rules: MergeRules) -> tuple[str, int]:
-        """Write the deciding events down, the table made ready for them; keyless rows go aside."""
+        """Write the deciding events down, the table made ready for them; keyless rows go aside.
+
+        Partitions know no empty text: it is null there, and so is a key that holds it.
+        """
+        texts = [c for c in self.partition_by if c in changes.columns and changes.schema[c].dataType == T.StringType()]
+        changes = changes.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in texts})
         self.ensure(changes.drop(*rules.not_stored).schema, meta=False)
         folder = self._stage(self._fit(latest_changes(changes, rules, keep_null_keys=True), rules.unchanged))
         keyless = split_null_keys(self.spark.read.parquet(folder), list(rules.keys))[1]
@@ -173,13 +194,16 @@ class Target:
 
         Give a time that lies before the start of any query still reading them.
         """
-        current = self.location().rstrip("/").rsplit("/", 1)[-1]
+        version = F.regexp_extract(F.col("_metadata.file_path"), r"/(v-[0-9a-f]{32})/", 1)
+        current = {self.location().rstrip("/").rsplit("/", 1)[-1]}
+        if self.partition_by:
+            current |= {r[0] for r in self.read().select(version).distinct().toLocalIterator()}
         fs, folder = self._hadoop_path(f"{self.root.rstrip('/')}/{self.name.replace('.', '/')}")
         gone = [
             s.getPath()
             for s in fs.listStatus(folder)
             if s.getPath().getName().startswith("v-")
-            and s.getPath().getName() != current
+            and s.getPath().getName() not in current
             and s.getModificationTime() < older_than.timestamp() * 1000
         ]
         return sum(bool(fs.delete(path, True)) for path in gone)
@@ -194,40 +218,48 @@ class Target:
             raise ValueError(f"{self.name} is not partitioned")
         parts = list(self.partition_by)
         staged, lost = self._stage_changes(changes, rules)
-        folders = [staged]
         try:
             latest, _ = split_null_keys(self.spark.read.parquet(staged), list(rules.keys))
             stored = self.read()
             touched = [row.asDict() for row in latest.select(*parts).distinct().collect()]
             affected = stored.filter(_any_of(touched))
             merged = conform(apply_latest(affected, latest, rules), stored.schema, rescue=False)
-            folders.append(self._stage(merged))
-            rows = self.spark.read.schema(merged.schema).parquet(folders[-1])
-            left = [row.asDict() for row in rows.select(*parts).distinct().collect()]
-            emptied = stored.filter(_any_of([t for t in touched if t not in left]))
-            gone = [r[0] for r in emptied.select("_metadata.file_path").distinct().collect()]
-            # Written by path: insertInto would ignore the option and overwrite every partition.
-            (
-                rows.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(*parts)
-                .parquet(self.location())
-            )
-            # Overwriting leaves a partition alone in which no row is left.
-            for file in gone:
-                self._delete(self.spark._jvm.java.net.URI(file))
+            folder = self._new_folder()
+            # Sorted, or else in partitions of even size: neither leaves a large one to one task.
+            ordered = clustered(merged, [*parts, *self.sort_by]) if self.sort_by else merged.hint("rebalance", *parts)
+            ordered.write.partitionBy(*parts).parquet(folder)
+            rows = self.spark.read.schema(merged.schema).parquet(folder)
+            place = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__place")
+            places = rows.select(*parts, place).distinct().collect() if touched else []
+            self._relocate(touched, {tuple(row[c] for c in parts): unquote(row["__place"]) for row in places})
         finally:
-            for folder in folders:
-                self._delete(folder)
-        self.spark.catalog.recoverPartitions(self.name)
+            self._delete(staged)
         self.spark.catalog.refreshTable(self.name)
         return lost
 
+    def _relocate(self, touched: list[dict], places: dict[tuple, str]) -> None:
+        """Make the new folders those of their partitions; a partition without one goes."""
+        for values in touched:
+            spec = ", ".join(f"`{c}` = {_literal(v)}" for c, v in values.items())
+            place = places.get(tuple(values[c] for c in self.partition_by))
+            if place is None:
+                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({spec})")
+                continue
+            self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION {_literal(place)}")
+            self.spark.sql(f"ALTER TABLE {self.name} PARTITION ({spec}) SET LOCATION {_literal(place)}")
+
     def location(self) -> str:
         described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}")
         return described.filter(F.col("col_name") == "Location").first()["data_type"]
 
 
+def _literal(value: object) -> str:
+    """A partition value or folder as SQL; text is cast to the type of the partition column."""
+    if value is None:
+        return "null"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _any_of(values: list[dict]) -> Column:
     """Filter on partition values; literals prune the partitions when the scan is planned."""
     rows = [

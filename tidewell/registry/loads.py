@@ -854,8 +854,39 @@ def merge_touched_partitions(spark, sf):
     return target.read().select(*orders.columns, "o_year")
 
 
-@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+@query(
+    f"""WITH {SQL_ORDERS}, late AS (SELECT * FROM batch WHERE o_orderdate >= TIMESTAMP '2001-01-01')
+    SELECT *, CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders
+    WHERE o_orderkey NOT IN (SELECT o_orderkey FROM late)
+    UNION ALL SELECT *, CAST(year(o_orderdate) AS INTEGER) FROM late"""
+)
+def job_partitioned_merge(spark, sf):
+    """Two configured loads into one table partitioned by a part of its key."""
+    root, tag = fresh_dir(spark, "parted-job"), _tag()
+    orders = read_table(spark, sf, "orders")
+    late = order_batch(spark, sf).filter(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    jobs = []
+    for name, rows in (("all", orders), ("late", late)):
+        rows.withColumn("o_year", F.year("o_orderdate")).write.parquet(f"{root}/{name}")
+        table = {"path": f"{root}/{name}", "primary_key": ["o_orderkey", "o_year"], "partition_by": ["o_year"]}
+        jobs.append(
+            {"id": name, "source_type": "format", "load_mode": "full", "connection": {"format": "parquet"},
+             "tables": ["orders"], "tables_config": {"orders": table}, "target_table": f"parted_{tag}"}
+        )
+    for (result,) in run_configured(spark, {"jobs": jobs}, root, P.StateStore(spark, root, f"state_{tag}")).values():
+        if result.error:
+            raise RuntimeError(result.error)
+    return spark.table(f"parted_{tag}").select(*orders.columns, "o_year")
+
+
+@query(
+    """SELECT o_orderpriority, count(*) AS n, (SELECT count(*) FROM orders) AS observed
+    FROM orders GROUP BY o_orderpriority"""
+)
 def observed_counts(spark, sf):
-    """Counting on the way does not change the rows."""
-    rows, _ = observed(read_table(spark, sf, "orders"))
-    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    """Rows are counted on their way to a file, and are the same behind it."""
+    path = fresh_dir(spark, "observed")
+    rows, metrics = observed(read_table(spark, sf, "orders"))
+    rows.write.parquet(path)
+    counts = spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return counts.withColumn("observed", F.lit(metrics.get["rows"]).cast("long"))
