@@ -6,8 +6,11 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.llm import toxicity
+from tidewell.llm.rules import keep_good
+from tidewell.session import read_table
 
 WORDS = ["", "a", "Abc", "it's", "naïve", "ÜBER_9straße", "123", "_", "x" * 400, "ſtẞ", "İstanbul", "日本語", "^a$b"]
 
@@ -45,3 +48,13 @@ def test_words_forgotten_are_worked_out_again(monkeypatch):
     for text in (b"bad one two", b"three four five six seven", b"BAD bad, bad", b"", b"good"):
         shared = set().union(*map(one_by_one, text.split())) & set(chosen)
         assert of(text) == {chosen.index(f) for f in shared}
+
+
+def test_few_positives_leave_clean_texts_alone(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    kept = keep_good(docs)
+    found = toxicity.score(kept, toxicity.train(kept, labels)).join(labels.select("doc_id", "toxic"), "doc_id")
+    called = {(r["toxic"], r["held_out"]): r["share"] for r in found.groupBy("toxic", "held_out").agg(F.avg("predicted").alias("share")).collect()}
+    assert called[0, False] <= 0.02 and called[0, True] <= 0.02
+    assert called[1, False] >= 0.6 and called[1, True] >= 0.6

@@ -8,7 +8,9 @@ zero its gradient is turned round, which keeps the classifier from treating hidd
 Features are the presence of words and of byte runs of words with marked ends, hashed. A first
 pass counts in how many positive and unlabelled texts each feature is found; the class prior turns the
 two shares into the share among clean texts. Features found in toxic texts by five standard errors more
-often than clean texts explain, those that set them apart best first, go into the classifier.
+often than clean texts explain, those that set them apart best first, go into the classifier. The fewer
+the positives, the more the weights are shrunk: a classifier that knows its positives by heart drives the
+part in the maximum below zero for good, and clean texts up with it.
 
 Fitting takes samples of at most about ``SAMPLE`` positive and ``SAMPLE`` unlabelled texts, by a hash of
 the id; scoring takes every whole text. The sample's ids and rows of chosen features are what the driver
@@ -39,6 +41,8 @@ from tidewell.session import parallelism
 SAMPLE = 10_000
 FEATURES = 1024
 STANDARD_ERRORS = 5
+LEAST_DECAY = 1e-3
+SHRINK = 0.35
 SPACE = 1 << 20
 RUNS = (3, 4, 5, 6)
 PRIOR = 0.1
@@ -144,13 +148,14 @@ class Model:
     bias: float
 
 
-def fit(rows: list, width: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(rows: list, width: int, prior: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; ``rows`` are (positive, unlabelled, places)."""
     weights, bias = np.zeros(width), float(np.log(prior / (1 - prior)))
     positive = np.array([r[0] for r in rows], float)
     unlabelled = np.array([r[1] for r in rows], float)
     if not positive.sum() or not unlabelled.sum():
         return weights, bias
+    decay = max(LEAST_DECAY, SHRINK / positive.sum())
     sizes = [len(r[2]) for r in rows]
     row = np.repeat(np.arange(len(rows)), sizes)
     place = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
