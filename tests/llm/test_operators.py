@@ -279,6 +279,20 @@ def test_suffix_tree_scores(docs, empty, real):
     assert suffix_tree.score(empty).count() == 0
 
 
+def test_a_rare_run_is_kept_in_a_large_corpus(spark):
+    """300,000 training words: a share of them asks for more than two counts of a word."""
+    learnt = [i for i in range(20) if held(i) != 1][:2]
+    rare = [(i, "zeta omega kappa rho") for i in [*learnt, next(i for i in range(20) if held(i) == 1)]]
+    rows = [(100 + i, LONG) for i in range(45)] + rare
+    want, states = brute_tree_scores(rows, 3, 0.0, 0.0)
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[100].train_tokens > 1 << 18 and (b"zeta",) in states
+    for i, n, root, chance in want:
+        assert (by[i].n_tokens, by[i].base_score, by[i].score) == (n, pytest.approx(root, rel=1e-9), pytest.approx(chance, rel=1e-9))
+    assert all(by[i].score > by[i].base_score + 10 for i, _ in rare)
+
+
 def test_toxicity_learns_without_the_held_out_labels(spark, docs, empty):
     clean = ["the sun and the sea", "a quiet house on the hill", "rain fell on green fields", "bread and soup again"]
     rows = [(i, f"{clean[i // 7 % 4]} {i} " + (" vile slurfoo" if i % 6 == 0 else "")) for i in range(900)]

@@ -21,9 +21,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 @contextmanager
 def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
     """Arrow batches of at most about ``size`` for the jobs that run inside."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with set_for(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size):
+        yield
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each job that runs inside go when it ends: its rows are stored."""
+    with set_for(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def set_for(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+    spark.conf.set(name, value)
     try:
         yield
     finally:

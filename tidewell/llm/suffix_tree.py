@@ -6,14 +6,15 @@ training text, must exceed a penalty for each next word it keeps. Its distributi
 words lose a discount, and all other words get what is left in proportion to the suffix's distribution.
 A word is scored in the state that is the longest suffix of the words before it.
 
-All counts are over all training text: words, then pairs of frequent words, then longer runs whose
-parts are frequent. Contexts and kept next words need a share of training words of at least
-``RUN_SHARE``, words in contexts ``WORD_SHARE`` (the tree's least probabilities). At most one over the share
-can have it, which bounds the tree and its broadcast at any corpus size; the counts that are gathered
-to decide it grow with the corpus.
+All counts are over all training text. Every word and every run of two to ``DEPTH`` + 1 words seen ``LEAST``
+times or more is counted whatever the size of the corpus, and the gain alone decides the states. Words and runs
+go by 64-bit hashes; a run's is made from that of the run without its last word and that of the run without its first.
 
-Texts are tokenised once, into blocks of about ``BLOCK`` tokens written below the shared folder. Counts of
-rare words, which have no bound, come back to the blocks by a join; no text is shuffled.
+Texts are tokenised once, into blocks of about ``BLOCK`` tokens written below the shared folder. A block sends
+each distinct run once, in one chunk for each range of hashes; a range adds up its chunks and tells the blocks which
+of their runs stay, so that longer runs are sent only where both parts stayed. Ranges are as many as blocks. States are
+chosen by joins of the counted runs, and the distinct words and runs of the blocks are joined to them by range: nothing
+is gathered on the driver or broadcast.
 
 Defined results: null and empty texts are the end token alone; a null id belongs to fold 0 and learns;
 repeated rows are learnt and scored each; without training text every token is unknown; an empty table
@@ -24,28 +25,31 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.components import arrow_batches, stored
+from tidewell.llm.components import arrow_batches, shuffles_dropped, stored
 from tidewell.llm.text import FOLDS, lower_words, raw
 
 HELD_OUT = 1
 DEPTH = 3
-WORD_SHARE = 2.0**-17
-RUN_SHARE = 2.0**-20
+LEAST = 2
 DISCOUNT = 0.5
 BLOCK = 1 << 20
 BATCH = "4m"
-WORD_BITS = 20
+RANGES = 64
 
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, hashes binary, counts binary"
+# Runs of a block in one range and their counts; after counting those that stay, with the whole count in one chunk of
+# each and 0 in the others. Rows with ``before`` and ``after``: the parts of runs counted one level earlier.
+CHUNKS = "bucket long, block long, keys binary, before binary, after binary, counts binary"
+VALUES = "block long, keys binary, counts binary, chances binary, rests binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -123,22 +127,8 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-@dataclass
-class Tree:
-    """``words``: sorted hashes of the frequent words and their counts. ``levels``: for runs of two words and
-    more, sorted keys (run before, word) and counts; then what the states are."""
-
-    words: np.ndarray
-    word_counts: np.ndarray
-    total: int
-    vocabulary: int
-    levels: list[tuple[np.ndarray, np.ndarray]]
-    chance: list[np.ndarray] | None = None
-    state: list[np.ndarray] | None = None
-    rest: list[np.ndarray] | None = None
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
+def base(counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    return np.log10((counts + 0.5) / (total + 0.5 * (vocabulary + 1)))
 
 
 def found_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -151,38 +141,31 @@ def found_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at
 
 
-def run_keys(before: np.ndarray, word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a run ends one place earlier and a frequent word follows it in the same text, and their keys."""
-    ok = (before[:-1] >= 0) & (word[1:] >= 0)
-    ok[ends[:-1]] = False
-    at = np.flatnonzero(ok)
-    return at + 1, (before[at].astype(np.int64) << WORD_BITS) | word[at + 1]
+def run_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of a run from those of the run without its last word and of the run without its first."""
+    x = before * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    for by in (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(31))) * by
+    return x ^ (x >> np.uint64(32))
 
 
-def runs(tree: Tree, words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """For runs of each length, the number of the frequent run that ends at each place, or -1.
+def runs(words: np.ndarray, ends: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of each length, the hash of the run that ends at each place, and whether there is one.
 
     Runs do not go past the end of a text: nothing follows an end token.
     """
-    out = [words]
-    for keys, _ in tree.levels:
-        at, wanted = run_keys(out[-1], words, ends)
-        place = np.full(len(words), -1, np.int32)
-        place[at] = found_in(keys, wanted)
-        out.append(place)
-    return out
-
-
-def frequent_words(tree: Tree, hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number among the frequent words of each dictionary entry and of each token, or -1."""
-    own = found_in(tree.words, hashes)
-    return own, own[tokens]
+    keys, ok = words, np.ones(len(words), bool)
+    for _ in range(longest - 1):
+        yield keys, ok
+        keys, ok = np.r_[keys[:1], run_key(keys[:-1], keys[1:])], np.r_[False, ok[:-1] & ok[1:]]
+        ok[1:][ends[:-1]] = False
+    yield keys, ok
 
 
 def parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, dictionary, ends and training marks of a block."""
     sizes = np.array(row["sizes"], np.int64)
-    tokens, hashes = unpacked(row["tokens"], np.int32, int(sizes.sum())), np.frombuffer(row["hashes"], np.int64)
+    tokens, hashes = unpacked(row["tokens"], np.int32, int(sizes.sum())), np.frombuffer(row["hashes"], np.uint64)
     return tokens, hashes, np.cumsum(sizes) - 1, np.repeat(~np.array(row["held"], bool), sizes)
 
 
@@ -193,114 +176,248 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > 0]), pa.array(counts[counts > 0])], names=["key", "n"])
 
 
-def longer_runs(held):
-    """Training counts in a block of the runs one word longer than the tree has, all parts of which are frequent."""
+def range_of(key: Column, ranges: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 33) * F.lit(ranges).cast("long"), 31)
+
+
+def as_table(schema: str, *columns: Iterable) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array(values, kinds[kind]) for (name, kind), values in zip(fields, columns)})
+
+
+def chunks(block: int, ranges: int, keys: np.ndarray, *more: np.ndarray) -> pa.Table:
+    """Sorted keys of a block, and what goes with them, by range."""
+    bucket = ((keys >> np.uint64(33)) * np.uint64(ranges)) >> np.uint64(31)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(keys)])
+    spans = list(zip(starts, [*starts[1:], len(keys)]))
+    none = [None] * len(spans)
+    cut = [x[a:b].tobytes() for x in more for a, b in spans] or none
+    sent = [sorted_bytes(keys[a:b]) for a, b in spans]
+    return as_table(CHUNKS, bucket[starts].astype(np.int64), np.full(len(starts), block), sent, none, none, cut)
+
+
+def sorted_bytes(keys: np.ndarray) -> bytes:
+    """Differences of sorted keys, the high bytes first: near keys share them."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return len(keys).to_bytes(4, "little") + packed(np.ascontiguousarray(steps.T))
 
+
+def sorted_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    steps = unpacked(data[4:], np.uint8, 8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
+def joined_keys(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *map(sorted_keys, column.to_pylist())])
+
+
+def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the keys, and where in it each distinct key starts."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)])
+
+
+def distinct_words(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(**held.value)
-        for row in rows_of(batches):
-            tokens, hashes, ends, train = parts(row)
-            longest = runs(tree, frequent_words(tree, hashes, tokens)[1], ends)
-            at, keys = run_keys(longest[-1], longest[0], ends)
-            keys, counts = np.unique(keys[train[at] & (longest[-1][at] >= 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
+        for row in rows_of(batches, "block", "hashes"):
+            yield from chunks(row["block"], ranges, np.sort(np.frombuffer(row["hashes"], np.uint64))).to_batches()
 
     return run
 
 
-def rare_words(held):
-    """``key, block, at`` of the words of each block that are not frequent; ``at`` is the word's number there."""
+def distinct_runs(row: dict, length: int, ranges: int, stay: np.ndarray | None) -> pa.Table:
+    """Runs of a block with their training counts, those only both parts of which stay."""
+    tokens, hashes, ends, train = parts(row)
+    *_, (shorter, ok), (keys, at) = runs(hashes[tokens], ends, length)
+    if stay is not None:
+        kept = np.zeros(len(ok), bool)
+        kept[ok] = found_in(stay, shorter[ok]) >= 0
+        at = np.r_[False, kept[:-1] & kept[1:]] & at
+    at = np.flatnonzero(at)
+    if not len(at):
+        return as_table(CHUNKS, *[[]] * 6)
+    order, starts = groups(keys[at])
+    n = np.add.reduceat(train[at[order]].astype(np.int64), starts)
+    return chunks(row["block"], ranges, keys[at[order[starts]]], n)
+
 
+def pairs(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches, "block", "hashes"):
-            hashes = np.frombuffer(row["hashes"], np.int64)
-            at = np.flatnonzero(found_in(held.value["words"], hashes) < 0)
-            columns = [pa.array(hashes[at]), pa.array(np.full(len(at), row["block"])), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "block", "at"])
+        for row in rows_of(batches):
+            yield from distinct_runs(row, 2, ranges, None).to_batches()
+
+    return run
+
+
+def parts_of_runs(row: dict, length: int, ranges: int, own: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Both parts and the whole count of the runs, found again in a block that has them."""
+    tokens, hashes, ends, _ = parts(row)
+    *_, (shorter, _), (keys, ok) = runs(hashes[tokens], ends, length)
+    at = np.flatnonzero(ok)
+    place = found_in(own, keys[at])
+    where = np.empty(len(own), np.int64)
+    where[place[place >= 0]] = at[place >= 0]
+    row = [[row["block"] % ranges], [None], [None], [shorter[where - 1].tobytes()], [shorter[where].tobytes()], [n.tobytes()]]
+    return as_table(CHUNKS, *row)
+
+
+def longer_runs(length: int, ranges: int, last: bool = False):
+    """The parts of the runs that stay, and unless they are the ``last`` the runs one word longer."""
+
+    def run(key, blocks: pa.Table, stay: pa.Table) -> pa.Table:
+        kept, n = joined_keys(stay.column("keys")), joined(stay.column("counts"), np.int64)
+        order = np.argsort(kept)
+        kept, n = kept[order], n[order]
+        out = [as_table(CHUNKS, *[[]] * 6)]
+        for row in rows_of(blocks.to_batches()):
+            if n.any():
+                out.append(parts_of_runs(row, length - 1, ranges, kept[n > 0], n[n > 0]))
+            if not last:
+                out.append(distinct_runs(row, length, ranges, kept))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def counted(least: int):
+    """Adds up the chunks of a range: which runs of each block stay, with the whole count at the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sent = table.filter(table.column("block").is_valid())
+        each = [sorted_keys(x) for x in sent.column("keys").to_pylist()]
+        if not each:
+            return table
+        keys, counts = np.concatenate(each), joined(sent.column("counts"), np.int64)
+        order, starts = groups(keys)
+        n = np.add.reduceat(counts[order], starts)
+        stay, whole = np.empty(len(keys), bool), np.zeros(len(keys), np.int64)
+        stay[order] = np.repeat(n >= least, np.diff(np.r_[starts, len(keys)]))
+        whole[order[starts]] = n
+        cuts = np.cumsum([len(x) for x in each])[:-1]
+        cut = [(k[s], w[s]) for k, s, w in zip(each, np.split(stay, cuts), np.split(whole, cuts))]
+        none = [None] * len(cut)
+        columns = [[sorted_bytes(k) for k, _ in cut], none, none, [w.tobytes() for _, w in cut]]
+        counted = as_table(CHUNKS, sent.column("bucket").to_pylist(), sent.column("block").to_pylist(), *columns)
+        return pa.concat_tables([table.filter(table.column("block").is_null()).cast(counted.schema), counted])
 
     return run
 
 
-def sorted_counts(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with at least ``least`` of the count, at most total / least of them."""
-    table = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order].astype(np.int64), n[order].astype(np.int64)
+def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in rows_of(batches, "before", "after", "counts"):
+        before, after = (np.frombuffer(row[x], np.uint64) for x in ("before", "after"))
+        columns = [x.view(np.int64) for x in (run_key(before, after), before, after)]
+        columns.append(np.frombuffer(row["counts"], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "before", "after", "n"])
 
 
-def grow(tree: Tree, discount: float = DISCOUNT) -> Tree:
+def grow(words: DataFrame, levels: list[DataFrame], total: int, vocabulary: int, discount: float = DISCOUNT) -> DataFrame:
     """Choose the states, shortest contexts first, and smooth their distributions.
 
-    ``chance`` has, for runs of two and more words, the log of the last word's probability after those
-    before it, if they are a state; ``state`` and ``rest`` have, for contexts of one word and more, whether
-    they are, and the log weight of the suffix's distribution.
+    ``key, n, chance, rest``: ``n`` of words; ``chance`` of runs, the log of the last word's probability after
+    those before it, if they are a state; ``rest`` of states, the log weight of the suffix's distribution.
     """
-    tree.chance, tree.state, tree.rest = [], [], []
-    counts = tree.word_counts
+    none = F.lit(None).cast("double")
+    out = [words.select("key", "n", none.alias("chance"), none.alias("rest"))]
     # Natural logs, by run: probability of its last word in the longest state that its earlier words end in.
-    given = tree.base(counts) * np.log(10)
-    suffix = np.zeros(len(counts), np.int64)
-    keys_before = None
-    for keys, n in tree.levels:
-        context, word = keys >> WORD_BITS, keys & ((1 << WORD_BITS) - 1)
-        if keys_before is None:
-            own_suffix = word
-        else:
-            own_suffix = found_in(keys_before, (suffix[context].astype(np.int64) << WORD_BITS) | word)
-        by_suffix = given[own_suffix]
-        all_n = counts.astype(float)
-        kept_n = np.bincount(context, n, len(counts))
-        kept = np.bincount(context, minlength=len(counts))
-        left = np.clip(1 - np.bincount(context, np.exp(by_suffix), len(counts)), 1e-9, 1)
-        other = np.maximum(all_n - kept_n, 0)
-        gain = np.bincount(context, n * (np.log(n / all_n[context]) - by_suffix), len(counts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain += np.where(other > 0, other * (np.log(other / all_n) - np.log(left)), 0)
-            penalty = 0.5 * kept * np.log(np.maximum(all_n, 2))
-        state = (kept > 0) & (gain > penalty)
-        chance = np.log((n - discount) / all_n[context])
-        spare = np.clip(1 - np.bincount(context, np.exp(chance), len(counts)), 1e-9, 1)
-        tree.chance.append(chance)
-        tree.state.append(state)
-        tree.rest.append(np.log(spare) - np.log(left))
-        given = np.where(state[context], chance, by_suffix)
-        counts, suffix, keys_before = n, own_suffix, keys
-    return tree
-
-
-def log_chances(tree: Tree, words: np.ndarray, ends: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Log10 probability of each token in the longest state before it; ``root`` has that of the root."""
-    at = runs(tree, words, ends)
-    total, done = np.zeros(len(words)), np.zeros(len(words), bool)
-    for level in range(len(tree.levels) - 1, -1, -1):
-        context = np.full(len(words), -1, np.int32)
+    given = F.ln((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1)))
+    known = words.select("key", "n", given.alias("given"))
+    share = lambda x: F.greatest(F.lit(1e-9), F.least(F.lit(1.0), 1 - x))
+    for level in levels:
+        found = level.join(known.select(F.col("key").alias("after"), F.col("given").alias("by_suffix")), "after")
+        found = found.join(known.select(F.col("key").alias("before"), F.col("n").alias("all_n")), "before")
+        chance = F.ln((F.col("n") - discount) / F.col("all_n"))
+        found = found.select("key", "before", "n", "all_n", "by_suffix", chance.alias("chance"))
+        each = found.groupBy("before").agg(
+            F.max("all_n").alias("all_n"),
+            F.count("*").alias("kept"),
+            F.greatest(F.max("all_n") - F.sum("n"), F.lit(0)).alias("other"),
+            share(F.sum(F.exp("by_suffix"))).alias("left"),
+            share(F.sum(F.exp("chance"))).alias("spare"),
+            F.sum(F.col("n") * (F.ln(F.col("n") / F.col("all_n")) - F.col("by_suffix"))).alias("gain"),
+        )
+        others = F.when(F.col("other") > 0, F.col("other") * (F.ln(F.col("other") / F.col("all_n")) - F.ln("left"))).otherwise(0.0)
+        penalty = 0.5 * F.col("kept") * F.ln(F.greatest("all_n", F.lit(2)))
+        states = each.where(F.col("gain") + others > penalty).select("before", (F.ln("spare") - F.ln("left")).alias("rest"))
+        states = stored(states, "states")
+        found = found.join(states, "before", "left").withColumn("chance", F.when(F.col("rest").isNotNull(), F.col("chance")))
+        known = found.select("key", "n", F.coalesce("chance", "by_suffix").alias("given"), F.col("chance").isNotNull().alias("own"))
+        known = stored(known, "runs")
+        count = F.lit(None).cast("long").alias("n")
+        out.append(known.where("own").select("key", count, F.col("given").alias("chance"), none.alias("rest")))
+        out.append(states.select(F.col("before").alias("key"), count, none.alias("chance"), "rest"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def values(key, sent: pa.Table, model: pa.Table) -> pa.Table:
+    """What the model has on the words and runs of each chunk."""
+    keys = model.column("key").to_numpy().view(np.uint64)
+    order, starts = groups(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
+    columns = [np.full(len(starts), empty) for empty in (0, np.nan, np.nan)]
+    for name, column in zip(("n", "chance", "rest"), columns):
+        has = np.flatnonzero(model.column(name).is_valid().to_numpy())
+        column[place[has]] = model.column(name).drop_null().to_numpy()
+    distinct = keys[order][starts]
+    out = []
+    for chunk in sent.column("keys").to_pylist():
+        at = found_in(distinct, sorted_keys(chunk))
+        at = at[at >= 0]
+        out.append([sorted_bytes(distinct[at]), *[x[at].tobytes() for x in columns]])
+    return as_table(VALUES, sent.column("block").to_pylist(), *(zip(*out) if out else [[]] * 4))
+
+
+def log_chances(keys: list, chance: np.ndarray, rest: np.ndarray, found: np.ndarray, ends: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Log10 probability of each token in the longest state before it; ``root`` has that of the root.
+
+    ``keys`` are the runs of each length by place, ``found`` the sorted hashes that ``chance`` and ``rest`` are of.
+    """
+    at = []
+    for hashes, ok in keys:
+        place = np.full(len(ok), -1, np.int32)
+        place[ok] = found_in(found, hashes[ok])
+        at.append(place)
+    total, done = np.zeros(len(root)), np.zeros(len(root), bool)
+    for level in range(len(at) - 2, -1, -1):
+        context = np.full(len(root), -1, np.int32)
         context[1:] = at[level][:-1]
         context[1:][ends[:-1]] = -1
         here = np.flatnonzero(~done & (context >= 0))
-        here = here[tree.state[level][context[here]]]
-        kept = at[level + 1][here]
-        some = kept >= 0
-        total[here[some]] += tree.chance[level][kept[some]]
+        here = here[~np.isnan(rest[context[here]])]
+        own = at[level + 1][here]
+        kept = np.where(own >= 0, chance[own], np.nan)
+        some = ~np.isnan(kept)
+        total[here[some]] += kept[some]
         done[here[some]] = True
-        total[here[~some]] += tree.rest[level][context[here[~some]]]
+        total[here[~some]] += rest[context[here[~some]]]
     return total / np.log(10) + np.where(done, 0.0, root)
 
 
-def score_block(held):
-    def run(key, blocks: pa.Table, rare: pa.Table) -> pa.Table:
-        tree = Tree(**held.value)
+def score_block(depth: int, total: int, vocabulary: int):
+    def run(key, blocks: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        places, counts = rare.column("at").to_numpy(), rare.column("n").to_numpy()
+        found = joined_keys(known.column("keys"))
+        order = np.argsort(found)
+        found, n = found[order], joined(known.column("counts"), np.int64)[order]
+        chance, rest = (joined(known.column(x), np.float64)[order] for x in ("chances", "rests"))
         for row in rows_of(blocks.to_batches()):
             tokens, hashes, ends, _ = parts(row)
-            own, words = frequent_words(tree, hashes, tokens)
+            own = found_in(found, hashes)
             count = np.zeros(len(hashes), np.int64)
-            count[own >= 0] = tree.word_counts[own[own >= 0]]
-            count[places] = counts
-            root = tree.base(count)[tokens]
+            count[own >= 0] = n[own[own >= 0]]
+            root = base(count, total, vocabulary)[tokens]
             first = np.r_[0, ends[:-1] + 1]
-            chance = log_chances(tree, words, ends, root)
+            log_chance = root
+            if len(found):
+                log_chance = log_chances(list(runs(hashes[tokens], ends, depth + 1)), chance, rest, found, ends, root)
             out.append(
                 pa.table(
                     {
@@ -308,9 +425,9 @@ def score_block(held):
                         "held_out": pa.array(row["held"], pa.bool_()),
                         "n_tokens": np.diff(np.r_[first, len(tokens)]),
                         "n_known": np.add.reduceat((count[tokens] > 0).astype(np.int64), first),
-                        "train_tokens": np.full(len(first), tree.total, np.int64),
+                        "train_tokens": np.full(len(first), total, np.int64),
                         "base_score": np.add.reduceat(root, first),
-                        "score": np.add.reduceat(chance, first),
+                        "score": np.add.reduceat(log_chance, first),
                     }
                 )
             )
@@ -322,31 +439,37 @@ def score_block(held):
 EMPTY = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def learn(blocks: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE, run_share: float = RUN_SHARE) -> tuple[Tree, DataFrame]:
-    """The tree, and the training counts of all words as ``key, n``."""
-    sc = blocks.sparkSession.sparkContext
+def learn(blocks: DataFrame, ranges: int, depth: int = DEPTH, least: int = LEAST) -> tuple[DataFrame, DataFrame, int, int]:
+    """The model, the words and runs of each block that may be in it, and the numbers of training tokens and words."""
     counts = blocks.mapInArrow(word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = stored(counts, "word-counts")
     vocabulary, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    words, own = sorted_counts(counts, max(1.0, total * word_share))
-    tree = Tree(words, own, total, vocabulary, [])
-    for _ in range(depth):
-        held = sc.broadcast(vars(tree))
-        found = blocks.mapInArrow(longer_runs(held), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        level = sorted_counts(found, max(2.0, total * run_share))
-        if not len(level[0]):
-            break
-        tree = Tree(words, own, total, vocabulary, [*tree.levels, level])
-    return grow(tree), counts
-
-
-def score(docs: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE, run_share: float = RUN_SHARE) -> DataFrame:
+    sent = [blocks.mapInArrow(distinct_words(ranges), CHUNKS)]
+    levels = []
+    for length in range(2, depth + 3):
+        if length == 2:
+            found = blocks.mapInArrow(pairs(ranges), CHUNKS)
+        else:
+            last = length == depth + 2
+            found = blocks.groupBy("block").cogroup(sent[-1].groupBy("block")).applyInArrow(longer_runs(length, ranges, last), CHUNKS)
+        if length < depth + 2:
+            found = found.groupBy("bucket").applyInArrow(counted(least), CHUNKS)
+        found = stored(found, "runs-of-blocks")
+        sent.append(found.where("block IS NOT NULL"))
+        if length > 2:
+            levels.append(found.where("block IS NULL").mapInArrow(run_rows, "key long, before long, after long, n long"))
+    sent = reduce(DataFrame.unionByName, [x.select("bucket", "block", "keys") for x in sent])
+    return grow(counts, levels, total, vocabulary), sent, total, vocabulary
+
+
+def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """Scores of every row under the tree learnt from the rows that are not held out."""
     spark = docs.sparkSession
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_blocks, BLOCKS)
-    with arrow_batches(spark, BATCH):
+    with arrow_batches(spark, BATCH), shuffles_dropped(spark):
         blocks = stored(blocks, "blocks")
-        tree, counts = learn(blocks, depth, word_share, run_share)
-    held = spark.sparkContext.broadcast(vars(tree))
-    rare = blocks.mapInArrow(rare_words(held), "key long, block long, at int").join(counts, "key").select("block", "at", "n")
-    return blocks.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(score_block(held), SCORES)
+        ranges = max(RANGES, blocks.count())
+        model, sent, total, vocabulary = learn(blocks, ranges, depth, least)
+        model = model.withColumn("bucket", range_of(F.col("key"), ranges))
+    known = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(values, VALUES)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_block(depth, total, vocabulary), SCORES)
