@@ -1,8 +1,10 @@
 import json
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from tidewell.model import canonical_type
 from tidewell.operators.schema import lookup_type
@@ -225,6 +227,41 @@ def test_latest_committed_slice(spark, hudi):
     assert sorted((r["id"], r["v"]) for r in TF.hudi_snapshot(spark, hudi).collect()) == [(1, "a"), (2, "B"), (9, "other")]
 
 
+def test_unknown_commits_are_not_passed_over(spark, hudi):
+    marker = Path(hudi) / ".hoodie" / "100.commit"
+    marker.rename(marker.parent / "archived-100")
+    for read in (lambda: TF.hudi_snapshot(spark, hudi), lambda: TF.hudi_incremental(spark, hudi, "100")):
+        with pytest.raises(ValueError, match="commit 100"):
+            read()
+    (marker.parent / "400.replacecommit").write_text("{}")
+    with pytest.raises(ValueError, match="replacing"):
+        TF.hudi_snapshot(spark, hudi)
+
+
+def test_a_job_reads_the_table_by_the_reader_of_the_format(spark, tmp_path):
+    class Rows(DataSource):
+        @classmethod
+        def name(cls):
+            return "hudi"
+
+        def schema(self):
+            return "path string, v int, _hoodie_is_deleted boolean"
+
+        def reader(self, schema):
+            where = self.options["path"]
+
+            class Reader(DataSourceReader):
+                def read(self, partition):
+                    yield from [(where, 1, None), (where, 2, True), (where, 3, False)]
+
+            return Reader()
+
+    spark.dataSource.register(Rows)
+    source = ConfiguredSource(spark, {"source_type": "hudi", "connection": {"path": str(tmp_path)}})
+    got = source.read("rides").collect()
+    assert sorted(r.v for r in got) == [1, 3] and all(r.path.endswith("/rides") for r in got)
+
+
 def test_incremental_commits(spark, hudi):
     assert [(r["id"], r["v"]) for r in TF.hudi_incremental(spark, hudi, "100").collect()] == [(2, "B")]
     assert sorted(r["id"] for r in TF.hudi_incremental(spark, hudi, None, "100").collect()) == [1, 2, 9]

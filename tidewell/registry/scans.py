@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidewell.model import CDC_SEQ
 from tidewell.operators import schema as S
+from tidewell.operators.incremental import incremental_range
 from tidewell.operators.merge import MergeRules, apply_changes
 from tidewell.registry.base import query
 from tidewell.registry.inputs import SPLIT_DATE, customer_target
@@ -280,55 +281,16 @@ def cdf_apply(spark, sf):
     return apply_changes(target, events, MergeRules(("c_custkey",))).select(*target.columns)
 
 
-COMMITS = ("20240101000000", "20240201000000", "20240301000000")
+COMMITS = ("20240101000000", "20240201000000")
 
 
-def _copy_on_write(spark, sf):
-    """A copy-on-write table of orders, file groups of one priority and at most a million keys.
-
-    The first commit writes the orders before the split. The second rewrites the files of two
-    priorities with their later orders. A third rewrite never completed. Parked orders
-    (status P) are soft-deleted.
-    """
-    folder = fresh_dir(spark, "cow")
-    split = F.lit(SPLIT_DATE).cast("timestamp_ntz")
-    early = F.col("o_orderdate") < split
-    rewritten = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    orders = read_table(spark, sf, "orders").withColumn(
-        "_hoodie_is_deleted", F.when(F.col("o_orderstatus") == "P", True)
-    )
-    slices = (
-        (COMMITS[0], orders.filter(early).withColumn("_hoodie_commit_time", F.lit(COMMITS[0]))),
-        (
-            COMMITS[1],
-            orders.filter(rewritten).withColumn(
-                "_hoodie_commit_time", F.when(early, COMMITS[0]).otherwise(COMMITS[1])
-            ),
-        ),
-        (COMMITS[2], orders.filter(rewritten).withColumn("_hoodie_commit_time", F.lit(COMMITS[2]))),
-    )
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for commit, rows in slices:
-        staging = f"{folder}-staging/{commit}"
-        block = F.floor(F.col("o_orderkey") / 1_000_000).cast("string")
-        name = F.concat_ws("-", F.lit("group"), F.substring("o_orderpriority", 1, 1), block)
-        rows.withColumn("file_id", name).repartition("file_id").write.partitionBy("file_id").parquet(staging)
-        fs.mkdirs(path(folder))
-        for group in fs.listStatus(path(staging)):
-            if not group.isDirectory():
-                continue
-            file_id = group.getPath().getName().split("=")[1]
-            for part in fs.listStatus(group.getPath()):
-                if part.getPath().getName().endswith(".parquet"):
-                    fs.rename(part.getPath(), path(f"{folder}/{file_id}_0-1-0_{commit}.parquet"))
-    fs.mkdirs(path(f"{folder}/.hoodie"))
-    for marker in (f"{COMMITS[0]}.commit", f"{COMMITS[1]}.commit", f"{COMMITS[2]}.commit.requested"):
-        out = fs.create(path(f"{folder}/.hoodie/{marker}"))
-        out.write(bytearray(b"{}"))
-        out.close()
-    return folder
+def _committed_orders(spark, sf):
+    """Orders as rows of a table format: those before the split by the first commit, later ones of two
+    priorities by the second. Parked orders (status P) are soft-deleted."""
+    early = F.col("o_orderdate") < F.lit(SPLIT_DATE).cast("timestamp_ntz")
+    orders = read_table(spark, sf, "orders").filter(early | F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    deleted = F.when(F.col("o_orderstatus") == "P", True)
+    return orders.withColumns({TF.COMMIT_TIME: F.when(early, COMMITS[0]).otherwise(COMMITS[1]), TF.IS_DELETED: deleted})
 
 
 SQL_LIVE = f"""
@@ -344,14 +306,14 @@ LIVE_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "_h
 
 @query(f"WITH {SQL_LIVE} SELECT * FROM live")
 def hudi_latest_slice(spark, sf):
-    return TF.hudi_snapshot(spark, _copy_on_write(spark, sf)).select(*LIVE_COLUMNS)
+    return TF.live_rows(_committed_orders(spark, sf)).select(*LIVE_COLUMNS)
 
 
 @query(f"WITH {SQL_LIVE} SELECT * FROM live WHERE _hoodie_commit_time > '{COMMITS[0]}'")
 def hudi_incremental(spark, sf):
-    return TF.hudi_incremental(spark, _copy_on_write(spark, sf), COMMITS[0]).select(*LIVE_COLUMNS)
+    return incremental_range(TF.live_rows(_committed_orders(spark, sf)), TF.COMMIT_TIME, COMMITS[0], cursor_type="string").select(*LIVE_COLUMNS)
 
 
 @query(f"WITH {SQL_LIVE} SELECT DISTINCT _hoodie_commit_time AS commit_time FROM live")
 def hudi_commits(spark, sf):
-    return TF.completed_commits(TF.timeline(spark, _copy_on_write(spark, sf)))
+    return TF.live_rows(_committed_orders(spark, sf)).select(F.col(TF.COMMIT_TIME).alias("commit_time")).distinct()

@@ -14,7 +14,7 @@ from tidewell.sources import payloads
 from tidewell.sources.dialects import DIALECTS, SOURCE_TYPES, SourceType
 from tidewell.sources.files import FileOptions, list_files, read_detected, resolve_prefix
 from tidewell.sources.jdbc import KEY_CATALOGS, cursor_bound_query, primary_key_of, read_database
-from tidewell.sources.table_formats import delta_snapshot, hudi_snapshot
+from tidewell.sources.table_formats import delta_snapshot, hudi_table
 
 # When the page a row came with was landed. Of rows with one key the latest counts; it is not stored.
 LANDED = "__landed"
@@ -67,7 +67,7 @@ class ConfiguredSource:
         if source.kind == "delta":
             return delta_snapshot(spark, path)
         if source.kind == "hudi":
-            return hudi_snapshot(spark, path)
+            return hudi_table(spark, path)
         return read_landed(spark, self.config["source_type"], table, path, connection, settings.get("schema"))
 
     def keys(self, table: str) -> tuple[str, ...]:

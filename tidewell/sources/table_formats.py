@@ -17,11 +17,18 @@ CDF_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 # Names inside a copy-on-write table, <fileId>_<writeToken>_<commit>.parquet.
 TIMELINE_FOLDER = ".hoodie"
 TIMELINE_PATTERN = r"^(\d+)\.(commit|deltacommit)$"
+PENDING_PATTERN = r"^(\d+)\.(?:(?:commit|deltacommit)\.(?:requested|inflight)|inflight)$"
+REPLACED_PATTERN = r"^\d+\.replacecommit"
 BASE_FILE_PATTERN = r"^(.+?)_(.+)_(\d+)\.parquet$"
 COMMIT_TIME = "_hoodie_commit_time"
 IS_DELETED = "_hoodie_is_deleted"
 
 
+def hudi_table(spark: SparkSession, path: str) -> DataFrame:
+    """Current rows as the format's own reader gives them: archived and replacing commits included."""
+    return live_rows(spark.read.format("hudi").load(path))
+
+
 def delta_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     reader = spark.read.format("delta")
     return (reader if version is None else reader.option("versionAsOf", version)).load(path)
@@ -92,6 +99,18 @@ def latest_files(files: DataFrame, commits: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") == 1).select("path", "commit_time")
 
 
+def _all_told(files: DataFrame, names: DataFrame) -> None:
+    """Raises where the timeline folder does not tell which files are current: they would be missed."""
+    if names.filter(F.col("name").rlike(REPLACED_PATTERN)).limit(1).count():
+        raise ValueError("replacing commits: read the table with spark.read.format('hudi')")
+    commit = F.regexp_extract(F.substring_index("path", "/", -1), BASE_FILE_PATTERN, 3)
+    pending = names.select(F.regexp_extract("name", PENDING_PATTERN, 1).alias("commit_time"))
+    told = completed_commits(names).unionByName(pending)
+    untold = files.select(commit.alias("commit_time")).filter("commit_time <> ''").join(told, "commit_time", "left_anti").first()
+    if untold is not None:
+        raise ValueError(f"commit {untold[0]} is not in the timeline folder: read the table with spark.read.format('hudi')")
+
+
 def _data_files(spark: SparkSession, table_path: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
@@ -103,8 +122,13 @@ def _data_files(spark: SparkSession, table_path: str) -> DataFrame:
 
 
 def hudi_snapshot(spark: SparkSession, table_path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Current rows of a copy-on-write table."""
-    files = latest_files(_data_files(spark, table_path), completed_commits(timeline(spark, table_path)))
+    """Current rows of a small copy-on-write table none of whose commits is archived or replaced.
+
+    No job reads by this: see ``hudi_table``.
+    """
+    found, names = _data_files(spark, table_path), timeline(spark, table_path)
+    _all_told(found, names)
+    files = latest_files(found, completed_commits(names))
     return _read(spark, [r["path"] for r in files.toLocalIterator()], schema)
 
 
@@ -115,11 +139,13 @@ def hudi_incremental(
     until: str | None = None,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Rows committed in ``(after, until]``, from the files of those commits only."""
-    commits = completed_commits(timeline(spark, table_path), after=after)
+    """Rows committed in ``(after, until]``, from the files of those commits only; limits as ``hudi_snapshot``."""
+    found, names = _data_files(spark, table_path), timeline(spark, table_path)
+    _all_told(found, names)
+    commits = completed_commits(names, after=after)
     if until is not None:
         commits = commits.filter(F.col("commit_time") <= until)
-    files = latest_files(_data_files(spark, table_path), commits)
+    files = latest_files(found, commits)
     paths = [r["path"] for r in files.toLocalIterator()]
     rows = _read(spark, paths, schema)
     if not paths:
