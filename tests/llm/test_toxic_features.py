@@ -50,6 +50,26 @@ def test_words_forgotten_are_worked_out_again(monkeypatch):
         assert of(text) == {chosen.index(f) for f in shared}
 
 
+def test_counts_are_of_all_texts_and_the_sample_is_bounded(spark, monkeypatch):
+    """A clean word too rare for the sample is counted; a toxic id repeated over and over stays within the sample."""
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(200)], "doc_id long, toxic int")
+    rows = [(i % 3, f"vile {i}") for i in range(300)] + [(i, "calm" + (" rareword" if i == 4999 else "")) for i in range(3, 5000)] + [(7000, "same")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn, _ = toxicity.learning(docs, labels, 20)
+    rare = sorted(one_by_one(b"rareword") - one_by_one(b"calm"))
+    counts = learn.select("positive", "unlabelled", "text").mapInArrow(toxicity.counted, "feature long, p long, u long")
+    assert {r.feature for r in counts.where(F.col("feature").isin(rare)).collect()} == set(rare)
+    n_p, n_u = learn.agg(F.sum("positive"), F.sum("unlabelled")).first()
+    drawn = toxicity.sampled(learn, n_p, n_u, 20).collect()
+    assert n_p > 20 and sum(r.positive > 0 for r in drawn) <= 20 and sum(r.unlabelled > 0 for r in drawn) <= 20
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, width, prior: seen.append(len(rows)) or ([0.0] * width, 0.0))
+    toxicity.train(docs, labels, sample=20)
+    assert seen[0] <= 40
+    whole = toxicity.sampled(learn, n_p, n_u, 100_000).where("text = 'same'").collect()
+    assert [(r.positive, r.unlabelled) for r in whole] == ([(0, 500)] if learn.where("doc_id = 7000").count() else [])
+
+
 def test_few_positives_leave_clean_texts_alone(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")

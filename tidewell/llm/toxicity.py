@@ -12,9 +12,10 @@ often than clean texts explain, those that set them apart best first, go into th
 the positives, the more the weights are shrunk: a classifier that knows its positives by heart drives the
 part in the maximum below zero for good, and clean texts up with it.
 
-Fitting takes samples of at most about ``SAMPLE`` positive and ``SAMPLE`` unlabelled texts, by a hash of
-the id; scoring takes every whole text. The sample's ids and rows of chosen features are what the driver
-holds, bounded by ``SAMPLE`` and ``FEATURES``.
+The positives are those of at most ``SAMPLE`` ids, by a hash of the id. Features are counted over all texts. Only the
+fit takes samples, at most ``SAMPLE`` positive and ``SAMPLE`` unlabelled texts by a hash of id and text, equal rows being
+one with a weight; scoring takes every whole text. The ids and the sample's rows of chosen features are what the
+driver holds, bounded by ``SAMPLE`` and ``FEATURES`` whatever repeats.
 
 Defined results: null and empty texts get the score of no feature; an id that any label row calls toxic
 is toxic; null labels and label rows of unknown ids count for nothing; without positives every score
@@ -47,6 +48,7 @@ SPACE = 1 << 20
 RUNS = (3, 4, 5, 6)
 PRIOR = 0.1
 KNOWN = 400_000
+STEP = 128
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -117,15 +119,30 @@ def places(chosen: list[int]) -> np.ndarray:
     return out
 
 
+def features(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Features of each text, some of them twice; words that texts share are hashed once."""
+    found = [set(words(x)) for x in texts]
+    number = {w: i for i, w in enumerate(set().union(*found))}
+    place, feature = hashed(list(number))
+    feature = feature[np.argsort(place, kind="stable")]
+    sizes = np.bincount(place, minlength=len(number))
+    starts = np.cumsum(sizes) - sizes
+    for own in found:
+        at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+        n = sizes[at]
+        yield feature[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each feature, among the positive and the unlabelled texts of a task."""
     totals = np.zeros((2, SPACE), np.int64)
     for batch in batches:
-        for positive, unlabelled, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))):
-            # A feature found twice counts once: that is what adding at a list of places does.
-            own = hashed(list(set(words(text))))[1]
-            totals[0, own] += positive
-            totals[1, own] += unlabelled
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            for positive, unlabelled, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), features(raw(part.column(2)))):
+                # A feature found twice counts once: that is what adding at a list of places does.
+                totals[0, own] += positive
+                totals[1, own] += unlabelled
     some = np.flatnonzero(totals.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["feature", "p", "u"])
 
@@ -177,36 +194,49 @@ def fit(rows: list, width: int, prior: float, steps: int = 300, rate: float = 0.
     return weights, bias
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float]:
-    """Training texts as ``positive, unlabelled, text``, and the class prior among labelled ids."""
+def learning(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float]:
+    """All training texts as ``doc_id, positive, unlabelled, text``, and the class prior among labelled ids."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     order = F.xxhash64("doc_id", F.lit(3))
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).select(F.col("doc_id").alias("__toxic"))
-    n = docs.count()
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(fold(F.col("doc_id")) != 0)
-    part = F.pmod(order, F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n))))
     rows = learn.join(F.broadcast(ids), learn.doc_id == ids["__toxic"], "left")
-    rows = rows.select(F.col("__toxic").isNotNull().cast("long").alias("positive"), F.coalesce(part, F.lit(True)).cast("long").alias("unlabelled"), "text", order.alias("order"))
-    prior = min(0.9, max(0.001, share)) if share else PRIOR
-    rows = rows.where("positive + unlabelled > 0").repartition(parallelism(docs.sparkSession, 8), "order")
-    return stored(rows.drop("order"), "toxicity-sample"), prior
+    rows = rows.select("doc_id", F.col("__toxic").isNotNull().cast("long").alias("positive"), F.lit(1).cast("long").alias("unlabelled"), "text")
+    return rows, min(0.9, max(0.001, share)) if share else PRIOR
+
+
+def sampled(rows: DataFrame, n_p: int, n_u: int, sample: int) -> DataFrame:
+    """At most ``sample`` positive and ``sample`` unlabelled texts; equal rows are one, with their number as weight."""
+    order = F.xxhash64("doc_id", "text", F.lit(3))
+
+    def drawn(of: DataFrame, n: int, positive, unlabelled) -> DataFrame:
+        # Twice the share, so that the limit is reached where ids do not repeat.
+        part = of.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 2 * sample / max(1, n)))))
+        each = part.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+        kept = each.withColumn("order", order).orderBy("order", "doc_id").limit(sample)
+        return kept.select(positive.alias("positive"), unlabelled.alias("unlabelled"), "text", "order")
+
+    none, n = F.lit(0).cast("long"), F.col("n")
+    both = drawn(rows.where("positive = 1"), n_p, n, none).unionByName(drawn(rows, n_u, none, n))
+    return stored(both.repartition(parallelism(rows.sparkSession, 8), "order").drop("order"), "toxicity-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES) -> Model:
-    rows, prior = sampled(docs, labels, sample)
-    counts = rows.mapInArrow(counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rows, prior = learning(docs, labels, sample)
     n_p, n_u = rows.agg(F.sum("positive"), F.sum("unlabelled")).first()
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))))
+    found = rows.select("positive", "unlabelled", "text").mapInArrow(counted, "feature long, p long, u long")
+    counts = found.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     toxic = F.col("p") / n_p
     clean = F.greatest(F.lit(0.0), (F.col("u") / n_u - prior * toxic) / (1 - prior)) + 1.0 / n_u
     surplus = (F.col("p") - n_p * clean) / F.sqrt(n_p * clean + 1)
     best = counts.where((F.col("p") >= 3) & (surplus > STANDARD_ERRORS) & (toxic > 4 * clean))
     best = best.select("feature", (toxic * F.log(toxic / clean)).alias("gain")).orderBy(F.desc("gain"), "feature")
     picked = [r.feature for r in best.limit(most_features).collect()]
-    table = rows.mapInArrow(chosen_rows(picked), "positive long, unlabelled long, places array<int>").collect()
+    table = sampled(rows, n_p, n_u, sample).mapInArrow(chosen_rows(picked), "positive long, unlabelled long, places array<int>").collect()
     weights, bias = fit([tuple(r) for r in table], len(picked), prior)
     return Model({f: float(w) for f, w in zip(picked, weights)}, bias)
 
