@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontaminate, packing, rules, sharding, simhash, suffix_tree, token_counts, toxicity, weak_labels
+from tidewell.llm import (
+    bloom_lookup,
+    chat,
+    decontaminate,
+    merkle,
+    packing,
+    prefix_trie,
+    rules,
+    sharding,
+    simhash,
+    suffix_tree,
+    token_counts,
+    toxicity,
+    weak_labels,
+)
 from tidewell.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +205,155 @@ def op9_simhash_near_dedup(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# Unsigned CRC-32 of the characters of a number, where `t.crc` is the table of the CRC of each byte.
+CRC_TABLE = """(
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc
+  FROM range(256) r(b)
+)"""
+
+
+def crc_of(number: str) -> str:
+    letters = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    step = "lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {letters}), {step}), 4294967295)"
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS r FROM documents
+), f AS (
+  SELECT d.doc_id, d.r, d.n, d.text, o.text AS following
+  FROM d JOIN d o ON o.r = d.r % (SELECT count(*) FROM d) + 1
+), v AS (
+  SELECT *, left(text, n - n // 2) || left(following, n // 2) AS edited FROM f
+), p AS (
+  SELECT r, which, list_distinct(list_transform(regexp_extract_all(x, '[^\n]{1,240}'),
+    lambda y: CAST('0x' || md5(y)[1:15] AS BIGINT))) AS keys
+  FROM (SELECT r, unnest(['own', 'edited', 'following']) AS which, unnest([text, edited, following]) AS x FROM v)
+), cells AS (
+  SELECT r, which, j, count(k) AS n, coalesce(bit_xor(k), 0) AS k,
+    coalesce(bit_xor(((k & 1073741823) * 1000003 + (k >> 30) * 998244353) % 2147483647), 0) AS c
+  FROM (SELECT r, which, unnest(range(12)) AS j FROM p) a
+  LEFT JOIN (SELECT r, which, k, unnest([(k & 1048575) % 4, ((k >> 20) & 1048575) % 4 + 4, (k >> 40) % 4 + 8]) AS j
+             FROM (SELECT r, which, unnest(keys) AS k FROM p)) b USING (r, which, j)
+  GROUP BY r, which, j
+), s AS (
+  SELECT r, which, lower(string_agg(lpad(to_hex(n), 6, '0') || lpad(to_hex(k), 15, '0') || lpad(to_hex(c), 8, '0'), '' ORDER BY j)) AS print
+  FROM cells GROUP BY r, which
+), l AS (
+  SELECT o.r, x.which, CASE WHEN len(o.keys) + len(x.keys) = 0 THEN 1.0 ELSE
+    CAST(2 * len(list_intersect(o.keys, x.keys)) AS DOUBLE) / (len(o.keys) + len(x.keys)) END AS near
+  FROM p o JOIN p x ON o.r = x.r AND o.which = 'own'
+)
+SELECT v.doc_id, CAST(v.n AS BIGINT) AS n_chars, sha256(v.edited) AS edited_sha256, so.print AS fingerprint,
+  se.print AS edited_fingerprint, CAST(le.near AS DOUBLE) AS near_edited, CAST(ln.near AS DOUBLE) AS near_next
+FROM v JOIN s so ON so.r = v.r AND so.which = 'own' JOIN s se ON se.r = v.r AND se.which = 'edited'
+JOIN l le ON le.r = v.r AND le.which = 'edited' JOIN l ln ON ln.r = v.r AND ln.which = 'following'
+"""
+)
+def op11_document_fingerprints(spark, sf_dir):
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    return bloom_lookup.fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Levels that the SQL writes out: a language has no more than 8 to this power of leaves there.
+MERKLE_LEVELS = 8
+
+
+def merkle_sql() -> str:
+    """The trees level by level; each level has the run's siblings of every node that is not alone."""
+    joined = "string_agg(digest, '' ORDER BY rank)"
+    text = r"""
+WITH t AS """ + CRC_TABLE + r""", f AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+    coalesce('=' || lang, '') AS tree, """ + crc_of("doc_id") + r""" % 3 = 0 AS tampered
+  FROM documents, t
+), l AS (
+  SELECT doc_id, tree, leaf, CASE WHEN tampered THEN sha256(start || coalesce(strlen(lowered) || ':' || lowered, '-')) ELSE leaf END AS given
+  FROM (SELECT *, sha256(start || coalesce(strlen(text) || ':' || text, '-')) AS leaf FROM (SELECT *,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS start FROM f))
+), a0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l
+), n0 AS (SELECT tree, place AS rank, leaf AS digest FROM a0
+)"""
+    for k in range(1, MERKLE_LEVELS + 1):
+        text += f""", n{k} AS (
+  SELECT tree, rank // 8 AS rank, CASE WHEN max(total) = 1 THEN max(digest) ELSE sha256({joined}) END AS digest
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS total FROM n{k - 1}) GROUP BY tree, rank // 8
+)"""
+    tops = [f"""u0 AS (
+  SELECT row_number() OVER (ORDER BY tree) - 1 AS rank, tree, digest FROM n{MERKLE_LEVELS}
+)"""]
+    for k in (1, 2):
+        tops.append(f"""u{k} AS (
+  SELECT rank // 8 AS rank, CASE WHEN max(total) = 1 THEN max(digest) ELSE sha256({joined}) END AS digest
+  FROM (SELECT *, count(*) OVER () AS total FROM u{k - 1}) GROUP BY rank // 8
+)""")
+    text += ", " + ", ".join(tops)
+    text += ", b0 AS (SELECT a.*, u.rank AS branch, u.digest AS subroot, (SELECT digest FROM u2) AS root, '' AS others, given AS folded FROM a0 a JOIN u0 u USING (tree))"
+    # Siblings to the left and right of each node in its run, and whether its level is the tree's last.
+    steps = [(f"n{k}", "tree", f"place // {8**k}") for k in range(MERKLE_LEVELS)] + [(f"u{k}", "''", f"branch // {8**k}") for k in range(2)]
+    for i, (level, tree, rank) in enumerate(steps):
+        of = "s.tree" if level[0] == "n" else "''"
+        text += f""", s{i} AS (
+  SELECT {of} AS tree, rank, digest, count(*) OVER (PARTITION BY {of}) = 1 AS alone,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {level} s WINDOW w AS (PARTITION BY {of}, rank // 8 ORDER BY rank)
+), b{i + 1} AS (
+  SELECT b.* REPLACE (CASE WHEN alone THEN others ELSE others || before || after END AS others,
+    CASE WHEN alone THEN folded ELSE sha256(before || folded || after) END AS folded)
+  FROM b{i} b JOIN s{i} s ON s.tree = {"b.tree" if level[0] == "n" else "''"} AND s.rank = {rank}
+)"""
+    return text + f"""
+SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM b{len(steps)}"""
+
+
+@query(merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, proof and verdict of every document."""
+    return merkle.verified(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH t AS """
+    + CRC_TABLE
+    + r""", turns AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+    sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS k FROM conversations
+), own AS (
+  SELECT conv_id, list({'k': k, 'size': size} ORDER BY turn NULLS FIRST, k, size) AS turns FROM turns GROUP BY conv_id
+), b AS (
+  SELECT o.conv_id, coalesce(s.turns[1:h], []) || o.turns[h + 1:] AS turns
+  FROM (SELECT own.*, """
+    + crc_of("conv_id")
+    + r""" % 9 AS h FROM own, t) o LEFT JOIN own s ON s.conv_id = o.conv_id - o.conv_id % 5
+), p AS (
+  SELECT conv_id, len(turns) AS n, d, list_transform(turns[1:d], lambda x: x.k) AS prefix, coalesce(turns[d].size, 0) AS size
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM b)
+), node AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM p GROUP BY prefix, d
+), kids AS (
+  SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1
+), whole AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (prefix)
+), below AS (
+  SELECT prefix[1:up] AS prefix, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+    CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM whole) GROUP BY 1
+)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN below USING (prefix) LEFT JOIN node u ON w.d > 0 AND u.prefix = w.prefix[1:w.d - 1]
+"""
+)
+def op13_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
