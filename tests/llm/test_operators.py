@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -196,6 +197,20 @@ def test_packing_puts_each_id_in_one_piece(docs, empty, real):
     assert ids == [*t.encode("one", add_special_tokens=False).ids, 1]
 
 
+def test_letters_before_points_are_tokenised_as_the_tokenizer_does():
+    # Every letter and mark before a point and a comma, and the capital that becomes a letter and a mark.
+    with open(WORD_BPE, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LM"]
+    texts = [f"a{c}{e} {c}{e} {c}b{e}" for c in letters for e in ".,"]
+    texts += ["Bodrum \u0130, x", "AKDEN\u0130Z SEND\u0130KASI SEVG\u0130.", "Tek\u0130. tek\u0130, BURSA\u0130."]
+    for at in range(0, len(texts), 4096):
+        part = [packing.prepared(t.encode()) for t in texts[at : at + 4096]]
+        encoder.learn(part)
+        want = encoder.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+        assert [encoder(t) for t in part] == [packing.as_bytes(e.ids) for e in want]
+
+
 def test_best_fit_is_the_tightest():
     rng = np.random.default_rng(3)
     lengths = np.sort(rng.integers(1, 100, 400))[::-1]

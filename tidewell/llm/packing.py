@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ LENGTH = 2048
 END = 1
 GROUP_PIECES = 65_536
 MOST_FILE = 64 << 20
-KNOWN = 1_000_000
+KNOWN = 1_500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
@@ -44,6 +45,11 @@ def as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def only_letters(run: str) -> bool:
+    """Whether the run has letters only, also in composed lower case."""
+    return run.isalpha() and (run.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", run).lower()).isalpha())
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
@@ -64,12 +70,13 @@ class Encoder:
     def learn(self, texts: list[str]) -> None:
         """Encode the new runs of a batch together, as far as there is room for them.
 
-        Letters and a point or comma after them are tokenised apart, so such runs follow from their letters.
+        Letters and a point or comma after them are tokenised apart, so such runs follow from their letters, if they
+        are letters still when the tokenizer has normalised them: a mark would stay with the point.
         """
         new = [run for run in set().union(*(t.split(" ") for t in texts)) if run not in self.known]
         if len(self.known) + 2 * len(new) > self.known.most:
             self.known.clear()
-        ended = {run: run[:-1] for run in new if run[-1:] in (".", ",") and run[:-1].isalpha()}
+        ended = {run: run[:-1] for run in new if run[-1:] in (".", ",") and only_letters(run[:-1])}
         runs = list({x for run in new if (x := ended.get(run, run)) not in self.known} | {".", ","})[: self.known.most // 2]
         for i in range(0, len(runs), 20_000):
             part = runs[i : i + 20_000]
@@ -82,6 +89,17 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, text.split(" ")))
 
 
+# The encoder of a worker process: what one task has learnt serves the next.
+_ENCODER: dict[str, Encoder] = {}
+
+
+def encoder_of(model: str) -> Encoder:
+    if model not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[model] = Encoder(model)
+    return _ENCODER[model]
+
+
 def prepared(text: bytes) -> str:
     """The text with line ends as spaces and A to Z in lower case, which the tokenizer does too.
 
@@ -99,7 +117,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 def to_pieces(model, length: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = encoder_of(model.value)
         last = as_bytes([end])
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
