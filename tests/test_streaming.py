@@ -5,7 +5,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidewell.operators.merge import MergeRules, apply_changes
-from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 from tidewell.streaming import cdc
 from tidewell.streaming.cooldown import cooldown_batches
@@ -65,15 +64,14 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
         assert got == sorted((r["k"], r["v"]) for r in expected.collect())
 
 
-def test_append_mode_skips_a_committed_batch(spark, tmp_path):
+def test_append_mode_repeats_a_batch_in_its_place(spark, tmp_path):
     tag = uuid.uuid4().hex[:8]
     spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
     target = Target(spark, f"log_{tag}", str(tmp_path / "out"))
-    state = StateStore(spark, str(tmp_path / "state"), f"s_{tag}")
     for checkpoint in ("c1", "c2"):
         # A second checkpoint replays batch 0, as a crash before the checkpoint commit would.
         stream = spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in"))
-        done(cdc.apply_stream(stream, {"t": target}, {}, str(tmp_path / checkpoint), state, "append", tag))
+        done(cdc.apply_stream(stream, {"t": target}, {}, str(tmp_path / checkpoint), "append", tag))
     assert target.read().count() == 2
 
 

@@ -97,8 +97,9 @@ class LoadJob:
         """What the table's configuration says, else the job's options."""
         return self.tables_config.get(table, {}).get(name, self.options.get(name, default))
 
-    def layout(self, table: str) -> dict[str, tuple[str, ...]]:
-        return {name: tuple(self.setting(table, name) or ()) for name in ("partition_by", "sort_by")}
+    def layout(self, table: str) -> dict[str, Any]:
+        listed = {name: tuple(self.setting(table, name) or ()) for name in ("partition_by", "sort_by")}
+        return {**listed, "hash_partitions": int(self.setting(table, "hash_partitions") or 0)}
 
     def write_mode(self, table: str) -> str:
         mode = self.setting(table, "write_mode", "merge")
@@ -174,12 +175,13 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
     state.note_schema(job.id, table, rows.drop(LANDED).schema)
     keys = target.keys or tuple(job.tables_config.get(table, {}).get("primary_key", ()))
     keys = keys or tuple(primary_keys(rows.schema)) or source.keys(table)
+    target = target.keyed(keys) if target.hash_partitions else target
     merging = job.write_mode(table) == "merge"
     landed = (LANDED,) if LANDED in rows.columns else ()
     if job.load_mode != "incremental":
         events, metrics = observed(_events(job, table, rows))
         if job.load_mode == "full":
-            _write(target, events, keys if merging else (), order_by=landed)
+            _write(target, events, keys if merging else (), state.load_id(job.id, table), order_by=landed)
         else:
             target.replace(events.drop(LANDED))
         state.set_offset(job.id, table, FULL_DONE, "string")
@@ -198,19 +200,20 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
         hi = lo
     selected = rows if whole else incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
     events, metrics = observed(_events(job, table, selected))
-    _write(target, events, keys, order_by=(*landed, cursor) if whole else (cursor, *landed))
+    _write(target, events, keys, state.load_id(job.id, table), order_by=(*landed, cursor) if whole else (cursor, *landed))
     if hi is not None:
         state.set_offset(job.id, table, hi, cursor_type)
     return metrics.get["rows"]
 
 
-def _write(target: Target, rows: DataFrame, keys: tuple[str, ...], order_by: tuple[str, ...] = ()) -> None:
+def _write(target: Target, rows: DataFrame, keys: tuple[str, ...], load_id: str, order_by: tuple[str, ...] = ()) -> None:
     """Merge by key, or append where there is none. All rows of a load carry one time, so of
-    two with the same key the one with the later cursor is kept."""
+    two with the same key the one with the later cursor is kept. A load that died before its watermark
+    was set has the same id when it is repeated, and its rows give way to the repeat's."""
     if keys:
         target.merge(rows, MergeRules(keys, order_by=order_by))
     else:
-        target.append(rows.drop(LANDED))
+        target.append(rows.drop(LANDED), load_id)
 
 
 def run_job(

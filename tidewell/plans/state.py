@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -23,7 +24,8 @@ from tidewell.plans.tables import Target
 
 WATERMARKS = "source_name string, source_table string, offset string, cursor_type string, updated_at timestamp"
 SCHEMAS = "source_name string, source_table string, schema_json string, updated_at timestamp"
-LEDGER = "path string, target_table string, modification_time timestamp, loaded_at timestamp"
+LEDGER = "path string, file_url string, target_table string, modification_time timestamp, loaded_at timestamp"
+COPIED = "batch string, target_table string, rows bigint, loaded_at timestamp"
 RUNS = (
     "id string, job_id string, table_name string, status string, rows bigint, error string, "
     "started_at timestamp, finished_at timestamp, duration_s double"
@@ -74,10 +76,10 @@ class StateStore:
     root: str
     prefix: str = "tidewell"
 
-    def table(self, name: str, ddl: str) -> Target:
+    def table(self, name: str, ddl: str, batches: bool = False) -> Target:
         target = Target(self.spark, f"{self.prefix}_{name}", self.root)
         with _WRITING:
-            target.ensure(T._parse_datatype_string(ddl), meta=False)
+            target.ensure(T._parse_datatype_string(ddl), meta=False, batches=batches)
         return target
 
     def watermarks(self) -> DataFrame:
@@ -92,6 +94,12 @@ class StateStore:
         )
         return json.loads(row["offset"]) if row else None
 
+    def load_id(self, source: str, table: str) -> str:
+        """Id of the load that comes next: the same until a watermark is set, so also after a load that died."""
+        hit = (F.col("source_name") == source) & (F.col("source_table") == table)
+        row = self.watermarks().filter(hit).select(F.unix_micros("updated_at").alias("us")).first()
+        return uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([source, table, row and row["us"]])).hex
+
     def _upsert(self, name: str, ddl: str, row: tuple, keys: Sequence[str]) -> None:
         target = self.table(name, ddl)
         change = self.spark.createDataFrame([row], ddl.replace(", updated_at timestamp", ""))
@@ -141,7 +149,12 @@ class StateStore:
         return self.table("jobs", JOBS).read()
 
     def ledger(self) -> Target:
-        return self.table("ledger", LEDGER)
+        """Files by the copy that takes them, noted before their rows are loaded."""
+        return self.table("ledger", LEDGER, batches=True)
+
+    def copied(self) -> Target:
+        """Copies that are done."""
+        return self.table("copied", COPIED, batches=True)
 
     def runs(self) -> DataFrame:
         return self.table("runs", RUNS).read()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidewell.model import CDC_OP, CDC_SEQ, CDC_TS
 from tidewell.operators.merge import MergeRules
-from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 from tidewell.registry.analytics import COOLDOWN
 from tidewell.registry.base import ORACLES, query
@@ -56,7 +55,7 @@ def _changes(stream):
 def stream_cdc_apply(spark, sf):
     """Files in any order: tombstones and the late guard make the end state the same."""
     folder, schema, batch = _event_files(spark, sf)
-    target = Target(spark, f"streamed_{uuid.uuid4().hex[:12]}", fresh_dir(spark, "streamed"), ("c_custkey",))
+    target = Target(spark, f"streamed_{uuid.uuid4().hex[:12]}", fresh_dir(spark, "streamed"), ("c_custkey",), hash_partitions=4)
     rules = MergeRules(("c_custkey",), guard_late=True, keep_tombstones=True)
     changes = _changes(file_stream(spark, folder, schema, max_files=batch))
     _finish(apply_stream(changes, {"customer": target}, rules, fresh_dir(spark, "checkpoint")))
@@ -75,9 +74,8 @@ def stream_route_append(spark, sf):
     changes = file_stream(spark, folder, schema, max_files=batch).select(
         "user_id", "value", "event_id", op_of_event().alias(CDC_OP), F.col("event_type").alias("source_table")
     )
-    state = StateStore(spark, root, f"state_{tag}")
     checkpoint = fresh_dir(spark, "checkpoint")
-    _finish(apply_stream(changes, targets, {}, checkpoint, state, "append", f"route_{tag}", "source_table"))
+    _finish(apply_stream(changes, targets, {}, checkpoint, "append", f"route_{tag}", "source_table"))
     frames = [t.read().withColumn("routed", F.lit(n)).drop("source_table") for n, t in targets.items()]
     return frames[0].unionByName(frames[1])
 

@@ -154,7 +154,7 @@ def list_files(
     files: Sequence[str] | None = None,
     pattern: str | None = None,
 ) -> DataFrame:
-    """Files below a path as rows of ``path, modificationTime, length``.
+    """Files below a path as rows of ``path, modificationTime, length``, and ``file_url``, the path as scans name it.
 
     ``newer_than`` is exclusive. The cap keeps the oldest files, and all of the time of the last
     kept one, however many: the next run goes on after that time and misses none. A list of names wins over a pattern, which is
@@ -165,7 +165,7 @@ def list_files(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(where)
-        .select("path", "modificationTime", "length")
+        .select("path", "modificationTime", "length", F.col("_metadata.file_path").alias("file_url"))
     )
     if newer_than is not None:
         found = found.filter(F.col("modificationTime") > _instant(newer_than))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
@@ -12,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.model import CDC_OP, map_expr
 from tidewell.operators.merge import MergeRules
-from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 
 # Change codes of each engine. A code without an operation is no event: 3 is the
@@ -67,12 +67,30 @@ def only_tables(changes: DataFrame, tables: Sequence[str], source_table: str = "
     return changes.filter(reduce(or_, [matches_table(F.col(source_table), t, tables) for t in tables]))
 
 
+def route_append(batch: DataFrame, targets: Mapping[str, Target], batch_id: str, source_table: str = "source_table") -> None:
+    """Append the rows of a batch to the logs of their tables, in one pass over the batch.
+
+    Rows are written once, partitioned by table, and each table takes its part as a partition. A table whose stored
+    types differ, or which has a layout of its own, is appended to by itself from the rows written.
+    """
+    names = list(targets)
+    spark, root = targets[names[0]].spark, targets[names[0]].root.rstrip("/")
+    belongs = [F.when(matches_table(F.col(source_table), t, names), F.lit(i)) for i, t in enumerate(names)]
+    folder = f"{root}/routed/{uuid.uuid4().hex}"
+    routed = batch.select("*", F.explode(F.array_compact(F.array(*belongs))).alias("__table"))
+    routed.write.partitionBy("__table").parquet(folder)
+    for i, name in enumerate(names):
+        own = f"{folder}/__table={i}"
+        if not targets[name].adopt(own, batch.schema, batch_id):
+            rows = spark.read.schema(routed.schema).parquet(folder)
+            targets[name].append(rows.where(F.col("__table") == i).drop("__table"), batch_id)
+
+
 def apply_stream(
     changes: DataFrame,
     targets: Mapping[str, Target],
     rules: Mapping[str, MergeRules] | MergeRules,
     checkpoint: str,
-    state: StateStore | None = None,
     mode: str = "merge",
     name: str = "cdc",
     source_table: str | None = None,
@@ -81,33 +99,34 @@ def apply_stream(
     """Write a change stream to its tables, batch by batch.
 
     ``merge`` keeps the tables current; a replayed batch changes nothing, because rows are
-    applied by key and event order. ``append`` keeps the log, and the number of the last
-    committed batch keeps a replay from being written twice.
+    applied by key and event order. ``append`` keeps the log; each batch is a partition by the stream's
+    ``name`` and the batch's number, so a replay takes its own place again.
     """
 
     if not source_table and len(targets) > 1:
         raise ValueError("several targets need source_table, which says where a row belongs")
 
+    def merge(batch: DataFrame) -> None:
+        if not source_table:
+            for table, target in targets.items():
+                target.merge(batch, rules if isinstance(rules, MergeRules) else rules[table])
+            return
+        # Kept while its tables are written one after the other.
+        kept = only_tables(batch, list(targets), source_table).persist()
+        try:
+            for table, rows in split_by_table(kept, list(targets), source_table).items():
+                targets[table].merge(rows, rules if isinstance(rules, MergeRules) else rules[table])
+        finally:
+            kept.unpersist()
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        if source_table:
-            # Kept while its tables are written one after the other.
-            batch = only_tables(batch, list(targets), source_table).persist()
-            routed = split_by_table(batch, list(targets), source_table)
+        if mode == "merge":
+            merge(batch)
+        elif source_table:
+            route_append(batch, targets, f"{name}-{batch_id}", source_table)
         else:
-            routed = dict.fromkeys(targets, batch)
-        for table, rows in routed.items():
-            if mode == "merge":
-                targets[table].merge(rows, rules if isinstance(rules, MergeRules) else rules[table])
-                continue
-            if state is not None:
-                done = state.get_offset(f"stream:{name}", table)
-                if done is not None and done >= batch_id:
-                    continue
-            targets[table].append(rows)
-            if state is not None:
-                state.set_offset(f"stream:{name}", table, batch_id, "integer")
-        if source_table:
-            batch.unpersist()
+            for target in targets.values():
+                target.append(batch, f"{name}-{batch_id}")
 
     return (
         changes.writeStream.foreachBatch(write)
