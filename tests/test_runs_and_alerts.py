@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import alerts as A
 from tidewell.operators import runs as R
@@ -138,3 +139,24 @@ def test_random_alerts_agree_with_a_fold(spark, seed):
 def test_hot_key_with_a_long_chain(spark):
     by_key = {"hot": list(range(0, 900, 3)), "cold": [5]}
     assert cooled(spark, by_key, 10) == {k: fold(v, 10) for k, v in by_key.items()}
+
+
+def test_cooldown_with_null_and_composite_keys_and_blocks(spark):
+    rows = [(k, j, t) for k in ("x", None) for j in (1, None) for t in range(-200, 500, 7)] + [("x", 1, None)]
+    frame = spark.createDataFrame(rows, "k string, j int, t bigint")
+    got = {}
+    for r in A.alert_cooldown(frame, ["k", "j"], "t", 10, cells=3).collect():
+        got.setdefault((r.k, r.j), []).append(r.t)
+    want = fold([t for _, _, t in rows[:100]], 10)
+    assert {k: sorted(v) for k, v in got.items()} == dict.fromkeys([(k, j) for k in ("x", None) for j in (1, None)], want)
+
+
+def test_cooldown_shuffles_three_times_and_keeps_nothing(spark, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
+        text = plan(A.alert_cooldown(frame, ["k"], "t", 10))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = {line.split("Exchange ")[1].split(" ENSURE")[0].split("#")[0] for line in text.splitlines() if "Exchange hashpartitioning" in line}
+    assert 0 < len(exchanges) <= 3 and "Checkpoint" not in text and "CartesianProduct" not in text

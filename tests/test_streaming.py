@@ -1,11 +1,14 @@
 import random
 import uuid
+from contextlib import suppress
 from datetime import datetime, timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidewell.operators.merge import MergeRules, apply_changes
 from tidewell.plans.tables import Target
+from tidewell.registry.recovery import DiesAfterAppend
 from tidewell.streaming import cdc
 from tidewell.streaming.cooldown import cooldown_batches
 from tidewell.streaming.pipe import dedupe_notifications, file_stream, ingest
@@ -98,18 +101,23 @@ def test_notices_are_deduplicated_within_the_lookback(spark, tmp_path):
 
 def test_cooldown_by_batches_carries_on_and_survives_a_replay(spark, tmp_path):
     src = str(tmp_path / "in")
-    fired = Target(spark, f"fired_{uuid.uuid4().hex[:8]}", str(tmp_path / "out"))
-    run = lambda checkpoint: done(
-        cooldown_batches(
-            spark.readStream.schema("k string, t bigint").parquet(src), fired, ["k"], "t", 300, str(tmp_path / checkpoint)
-        )
+    name, root = f"fired_{uuid.uuid4().hex[:8]}", str(tmp_path / "out")
+    fired = Target(spark, name, root)
+    start = lambda checkpoint, target: cooldown_batches(
+        spark.readStream.schema("k string, t bigint").parquet(src), target, ["k"], "t", 300, str(tmp_path / checkpoint)
     )
-    for times in ([0, 100, 300], [599, 600, 700], [900, 100]):
+    for times in ([0, 100, 300, 300], [599, 600, 700], [900, 100]):
         rows = [("a", t) for t in times] + [("b", times[0])]
         spark.createDataFrame(rows, "k string, t bigint").coalesce(1).write.mode("append").parquet(src)
-        run("c")
+        # The batch is written, the stream dies before its checkpoint says so, and the restart repeats it.
+        with suppress(StreamingQueryException):
+            start("c", DiesAfterAppend(spark, name, root)).awaitTermination()
+        q = start("c", fired)
+        done(q)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
     got = lambda: sorted((r["k"], r["t"]) for r in fired.read().collect())
     expected = [("a", 0), ("a", 300), ("a", 600), ("a", 900), ("b", 0), ("b", 599), ("b", 900)]
     assert got() == expected
-    run("other")
+    # A stream that begins goes on from the table.
+    done(start("other", fired))
     assert got() == expected

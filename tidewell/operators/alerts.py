@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tidewell.session import materialize
+from pyspark.sql import types as T
 
 # Thresholds, and the seconds in which an alert does not repeat.
 LAG_THRESHOLD_S = 60.0
 ERROR_THRESHOLD = 5
 COOLDOWN_S = 300
 
+# Cooldowns in a block of a key's times.
+BLOCK_CELLS = 16
+NEVER = -(1 << 62)
+
 
 def alert_rules(
     status: DataFrame, lag_threshold: float = LAG_THRESHOLD_S, error_threshold: int = ERROR_THRESHOLD
@@ -59,84 +63,105 @@ def alert_rules(
     return status.select("source", "table", F.explode(alerts).alias("a")).select("source", "table", "a.*")
 
 
-def alert_cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, cooldown: int) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, cooldown: int, cells: int = BLOCK_CELLS) -> DataFrame:
     """Times at which an alert fires when it then stays silent for ``cooldown``.
 
     ``ts`` is a whole number (seconds, microseconds) and ``cooldown`` has its unit. Suppression
     is a chain along each key: a time fires, and so does the first time at least ``cooldown``
-    later. To keep a hot key out of a single task, times are cut into cells one cooldown wide:
-
-    * a time's successor lies in the next cell or opens a later one, so successors come from
-      running windows over (key, cell), and only the list of cells is ordered per key;
-    * a time that opens a cell after a silence of ``cooldown`` fires whatever came before, so
-      chains start there;
-    * members of the chains are found by doubling the jumps, which takes as many joins as the
-      longest chain has binary digits.
-    """
-    k = list(keys)
-    key_cell = [*k, "cell"]
-    times = (
-        alerts.select(*k, F.col(ts).cast("bigint").alias("t"))
-        .distinct()
-        .withColumn("cell", F.floor(F.col("t") / F.lit(cooldown)).cast("bigint"))
-    )
-
-    along = Window.partitionBy(*k).orderBy("cell")
-    cells = times.groupBy(*key_cell).agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    cells = cells.withColumn(
-        "opens", F.coalesce(F.col("first") - F.lag("last").over(along) >= cooldown, F.lit(True))
-    )
-    ahead = lambda name, n: F.lead(name, n).over(along)
-    next_adjacent = ahead("cell", 1) == F.col("cell") + 1
-    cells = cells.withColumns(
-        {
-            # Successor of a time that finds none in the next cell; one that fires anyway is cut.
-            "beyond": F.when(
-                next_adjacent, F.when(~ahead("opens", 2), ahead("first", 2))
-            ).otherwise(F.when(~ahead("opens", 1), ahead("first", 1))),
-            "opening": F.when(next_adjacent & ahead("opens", 1), ahead("first", 1)),
-        }
-    )
-    cells = materialize(cells)
+    later. To keep a hot key out of a single task, its times are cut into blocks of ``cells`` cooldowns:
 
-    none = F.lit(None).cast("bigint")
-    facts = cells.select(
-        *k, (F.col("cell") + 1).alias("cell"), none.alias("at"), F.lit(0).alias("kind"),
-        none.alias("origin"), none.alias("seen"), "beyond", "opening",
-    )
-    present = times.select(
-        *key_cell, F.col("t").alias("at"), F.lit(1).alias("kind"),
-        none.alias("origin"), F.col("t").alias("seen"), none.alias("beyond"), none.alias("opening"),
-    )
-    probes = times.select(
-        *k, (F.col("cell") + 1).alias("cell"), (F.col("t") + cooldown).alias("at"), F.lit(2).alias("kind"),
-        F.col("t").alias("origin"), none.alias("seen"), none.alias("beyond"), none.alias("opening"),
-    )
-    backwards = (
-        Window.partitionBy(*key_cell)
-        .orderBy(F.col("at").desc_nulls_first(), "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = F.min("seen").over(backwards)
-    successor = F.when(found.isNull(), F.max("beyond").over(backwards)).when(
-        ~found.eqNullSafe(F.max("opening").over(backwards)), found
-    )
-    jumps = (
-        reduce(DataFrame.unionByName, [facts, present, probes])
-        .withColumn("nxt", successor)
-        .filter((F.col("kind") == 2) & F.col("nxt").isNotNull())
-        .select(*k, F.col("origin").alias("t"), "nxt")
-    )
+    * a block is a map from when the next alert may fire to the last time that fires in the block. Only times in
+      its first cooldown, or the one after those, can be the first to fire there, so the map is short;
+    * the maps of a key are applied one after the other, which says when the next alert may fire at
+      the start of each block. About one in ``cells`` of a key's times comes to this task, read as a stream;
+    * each block then follows its chain by itself.
 
-    # levels[n] jumps 2**n members ahead.
-    jumps, levels = materialize(jumps), []
-    while not jumps.isEmpty():
-        levels.append(jumps)
-        further = jumps.select(*k, F.col("t").alias("nxt"), F.col("nxt").alias("nxt2"))
-        jumps = materialize(jumps.join(further, [*k, "nxt"]).select(*k, "t", F.col("nxt2").alias("nxt")))
-
-    fired = cells.filter("opens").select(*k, F.col("first").alias("t"))
-    for jump in levels:
-        both = F.array_compact(F.array("t", "nxt"))
-        fired = fired.join(jump, [*k, "t"], "left").select(*k, F.explode(both).alias("t"))
-    return fired.select(*k, F.col("t").alias(ts))
+    Rows are shuffled to blocks, with repeated times gone before, maps to keys, and starts to blocks.
+    """
+    k = list(keys)
+    key = F.struct(*k) if k else F.struct(F.lit(0))
+    time = F.col(ts).cast("bigint")
+    span = cells * cooldown
+    times = alerts.select(*k, time.alias("__t")).where("__t IS NOT NULL")
+    block = F.floor(F.col("__t") / F.lit(span)).cast("bigint")
+    blocks = times.groupBy(key.alias("__key"), block.alias("__block")).agg(F.sort_array(F.collect_set("__t")).alias("__times"))
+    maps = blocks.mapInArrow(_block_maps(cooldown, span), _schema(blocks, "__key", "__block", "__firsts array<bigint>, __lasts array<bigint>"))
+    ordered = maps.repartition("__key").sortWithinPartitions("__key", "__block")
+    starts = ordered.mapInArrow(_block_starts(cooldown), _schema(blocks, "__key", "__block", "__from bigint"))
+    joined = blocks.join(starts, ["__key", "__block"]).select("__key", "__times", "__from")
+    fired = joined.mapInArrow(_followed(cooldown), _schema(blocks, "__key", "__fired array<bigint>"))
+    each = fired.select("__key", F.explode("__fired").alias("__t"))
+    return each.select(*[F.col("__key")[c].alias(c) for c in k], F.col("__t").cast("bigint").alias(ts))
+
+
+def _schema(df: DataFrame, *columns: str) -> T.StructType:
+    """Types of the named columns, then of those given with a type."""
+    fields = []
+    for c in columns:
+        fields += [df.schema[c]] if c in df.columns else T._parse_datatype_string(c).fields
+    return T.StructType(fields)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return np.split(values, np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def _block_maps(cooldown: int, span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            firsts, lasts = [], []
+            for number, times in zip(batch.column("__block").to_pylist(), _lists(batch.column("__times"))):
+                # From each time to the last of its chain: a time's successor until there is none, by doubling.
+                last = np.searchsorted(times, times + cooldown)
+                last = np.where(last < len(times), last, np.arange(len(times)))
+                while (last[last] != last).any():
+                    last = last[last]
+                n = int(np.searchsorted(times, number * span + cooldown)) + 1
+                ends = times[last[:n]]
+                # Of first times that lead to the same end the latest stands for all.
+                own = np.flatnonzero(np.r_[ends[1:] != ends[:-1], True])
+                firsts.append(times[:n][own])
+                lasts.append(ends[own])
+            columns = [pa.array(x, pa.list_(pa.int64())) for x in (firsts, lasts)]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__block"), *columns], names=["__key", "__block", "__firsts", "__lasts"])
+
+    return run
+
+
+def _block_starts(cooldown: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start = None, NEVER
+        for batch in batches:
+            out = []
+            if not batch.num_rows:
+                continue
+            for own, firsts, lasts in zip(batch.column("__key").to_pylist(), _lists(batch.column("__firsts")), _lists(batch.column("__lasts"))):
+                if own != key:
+                    key, start = own, NEVER
+                out.append(start)
+                at = int(np.searchsorted(firsts, start))
+                if at < len(firsts):
+                    start = int(lasts[at]) + cooldown
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__block"), pa.array(out, pa.int64())], names=["__key", "__block", "__from"])
+
+    return run
+
+
+def _followed(cooldown: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for times, start in zip(_lists(batch.column("__times")), batch.column("__from").to_pylist()):
+                fired, at = [], int(np.searchsorted(times, start))
+                while at < len(times):
+                    fired.append(int(times[at]))
+                    at = int(np.searchsorted(times, fired[-1] + cooldown))
+                out.append(fired)
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(out, pa.list_(pa.int64()))], names=["__key", "__fired"])
+
+    return run
