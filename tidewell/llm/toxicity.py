@@ -5,12 +5,14 @@ numpy classifier is trained on the class-prior-corrected risk
 ``pi R+(positive) + max(0, R-(unlabelled) - pi R-(positive))``: when the part in the maximum falls below
 zero its gradient is turned round, which keeps the classifier from treating hidden positives as clean.
 
-Features are the presence of words and of byte runs of words with marked ends, hashed. A first
-pass counts in how many positive and unlabelled texts each feature is found; the class prior turns the
-two shares into the share among clean texts. Features found in toxic texts by five standard errors more
-often than clean texts explain, those that set them apart best first, go into the classifier. The fewer
-the positives, the more the weights are shrunk: a classifier that knows its positives by heart drives the
-part in the maximum below zero for good, and clean texts up with it.
+Features are byte runs of words with marked ends, hashed, in one, two, three or five distinct words of a text
+(``LEVELS``): what a text has once by chance, a text about it has in many words. A first pass counts in how many
+positive and unlabelled texts each feature is found; the class prior turns the two shares into the share among clean
+texts. A feature is chosen by the likelihood ratio of its count among the positives against that
+share, which must exceed the log of the number of features tried at its level, less ``SLACK``; so a feature that three
+toxic texts of a small language share is taken, if hardly any clean text has it. How much the weights are
+shrunk is chosen by cross-validation: parts of the sampled texts are left out in turn, features that the rest alone would not
+choose are left out with them, and the decay of the least non-negative risk, in errors, is taken.
 
 The positives are those of at most ``SAMPLE`` ids, by a hash of the id. Features are counted over all texts. Only the
 fit takes samples, at most ``SAMPLE`` positive and ``SAMPLE`` unlabelled texts by a hash of id and text, equal rows being
@@ -41,9 +43,11 @@ from tidewell.session import parallelism
 
 SAMPLE = 10_000
 FEATURES = 1024
-STANDARD_ERRORS = 5
-LEAST_DECAY = 1e-3
-SHRINK = 0.35
+LEVELS = (1, 2, 3, 5)
+LEAST_TEXTS = 3
+SLACK = 1.0
+DECAYS = (0.001, 0.002, 0.004, 0.008)
+PARTS = 4
 SPACE = 1 << 20
 RUNS = (3, 4, 5, 6)
 PRIOR = 0.1
@@ -87,14 +91,21 @@ def hashed(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(values) & np.uint32(SPACE - 1)
 
 
+def leveled(found: np.ndarray) -> np.ndarray:
+    """Features of a text by level, from those of its words."""
+    value, n = np.unique(found, return_counts=True)
+    return np.concatenate([value[n >= least].astype(np.int64) + SPACE * i for i, least in enumerate(LEVELS)])
+
+
 class Seen:
     """What of the words of a text matters, each word worked out once while there is room.
 
-    ``place`` has a number for each feature that matters, and -1 for all others.
+    ``place`` has a number for each feature by level that matters, and -1 for all others.
     """
 
     def __init__(self, place: np.ndarray):
-        self.place, self.known, self.useful = place, set(), {}
+        self.place, self.any = place, (place.reshape(len(LEVELS), SPACE) >= 0).any(axis=0)
+        self.known, self.useful = set(), {}
 
     def __call__(self, text: bytes) -> set[int]:
         found = set(words(text))
@@ -104,23 +115,24 @@ class Seen:
         if new:
             listed = list(new)
             word, feature = hashed(listed)
-            own = self.place[feature]
-            hit = own >= 0
-            for w, f in zip(word[hit].tolist(), own[hit].tolist()):
-                self.useful.setdefault(listed[w], set()).add(f)
+            hit = self.any[feature]
+            for w, f in zip(word[hit].tolist(), feature[hit].tolist()):
+                self.useful.setdefault(listed[w], []).append(f)
             self.known |= new
-        return set().union(*(self.useful[w] for w in self.useful.keys() & found))
+        own = [f for w in self.useful.keys() & found for f in self.useful[w]]
+        places = self.place[leveled(np.array(own, np.int64))] if own else np.zeros(0, np.int64)
+        return set(places[places >= 0].tolist())
 
 
 def places(chosen: list[int]) -> np.ndarray:
-    """Place of each chosen feature, by feature."""
-    out = np.full(SPACE, -1, np.int32)
+    """Place of each chosen feature, by feature and level."""
+    out = np.full(SPACE * len(LEVELS), -1, np.int32)
     out[np.array(chosen, np.int64)] = np.arange(len(chosen))
     return out
 
 
 def features(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Features of each text, some of them twice; words that texts share are hashed once."""
+    """Features of each text by level; words that texts share are hashed once."""
     found = [set(words(x)) for x in texts]
     number = {w: i for i, w in enumerate(set().union(*found))}
     place, feature = hashed(list(number))
@@ -130,21 +142,21 @@ def features(texts: list[bytes]) -> Iterator[np.ndarray]:
     for own in found:
         at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
         n = sizes[at]
-        yield feature[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        yield leveled(feature[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each feature, among the positive and the unlabelled texts of a task."""
-    totals = np.zeros((2, SPACE), np.int64)
+    totals = np.zeros((2, SPACE * len(LEVELS)), np.int32)
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
             part = batch.slice(at, STEP)
             for positive, unlabelled, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), features(raw(part.column(2)))):
-                # A feature found twice counts once: that is what adding at a list of places does.
-                totals[0, own] += positive
                 totals[1, own] += unlabelled
+                if positive:
+                    totals[0, own] += positive
     some = np.flatnonzero(totals.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["feature", "p", "u"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(t[some].astype(np.int64)) for t in totals)], names=["feature", "p", "u"])
 
 
 def chosen_rows(chosen: list[int]):
@@ -165,14 +177,13 @@ class Model:
     bias: float
 
 
-def fit(rows: list, width: int, prior: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: list, width: int, prior: float, decay: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; ``rows`` are (positive, unlabelled, places)."""
     weights, bias = np.zeros(width), float(np.log(prior / (1 - prior)))
     positive = np.array([r[0] for r in rows], float)
     unlabelled = np.array([r[1] for r in rows], float)
     if not positive.sum() or not unlabelled.sum():
         return weights, bias
-    decay = max(LEAST_DECAY, SHRINK / positive.sum())
     sizes = [len(r[2]) for r in rows]
     row = np.repeat(np.arange(len(rows)), sizes)
     place = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
@@ -194,6 +205,38 @@ def fit(rows: list, width: int, prior: float, steps: int = 300, rate: float = 0.
     return weights, bias
 
 
+def ratio(p: np.ndarray, n_p: float, clean: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of counts among the positives, against what the clean share explains."""
+    return p * np.log(np.maximum(p, 1e-9) / (n_p * clean)) - (p - n_p * clean)
+
+
+def best_decay(rows: list, clean: np.ndarray, least: np.ndarray, prior: float) -> float:
+    """The decay whose classifiers err least on what they have not seen; ``least`` is what each feature's ratio must exceed.
+
+    Texts with the same features are left out together. With equal risks the larger decay is taken, and so it is where the
+    positives are too few to be parted.
+    """
+    part = np.array([zlib.crc32(np.asarray(r[2], np.int64).tobytes()) % PARTS for r in rows])
+    positive, unlabelled = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    if len(set(part[positive > 0])) < PARTS:
+        return max(DECAYS)
+    called = np.zeros((len(DECAYS), len(rows)), bool)
+    for left_out in range(PARTS):
+        kept = np.flatnonzero(part != left_out)
+        p = np.zeros(len(clean))
+        for i in kept[positive[kept] > 0]:
+            p[rows[i][2]] += positive[i]
+        use = (p >= LEAST_TEXTS) & (ratio(p, positive[kept].sum(), clean) > least)
+        seen = [(r[0], r[1], [f for f in r[2] if use[f]]) for r in rows]
+        for d, decay in enumerate(DECAYS):
+            weights, bias = fit([seen[i] for i in kept], len(clean), prior, decay, steps=150)
+            for i in np.flatnonzero(part == left_out):
+                called[d, i] = bias + weights[seen[i][2]].sum() >= 0 if seen[i][2] else bias >= 0
+    hit, all_called = called @ positive / positive.sum(), called @ unlabelled / unlabelled.sum()
+    risk = prior * (1 - hit) + np.maximum(0, all_called - prior * hit)
+    return max(d for d, r in zip(DECAYS, risk) if r <= risk.min() + 1e-12)
+
+
 def learning(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float]:
     """All training texts as ``doc_id, positive, unlabelled, text``, and the class prior among labelled ids."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -229,15 +272,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))))
     found = rows.select("positive", "unlabelled", "text").mapInArrow(counted, "feature long, p long, u long")
-    counts = found.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = found.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p > 0")
+    counts = stored(counts.withColumn("level", F.expr(f"CAST(feature DIV {SPACE} AS INT)")), "toxicity-counts")
+    tried = {r.level: r.n for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    least = F.create_map(*(F.lit(x) for level, n in tried.items() for x in (level, float(np.log(n) - SLACK))))[F.col("level")] if tried else F.lit(0.0)
     toxic = F.col("p") / n_p
     clean = F.greatest(F.lit(0.0), (F.col("u") / n_u - prior * toxic) / (1 - prior)) + 1.0 / n_u
-    surplus = (F.col("p") - n_p * clean) / F.sqrt(n_p * clean + 1)
-    best = counts.where((F.col("p") >= 3) & (surplus > STANDARD_ERRORS) & (toxic > 4 * clean))
-    best = best.select("feature", (toxic * F.log(toxic / clean)).alias("gain")).orderBy(F.desc("gain"), "feature")
-    picked = [r.feature for r in best.limit(most_features).collect()]
+    excess = F.col("p") * F.log(toxic / clean) - (F.col("p") - n_p * clean)
+    best = counts.where((F.col("p") >= LEAST_TEXTS) & (excess > least) & (toxic > 4 * clean))
+    best = best.select("feature", clean.alias("clean"), least.alias("least"), (toxic * F.log(toxic / clean)).alias("gain")).orderBy(F.desc("gain"), "feature")
+    chosen = best.limit(most_features).collect()
+    picked = [r.feature for r in chosen]
     table = sampled(rows, n_p, n_u, sample).mapInArrow(chosen_rows(picked), "positive long, unlabelled long, places array<int>").collect()
-    weights, bias = fit([tuple(r) for r in table], len(picked), prior)
+    # In an order of their own: sums then come out the same in every run.
+    table = sorted(tuple(r) for r in table)
+    decay = best_decay(table, np.array([r.clean for r in chosen]), np.array([r.least for r in chosen]), prior)
+    weights, bias = fit(table, len(picked), prior, decay)
     return Model({f: float(w) for f, w in zip(picked, weights)}, bias)
 
 
