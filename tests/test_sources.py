@@ -193,51 +193,6 @@ def test_same_delta_version_reads_nothing(spark):
     assert TF.delta_changes(spark, "/nowhere", 5, 5) is None
 
 
-def test_timeline(spark):
-    names = spark.createDataFrame(
-        [(n,) for n in ("3.commit", "1.commit", "2.deltacommit", "4.commit.requested", "5.inflight", "hoodie.properties")], "name string"
-    )
-    commits = lambda **k: sorted(r[0] for r in TF.completed_commits(names, **k).collect())
-    assert commits() == ["1", "2", "3"] and commits(after="1") == ["2", "3"]
-
-
-@pytest.fixture
-def hudi(spark, tmp_path):
-    """Two slices of one group, one uncommitted slice, a second group in a partition."""
-    table = tmp_path / "rides"
-    (table / ".hoodie").mkdir(parents=True)
-    ddl = "id int, v string, _hoodie_commit_time string, _hoodie_is_deleted boolean"
-
-    def put(name, rows):
-        staging = tmp_path / "staging" / name
-        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(staging))
-        (table / name).parent.mkdir(parents=True, exist_ok=True)
-        shutil.copy(next(staging.glob("part-*.parquet")), table / name)
-
-    put("p=1/f1_0-1_100.parquet", [(1, "a", "100", None), (2, "b", "100", None)])
-    put("p=1/f1_0-2_200.parquet", [(1, "a", "100", None), (2, "B", "200", False), (3, "x", "200", True)])
-    put("p=1/f1_0-3_300.parquet", [(1, "never", "300", None)])
-    put("p=2/f1_0-1_100.parquet", [(9, "other", "100", None)])
-    for marker in ("100.commit", "200.deltacommit", "300.commit.requested"):
-        (table / ".hoodie" / marker).write_text("{}")
-    return str(table)
-
-
-def test_latest_committed_slice(spark, hudi):
-    assert sorted((r["id"], r["v"]) for r in TF.hudi_snapshot(spark, hudi).collect()) == [(1, "a"), (2, "B"), (9, "other")]
-
-
-def test_unknown_commits_are_not_passed_over(spark, hudi):
-    marker = Path(hudi) / ".hoodie" / "100.commit"
-    marker.rename(marker.parent / "archived-100")
-    for read in (lambda: TF.hudi_snapshot(spark, hudi), lambda: TF.hudi_incremental(spark, hudi, "100")):
-        with pytest.raises(ValueError, match="commit 100"):
-            read()
-    (marker.parent / "400.replacecommit").write_text("{}")
-    with pytest.raises(ValueError, match="replacing"):
-        TF.hudi_snapshot(spark, hudi)
-
-
 def test_a_job_reads_the_table_by_the_reader_of_the_format(spark, tmp_path):
     class Rows(DataSource):
         @classmethod
@@ -260,9 +215,3 @@ def test_a_job_reads_the_table_by_the_reader_of_the_format(spark, tmp_path):
     source = ConfiguredSource(spark, {"source_type": "hudi", "connection": {"path": str(tmp_path)}})
     got = source.read("rides").collect()
     assert sorted(r.v for r in got) == [1, 3] and all(r.path.endswith("/rides") for r in got)
-
-
-def test_incremental_commits(spark, hudi):
-    assert [(r["id"], r["v"]) for r in TF.hudi_incremental(spark, hudi, "100").collect()] == [(2, "B")]
-    assert sorted(r["id"] for r in TF.hudi_incremental(spark, hudi, None, "100").collect()) == [1, 2, 9]
-    assert TF.hudi_incremental(spark, hudi, "200", schema="id int").count() == 0

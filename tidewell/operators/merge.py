@@ -89,6 +89,10 @@ class MergeRules:
     array column listing the columns an update did not send, ``before`` a struct column with
     the key an update moved away from. ``order_by`` names columns that order events of one
     time, latest highest; those starting with ``__`` are not stored.
+
+    ``retention_s`` bounds how long tombstones are kept: the target has a watermark that many seconds of event
+    time behind its latest event. Tombstones behind it go when their part of the table is rewritten, and an event
+    behind it is applied only to a row that is there to compare it with.
     """
 
     keys: tuple[str, ...]
@@ -97,6 +101,11 @@ class MergeRules:
     unchanged: str | None = None
     before: str | None = None
     order_by: tuple[str, ...] = ()
+    retention_s: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.retention_s is not None and not (self.guard_late and self.keep_tombstones):
+            raise ValueError("a retention is of tombstones that guard against late events")
 
     @property
     def not_stored(self) -> list[str]:
@@ -123,6 +132,18 @@ def latest_changes(changes: DataFrame, rules: MergeRules, keep_null_keys: bool =
     return latest.drop(*[c for c in rules.not_stored if c != rules.unchanged])
 
 
+def without_late(latest: DataFrame, stored: DataFrame, keys: Sequence[str], watermark: Column) -> DataFrame:
+    """Events but those at or behind the watermark whose key the table does not hold."""
+    known = stored.select(*keys).join(latest.select(*keys), list(keys), "left_semi").withColumn("__known", F.lit(True))
+    timely = F.col(CDC_TS).isNull() | (F.col(CDC_TS) > watermark) | F.col("__known").isNotNull()
+    return latest.join(known, list(keys), "left").filter(timely).drop("__known")
+
+
+def without_expired(rows: DataFrame, watermark: Column) -> DataFrame:
+    """Rows but tombstones at or behind the watermark."""
+    return rows.filter((F.col(CDC_OP) != "delete") | F.col(CDC_OP).isNull() | F.col(CDC_TS).isNull() | (F.col(CDC_TS) > watermark))
+
+
 def apply_changes(target: DataFrame, changes: DataFrame, rules: MergeRules) -> DataFrame:
     """Target after a batch of change events, the last event of each key winning."""
     return apply_latest(target, latest_changes(changes, rules), rules)

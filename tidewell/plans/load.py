@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.masking import apply_masking
-from tidewell.model import add_cdc_meta, primary_keys, target_name
+from tidewell.model import CDC_INGEST_TS, CDC_SOURCE, add_cdc_meta, primary_keys, target_name
 from tidewell.operators.incremental import advances, choose_cursor, high_watermark_value, incremental_range
 from tidewell.operators.merge import MergeRules
 from tidewell.plans.state import StateStore
 from tidewell.plans.tables import Target
 from tidewell.sources.dialects import SOURCE_TYPES, default_cursor, refetched
 from tidewell.sources.readers import LANDED
+from tidewell.sources.table_formats import PREIMAGE, cdf_to_events
 
 # Load modes; the last two replace the target.
 REPLACING = ("ctas", "full_replace")
@@ -159,8 +160,32 @@ def lists_by_time(job: LoadJob, table: str) -> bool:
     return SOURCE_TYPES[job.source_type].kind in ("files", "blobs") and configured in (None, "", default)
 
 
+def load_feed(job: LoadJob, table: str, source: Source, target: Target, state: StateStore) -> int:
+    """Apply the versions of a change feed that came since the last load; its watermark is the version.
+
+    Deletes are applied, so the table needs a key. A load that died before its watermark was set is repeated.
+    """
+    last = state.get_offset(job.id, table)
+    feed, current = source.changes(table, last)
+    if feed is None:
+        return 0
+    keys = target.keys or tuple(job.tables_config.get(table, {}).get("primary_key", ()))
+    if not keys:
+        raise ValueError("a change feed needs a primary key")
+    feed, metrics = observed(apply_masking(feed, table, job.masking).filter(F.col("_change_type") != PREIMAGE) if "_change_type" in feed.columns else feed)
+    if "_change_type" in feed.columns:
+        events = cdf_to_events(feed).withColumns({CDC_SOURCE: F.lit(job.id), CDC_INGEST_TS: F.current_timestamp()})
+    else:
+        events = add_cdc_meta(apply_masking(feed, table, job.masking), source=job.id, seq=F.lit(current).cast("long"))
+    target.merge(events, MergeRules(keys))
+    state.set_offset(job.id, table, current, "integer")
+    return metrics.get["rows"]
+
+
 def load_table(job: LoadJob, table: str, source: Source, target: Target, state: StateStore) -> int:
     """Load one table; returns the number of rows written."""
+    if job.setting(table, "change_feed"):
+        return load_feed(job, table, source, target, state)
     lo = state.get_offset(job.id, table) if job.load_mode == "incremental" else None
     lo = None if lo == FULL_DONE else lo
     settings = {**getattr(source, "config", {}).get("connection", {}), **job.tables_config.get(table, {})}

@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.model import primary_keys
-from tidewell.operators.merge import MergeRules, apply_latest, latest_changes, split_null_keys
+from tidewell.model import CDC_TS, primary_keys
+from tidewell.operators.merge import MergeRules, apply_latest, latest_changes, split_null_keys, without_expired, without_late
 from tidewell.operators.schema import added_columns, conform, with_meta_schema
 from tidewell.plans.rowlevel import merge_into, supports_row_level
 
@@ -37,6 +37,7 @@ from tidewell.plans.rowlevel import merge_into, supports_row_level
 # Hidden partition columns: the hash part of the key, and the batch that appended the row.
 PART = "_key_part"
 BATCH = "_batch"
+WATERMARK = "tidewell.watermark"
 BATCH_ID = re.compile(r"[A-Za-z0-9_.-]+")
 
 
@@ -244,12 +245,36 @@ class Target:
                 merge_into(latest, self.name, replace(rules, before=None, order_by=()))
                 return lost
             stored = self.stored()
-            merged = apply_latest(stored, latest, rules)
+            merged, watermark = self._merged(stored, latest, rules)
             self._swap(conform(merged, stored.schema, rescue=False))
+            self._set_watermark(watermark)
         finally:
             self._delete(batch)
         return lost
 
+    def _merged(self, stored: DataFrame, latest: DataFrame, rules: MergeRules) -> tuple[DataFrame, int | None]:
+        """The rows after the batch, and the watermark in microseconds where the rules have one."""
+        if rules.retention_s is None:
+            return apply_latest(stored, latest, rules), None
+        old = self.watermark()
+        if old is not None:
+            latest = without_late(latest, stored, rules.keys, F.timestamp_micros(F.lit(old)))
+        newest = latest.agg(F.max(F.unix_micros(F.col(CDC_TS).cast("timestamp")))).first()[0]
+        reached = [x for x in (old, newest and newest - rules.retention_s * 1_000_000) if x is not None]
+        merged = apply_latest(stored, latest, rules)
+        if not reached:
+            return merged, None
+        return without_expired(merged, F.timestamp_micros(F.lit(max(reached)))), max(reached)
+
+    def watermark(self) -> int | None:
+        """Event time, in microseconds, behind which tombstones are not kept; a property of the table."""
+        found = self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").filter(F.col("key") == WATERMARK).first()
+        return int(found["value"]) if found else None
+
+    def _set_watermark(self, value: int | None) -> None:
+        if value is not None:
+            self.spark.sql(f"ALTER TABLE {self.name} SET TBLPROPERTIES ('{WATERMARK}' = '{value}')")
+
     def _stage_changes(self, changes: DataFrame, rules: MergeRules) -> tuple[str, int]:
         """Write the deciding events down, the table made ready for them; keyless rows go aside.
 
@@ -314,13 +339,15 @@ class Target:
             stored = self.stored()
             touched = [row.asDict() for row in latest.select(*parts).distinct().collect()]
             affected = stored.filter(_any_of(touched))
-            merged = conform(apply_latest(affected, latest, rules), stored.schema, rescue=False)
+            merged, watermark = self._merged(affected, latest, rules)
+            merged = conform(merged, stored.schema, rescue=False)
             folder = self._new_folder()
             # Sorted, or else in partitions of even size: neither leaves a large one to one task.
             ordered = clustered(merged, [*parts, *self.sort_by]) if self.sort_by else merged.hint("rebalance", *parts)
             ordered.write.partitionBy(*parts).parquet(folder)
             if touched:
                 self._publish(folder, merged.schema, parts, latest)
+            self._set_watermark(watermark)
         finally:
             self._delete(staged)
         self.spark.catalog.refreshTable(self.name)

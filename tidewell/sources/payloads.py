@@ -239,23 +239,65 @@ archived boolean archived
 
 # Columns of the help-desk tables.
 ZENDESK: dict[str, tuple[Mapped, ...]] = {
-    name: tuple(Mapped(c, t, (c,)) for c, t in (pair.split(":") for pair in text.split()))
-    for name, text in {
-        "tickets": "id:bigint subject:varchar description:varchar status:varchar priority:varchar "
-        "type:varchar requester_id:bigint assignee_id:bigint organization_id:bigint group_id:bigint "
-        "tags:varchar created_at:varchar updated_at:varchar",
-        "users": "id:bigint name:varchar email:varchar role:varchar active:boolean "
-        "organization_id:bigint created_at:varchar updated_at:varchar",
-        "organizations": "id:bigint name:varchar domain_names:varchar group_id:bigint "
-        "created_at:varchar updated_at:varchar",
-        "groups": "id:bigint name:varchar description:varchar deleted:boolean "
-        "created_at:varchar updated_at:varchar",
-        "ticket_metrics": "id:bigint ticket_id:bigint reopens:integer replies:integer "
-        "first_reply_time_calendar:integer full_resolution_time_calendar:integer "
-        "created_at:varchar updated_at:varchar",
-        "satisfaction_ratings": "id:bigint ticket_id:bigint score:varchar comment:varchar "
-        "created_at:varchar updated_at:varchar",
-    }.items()
+    "tickets": (
+        Mapped("id", "bigint", ("id",)),
+        Mapped("subject", "varchar", ("subject",)),
+        Mapped("description", "varchar", ("description",)),
+        Mapped("status", "varchar", ("status",)),
+        Mapped("priority", "varchar", ("priority",)),
+        Mapped("type", "varchar", ("type",)),
+        Mapped("requester_id", "bigint", ("requester_id",)),
+        Mapped("assignee_id", "bigint", ("assignee_id",)),
+        Mapped("organization_id", "bigint", ("organization_id",)),
+        Mapped("group_id", "bigint", ("group_id",)),
+        Mapped("tags", "varchar", ("tags",)),
+        Mapped("created_at", "varchar", ("created_at",)),
+        Mapped("updated_at", "varchar", ("updated_at",)),
+    ),
+    "users": (
+        Mapped("id", "bigint", ("id",)),
+        Mapped("name", "varchar", ("name",)),
+        Mapped("email", "varchar", ("email",)),
+        Mapped("role", "varchar", ("role",)),
+        Mapped("active", "boolean", ("active",)),
+        Mapped("organization_id", "bigint", ("organization_id",)),
+        Mapped("created_at", "varchar", ("created_at",)),
+        Mapped("updated_at", "varchar", ("updated_at",)),
+    ),
+    "organizations": (
+        Mapped("id", "bigint", ("id",)),
+        Mapped("name", "varchar", ("name",)),
+        Mapped("domain_names", "varchar", ("domain_names",)),
+        Mapped("group_id", "bigint", ("group_id",)),
+        Mapped("created_at", "varchar", ("created_at",)),
+        Mapped("updated_at", "varchar", ("updated_at",)),
+    ),
+    "groups": (
+        Mapped("id", "bigint", ("id",)),
+        Mapped("name", "varchar", ("name",)),
+        Mapped("description", "varchar", ("description",)),
+        Mapped("deleted", "boolean", ("deleted",)),
+        Mapped("created_at", "varchar", ("created_at",)),
+        Mapped("updated_at", "varchar", ("updated_at",)),
+    ),
+    "ticket_metrics": (
+        Mapped("id", "bigint", ("id",)),
+        Mapped("ticket_id", "bigint", ("ticket_id",)),
+        Mapped("reopens", "integer", ("reopens",)),
+        Mapped("replies", "integer", ("replies",)),
+        Mapped("first_reply_time_calendar", "integer", ("first_reply_time_calendar",)),
+        Mapped("full_resolution_time_calendar", "integer", ("full_resolution_time_calendar",)),
+        Mapped("created_at", "varchar", ("created_at",)),
+        Mapped("updated_at", "varchar", ("updated_at",)),
+    ),
+    "satisfaction_ratings": (
+        Mapped("id", "bigint", ("id",)),
+        Mapped("ticket_id", "bigint", ("ticket_id",)),
+        Mapped("score", "varchar", ("score",)),
+        Mapped("comment", "varchar", ("comment",)),
+        Mapped("created_at", "varchar", ("created_at",)),
+        Mapped("updated_at", "varchar", ("updated_at",)),
+    ),
 }
 
 LIST_FIELDS = {"tags", "domain_names"}

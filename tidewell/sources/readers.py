@@ -14,10 +14,12 @@ from tidewell.sources import payloads
 from tidewell.sources.dialects import DIALECTS, SOURCE_TYPES, SourceType
 from tidewell.sources.files import FileOptions, list_files, read_detected, resolve_prefix
 from tidewell.sources.jdbc import KEY_CATALOGS, cursor_bound_query, primary_key_of, read_database
-from tidewell.sources.table_formats import delta_snapshot, hudi_table
+from tidewell.sources.splits import read_split
+from tidewell.sources.table_formats import current_version, delta_changes, delta_snapshot, hudi_table
 
 # When the page a row came with was landed. Of rows with one key the latest counts; it is not stored.
 LANDED = "__landed"
+SPLITS = 32
 PAYLOAD_TABLES = {"google_ads": payloads.GOOGLE_ADS, "linkedin_ads": payloads.LINKEDIN_ADS}
 
 
@@ -50,6 +52,9 @@ class ConfiguredSource:
         connection = self.config.get("connection", {})
         if source.dialect == "dynamodb" and "export" in connection:
             return payloads.dynamodb_items(spark.read.json(resolve_prefix(connection["export"], table)))
+        if source.kind == "database" and settings.get("split_by") and DIALECTS[source.dialect].format == "jdbc":
+            rows = read_split(spark, source.dialect, connection, table, settings["split_by"], int(settings.get("splits", SPLITS)), settings)
+            return rows.select(*settings["columns"]) if settings.get("columns") else rows
         if source.kind == "database":
             return read_database(
                 spark, source.dialect, connection, table, settings.get("columns"), settings, settings.get("partition")
@@ -70,6 +75,23 @@ class ConfiguredSource:
             return hudi_table(spark, path)
         return read_landed(spark, self.config["source_type"], table, path, connection, settings.get("schema"))
 
+    def changes(self, table: str, last: int | None) -> tuple[DataFrame | None, int | None]:
+        """Change feed of the versions after ``last``, and the current version; no frame where there is no newer one.
+
+        A table of the versioned format gives its rows the first time. Any other reader must give the feed itself.
+        """
+        connection = self.config.get("connection", {})
+        if self.source.kind == "delta":
+            path = resolve_prefix(connection["path"], table)
+            current = current_version(self.spark, path)
+            return delta_changes(self.spark, path, last, current), current
+        feed = self.read(table)
+        current = feed.agg(F.max("_commit_version")).first()[0]
+        if current is None or (last is not None and last >= current):
+            return None, last
+        newer = feed if last is None else feed.filter(F.col("_commit_version") > last)
+        return newer.filter(F.col("_commit_version") <= current), current
+
     def keys(self, table: str) -> tuple[str, ...]:
         """Primary key by the catalog of the database; none for a query or another kind of source."""
         source = self.source

@@ -1,25 +1,18 @@
-"""Table formats: change feeds and copy-on-write file layouts."""
+"""Table formats by their own readers: snapshots, change feeds, soft deletes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewell.model import CDC_OP, CDC_SEQ, CDC_TS, drop_prefix
 
 # Change types of a change data feed, and what each one does.
 CDF_OPERATIONS = {"insert": "insert", "update_postimage": "update", "delete": "delete"}
+PREIMAGE = "update_preimage"
 CDF_COLUMNS = ("_change_type", "_commit_version", "_commit_timestamp")
 
-# Names inside a copy-on-write table, <fileId>_<writeToken>_<commit>.parquet.
-TIMELINE_FOLDER = ".hoodie"
-TIMELINE_PATTERN = r"^(\d+)\.(commit|deltacommit)$"
-PENDING_PATTERN = r"^(\d+)\.(?:(?:commit|deltacommit)\.(?:requested|inflight)|inflight)$"
-REPLACED_PATTERN = r"^\d+\.replacecommit"
-BASE_FILE_PATTERN = r"^(.+?)_(.+)_(\d+)\.parquet$"
+# Columns that the format adds to rows.
 COMMIT_TIME = "_hoodie_commit_time"
 IS_DELETED = "_hoodie_is_deleted"
 
@@ -34,6 +27,10 @@ def delta_snapshot(spark: SparkSession, path: str, version: int | None = None) -
     return (reader if version is None else reader.option("versionAsOf", version)).load(path)
 
 
+def current_version(spark: SparkSession, path: str) -> int:
+    return spark.sql(f"DESCRIBE HISTORY delta.`{path}`").agg(F.max("version")).first()[0]
+
+
 def delta_changes(spark: SparkSession, path: str, last_version: int | None, current: int) -> DataFrame | None:
     """Change feed after ``last_version``; None when there is no newer version."""
     if last_version is not None and last_version >= current:
@@ -53,7 +50,7 @@ def cdf_to_events(feed: DataFrame, seq: Column | None = None) -> DataFrame:
     """Change events of a change data feed: pre-images dropped, feed columns removed."""
     kinds = F.create_map(*[F.lit(x) for pair in CDF_OPERATIONS.items() for x in pair])
     events = (
-        feed.filter(F.col("_change_type") != "update_preimage")
+        feed.filter(F.col("_change_type") != PREIMAGE)
         .withColumn(CDC_OP, F.element_at(kinds, F.col("_change_type")))
         .withColumn(CDC_TS, F.col("_commit_timestamp"))
         .withColumn(CDC_SEQ, seq if seq is not None else F.col("_commit_version"))
@@ -61,104 +58,8 @@ def cdf_to_events(feed: DataFrame, seq: Column | None = None) -> DataFrame:
     return drop_prefix(events, "_change_").drop("_commit_version", "_commit_timestamp")
 
 
-def completed_commits(names: DataFrame, name: str = "name", after: str | None = None) -> DataFrame:
-    """Commit times of the timeline; markers of unfinished commits do not match."""
-    commit = F.regexp_extract(name, TIMELINE_PATTERN, 1)
-    commits = names.select(commit.alias("commit_time")).filter(F.col("commit_time") != "").distinct()
-    return commits if after is None else commits.filter(F.col("commit_time") > after)
-
-
-def timeline(spark: SparkSession, table_path: str) -> DataFrame:
-    """File names of the table's timeline folder."""
-    listing = spark.read.format("binaryFile").load(f"{table_path}/{TIMELINE_FOLDER}").select("path")
-    return listing.select(F.substring_index("path", "/", -1).alias("name"))
-
-
 def live_rows(rows: DataFrame) -> DataFrame:
     """Rows that are not soft-deleted."""
     if IS_DELETED not in rows.columns:
         return rows
     return rows.filter(~F.coalesce(F.col(IS_DELETED), F.lit(False)))
-
-
-def latest_files(files: DataFrame, commits: DataFrame) -> DataFrame:
-    """Newest completed slice of every file group, from a listing of base files.
-
-    ``files`` has ``path``; the result adds ``commit_time``. Listings are small beside the
-    data, and superseded files are never opened.
-    """
-    name = F.substring_index("path", "/", -1)
-    parsed = files.select(
-        "path",
-        F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
-        F.regexp_extract(name, BASE_FILE_PATTERN, 1).alias("file_id"),
-        F.regexp_extract(name, BASE_FILE_PATTERN, 3).alias("commit_time"),
-    ).join(commits, "commit_time", "left_semi")
-    newest = Window.partitionBy("folder", "file_id").orderBy(F.col("commit_time").desc())
-    ranked = parsed.withColumn("rank", F.row_number().over(newest))
-    return ranked.filter(F.col("rank") == 1).select("path", "commit_time")
-
-
-def _all_told(files: DataFrame, names: DataFrame) -> None:
-    """Raises where the timeline folder does not tell which files are current: they would be missed."""
-    if names.filter(F.col("name").rlike(REPLACED_PATTERN)).limit(1).count():
-        raise ValueError("replacing commits: read the table with spark.read.format('hudi')")
-    commit = F.regexp_extract(F.substring_index("path", "/", -1), BASE_FILE_PATTERN, 3)
-    pending = names.select(F.regexp_extract("name", PENDING_PATTERN, 1).alias("commit_time"))
-    told = completed_commits(names).unionByName(pending)
-    untold = files.select(commit.alias("commit_time")).filter("commit_time <> ''").join(told, "commit_time", "left_anti").first()
-    if untold is not None:
-        raise ValueError(f"commit {untold[0]} is not in the timeline folder: read the table with spark.read.format('hudi')")
-
-
-def _data_files(spark: SparkSession, table_path: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(table_path)
-        .select("path")
-    )
-
-
-def hudi_snapshot(spark: SparkSession, table_path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Current rows of a small copy-on-write table none of whose commits is archived or replaced.
-
-    No job reads by this: see ``hudi_table``.
-    """
-    found, names = _data_files(spark, table_path), timeline(spark, table_path)
-    _all_told(found, names)
-    files = latest_files(found, completed_commits(names))
-    return _read(spark, [r["path"] for r in files.toLocalIterator()], schema)
-
-
-def hudi_incremental(
-    spark: SparkSession,
-    table_path: str,
-    after: str | None,
-    until: str | None = None,
-    schema: T.StructType | str | None = None,
-) -> DataFrame:
-    """Rows committed in ``(after, until]``, from the files of those commits only; limits as ``hudi_snapshot``."""
-    found, names = _data_files(spark, table_path), timeline(spark, table_path)
-    _all_told(found, names)
-    commits = completed_commits(names, after=after)
-    if until is not None:
-        commits = commits.filter(F.col("commit_time") <= until)
-    files = latest_files(found, commits)
-    paths = [r["path"] for r in files.toLocalIterator()]
-    rows = _read(spark, paths, schema)
-    if not paths:
-        return rows
-    if after is not None:
-        rows = rows.filter(F.col(COMMIT_TIME) > after)
-    return rows if until is None else rows.filter(F.col(COMMIT_TIME) <= until)
-
-
-def _read(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None) -> DataFrame:
-    if not paths:
-        if schema is None:
-            raise ValueError("no committed files and no schema to return an empty frame in")
-        return spark.createDataFrame([], schema)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return live_rows(reader.parquet(*paths))
