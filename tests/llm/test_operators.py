@@ -202,7 +202,8 @@ def test_letters_before_points_are_tokenised_as_the_tokenizer_does():
     with open(WORD_BPE, encoding="utf-8") as f:
         encoder = packing.Encoder(f.read())
     letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LM"]
-    texts = [f"a{c}{e} {c}{e} {c}b{e}" for c in letters for e in ".,"]
+    ends = [".", ",", "!!", "$%", "'s", ".'", "<|", ";)"]
+    texts = [f"a{c}{e} {c}{e} {c}b{e}" for i, c in enumerate(letters) for e in (".", ",", ends[i % 8])]
     texts += ["Bodrum \u0130, x", "AKDEN\u0130Z SEND\u0130KASI SEVG\u0130.", "Tek\u0130. tek\u0130, BURSA\u0130."]
     for at in range(0, len(texts), 4096):
         part = [packing.prepared(t.encode()) for t in texts[at : at + 4096]]

@@ -37,6 +37,8 @@ END = 1
 GROUP_PIECES = 65_536
 MOST_FILE = 64 << 20
 KNOWN = 1_500_000
+# ASCII marks other than the apostrophe.
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
@@ -62,6 +64,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab()
+        # Where the model marks the last token of a word, words encoded in one text can be told apart.
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = Bounded(self.encode, KNOWN)
 
     def encode(self, run: str) -> bytes:
@@ -70,20 +76,47 @@ class Encoder:
     def learn(self, texts: list[str]) -> None:
         """Encode the new runs of a batch together, as far as there is room for them.
 
-        Letters and a point or comma after them are tokenised apart, so such runs follow from their letters, if they
-        are letters still when the tokenizer has normalised them: a mark would stay with the point.
+        Letters and ASCII marks after them are tokenised apart, so such runs follow from their letters and marks, if the
+        letters are letters still when the tokenizer has normalised them: a combining mark would stay with what
+        follows. An apostrophe may begin a contraction, so runs with one are encoded whole.
         """
         new = [run for run in set().union(*(t.split(" ") for t in texts)) if run not in self.known]
-        if len(self.known) + 2 * len(new) > self.known.most:
+        if len(self.known) + 3 * len(new) > self.known.most:
             self.known.clear()
-        ended = {run: run[:-1] for run in new if run[-1:] in (".", ",") and only_letters(run[:-1])}
-        runs = list({x for run in new if (x := ended.get(run, run)) not in self.known} | {".", ","})[: self.known.most // 2]
+        words, others, ended = set(), set(), []
+        for run in new:
+            letters = run if run.isalpha() else run.rstrip(MARKS)
+            if not letters or not only_letters(letters):
+                others.add(run)
+                continue
+            words.add(letters)
+            if letters is not run and len(letters) < len(run):
+                others.add(run[len(letters) :])
+                ended.append((run, letters))
+        self.learn_words([x for x in words if x not in self.known][: self.known.most // 3])
+        self.learn_runs([x for x in others if x not in self.known][: self.known.most // 3])
+        for run, letters in ended:
+            self.known[run] = self.known[letters] + self.known[run[len(letters) :]]
+
+    def learn_words(self, words: list[str], each: int = 500) -> None:
+        """Words of letters only, many in one text; should their ends not tell them apart, one by one."""
+        lines = [words[i : i + each] for i in range(0, len(words), each)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) != len(line) or (len(ends) and ends[-1] != ids.nbytes):
+                self.learn_runs(line)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(line, ends.tolist()):
+                self.known[word] = data[at:end]
+                at = end
+
+    def learn_runs(self, runs: list[str]) -> None:
         for i in range(0, len(runs), 20_000):
             part = runs[i : i + 20_000]
             for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[run] = as_bytes(e.ids)
-        for run, letters in ended.items():
-            self.known[run] = self.known[letters] + self.known[run[-1]]
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, text.split(" ")))
