@@ -21,11 +21,15 @@ from tidewell.plans.tables import Target
 from tidewell.sources.dialects import SOURCE_TYPES, default_cursor, refetched
 from tidewell.sources.readers import LANDED
 from tidewell.sources.table_formats import PREIMAGE, cdf_to_events
+from tidewell.sources.windows import DAY_SETTINGS, SEARCH_SETTINGS, report_days, search, searches
 
 # Load modes; the last two replace the target.
 REPLACING = ("ctas", "full_replace")
 LOAD_MODES = ("incremental", "full", *REPLACING)
 FULL_DONE = "full:done"
+# Watermarks of landed pages are kept beside those of the rows.
+PAGES = "#pages"
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 WRITE_MODES = ("merge", "append")
 
 
@@ -192,7 +196,15 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
     by_file_time = lists_by_time(job, table)
     if settings.get("max_files_per_run") and (job.load_mode != "incremental" or not by_file_time):
         raise ValueError("max_files_per_run needs an incremental load by file time; it would leave files out")
-    rows = source.read(table, newer_than=lo if by_file_time else None)
+    newest = None
+    if job.load_mode == "incremental" and prunes_pages(job, table):
+        newest = source.newest_page(table)
+        before = state.get_offset(job.id, table + PAGES) if lo is not None else None
+        if newest is None:
+            return 0
+        rows = source.read(table, pages=(datetime.fromisoformat(before) if before else EPOCH, newest))
+    else:
+        rows = source.read(table, newer_than=lo if by_file_time else None)
     if rows is None:
         if job.load_mode in REPLACING and target.exists():
             target.replace(target.read().limit(0))
@@ -200,6 +212,8 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
     state.note_schema(job.id, table, rows.drop(LANDED).schema)
     keys = target.keys or tuple(job.tables_config.get(table, {}).get("primary_key", ()))
     keys = keys or tuple(primary_keys(rows.schema)) or source.keys(table)
+    settings = {**job.options, **settings}
+    rows = report_days(job.source_type, table, rows, settings, lo)
     target = target.keyed(keys) if target.hash_partitions else target
     merging = job.write_mode(table) == "merge"
     landed = (LANDED,) if LANDED in rows.columns else ()
@@ -213,24 +227,44 @@ def load_table(job: LoadJob, table: str, source: Source, target: Target, state:
         return metrics.get["rows"]
 
     cursor, cursor_type = job.cursor_for(table, rows)
+    rows = search(rows, cursor, settings, lo) if searches(job.source_type, settings) else rows
     keys = keys if merging else ()
     whole = bool(keys) and refetched(job.source_type, table)
     hi = source.high_watermark(table, cursor, rows, cursor_type)
     lookback = job.tables_config.get(table, {}).get("lookback")
-    if lookback and not keys:
-        raise ValueError("a lookback rereads rows, so the table needs a primary key")
-    if not whole and lo is not None and not advances(lo, hi, cursor_type):
+    again = searches(job.source_type, settings)
+    if (lookback or again) and not keys:
+        raise ValueError("a lookback or a search rereads rows, so the table needs a primary key")
+    if not whole and not again and lo is not None and not advances(lo, hi, cursor_type):
         if not lookback:
+            if newest is not None:
+                state.set_offset(job.id, table + PAGES, newest.isoformat(), "timestamp")
             return 0
         hi = lo
-    selected = rows if whole else incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
+    selected = rows if whole or again else incremental_range(rows, cursor, lo, hi, cursor_type, lookback)
     events, metrics = observed(_events(job, table, selected))
     _write(target, events, keys, state.load_id(job.id, table), order_by=(*landed, cursor) if whole else (cursor, *landed))
     if hi is not None:
         state.set_offset(job.id, table, hi, cursor_type)
+    if newest is not None:
+        state.set_offset(job.id, table + PAGES, newest.isoformat(), "timestamp")
     return metrics.get["rows"]
 
 
+def prunes_pages(job: LoadJob, table: str) -> bool:
+    """Whether a load opens only the pages landed since the last one, that of the last one's time included.
+
+    Not where a part of the rows of old pages may still be to load.
+    """
+    if not job.setting(table, "new_pages_only"):
+        return False
+    settings = {**job.options, **job.connection, **job.tables_config.get(table, {})}
+    partial = [s for s in (*DAY_SETTINGS, *SEARCH_SETTINGS, "customer_id", "where_clause") if settings.get(s)]
+    if partial or table == "audience_counts" or SOURCE_TYPES[job.source_type].kind != "payload":
+        raise ValueError(f"new_pages_only would leave rows out: {', '.join(partial) or table}")
+    return True
+
+
 def _write(target: Target, rows: DataFrame, keys: tuple[str, ...], load_id: str, order_by: tuple[str, ...] = ()) -> None:
     """Merge by key, or append where there is none. All rows of a load carry one time, so of
     two with the same key the one with the later cursor is kept. A load that died before its watermark

@@ -404,14 +404,10 @@ def map_analytics(elements: DataFrame, pivot: str) -> DataFrame:
     return with_primary_key(elements.select(*[c.alias(n) for n, c in columns.items()]), keys)
 
 
-def audience_counts(campaigns: DataFrame, landed: DataFrame, fetched_at: str) -> DataFrame:
-    """Audience size of the campaigns for which a count was landed."""
-    counts = landed.select(urn_id("campaign").alias("campaign_id"), "audience_count")
-    return (
-        campaigns.select(F.col("id").alias("campaign_id"))
-        .join(counts, "campaign_id")
-        .withColumn("fetched_at", F.lit(fetched_at))
-    )
+def audience_counts(campaigns: DataFrame, landed: DataFrame, fetched_at: str | Column, *keep: str) -> DataFrame:
+    """Audience size of the campaigns for which a count was landed; ``keep`` are columns of the counts passed on."""
+    counts = landed.select(urn_id("campaign").alias("campaign_id"), "audience_count", F.lit(fetched_at).alias("fetched_at"), *keep)
+    return campaigns.select(F.col("id").alias("campaign_id")).join(counts, "campaign_id")
 
 
 def manager_gate(metrics: DataFrame, accounts: DataFrame, clients: DataFrame, customer_id: str) -> DataFrame:

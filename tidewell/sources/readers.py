@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.operators.incremental import high_watermark_value
 from tidewell.sources import payloads
-from tidewell.sources.dialects import DIALECTS, SOURCE_TYPES, SourceType
+from tidewell.sources.dialects import DIALECTS, PERFORMANCE_TABLES, SOURCE_TYPES, SourceType
 from tidewell.sources.files import FileOptions, list_files, read_detected, resolve_prefix
 from tidewell.sources.jdbc import KEY_CATALOGS, cursor_bound_query, primary_key_of, read_database
 from tidewell.sources.splits import read_split
@@ -41,9 +43,9 @@ class ConfiguredSource:
     def _table_config(self, table: str) -> Mapping[str, Any]:
         return self.config.get("tables_config", {}).get(table, {})
 
-    def read(self, table: str, newer_than: Any = None) -> DataFrame | None:
+    def read(self, table: str, newer_than: Any = None, pages: tuple[Any, Any] | None = None) -> DataFrame | None:
         """Rows of one table. ``newer_than`` limits file sources to later files; None where
-        there are no files.
+        there are no files. ``pages`` limits landed pages to those from one time to another.
 
         API sources are read from the folder their raw pages were landed in, named by
         ``connection.landing``.
@@ -73,7 +75,13 @@ class ConfiguredSource:
             return delta_snapshot(spark, path)
         if source.kind == "hudi":
             return hudi_table(spark, path)
-        return read_landed(spark, self.config["source_type"], table, path, connection, settings.get("schema"))
+        return read_landed(spark, self.config["source_type"], table, path, connection, settings, pages)
+
+    def newest_page(self, table: str) -> datetime | None:
+        """When the newest landed page of a table was written."""
+        connection = self.config.get("connection", {})
+        files = list_files(self.spark, resolve_prefix(connection.get("path") or connection.get("landing", ""), table))
+        return high_watermark_value(files, "modificationTime")
 
     def changes(self, table: str, last: int | None) -> tuple[DataFrame | None, int | None]:
         """Change feed of the versions after ``last``, and the current version; no frame where there is no newer one.
@@ -113,29 +121,71 @@ class ConfiguredSource:
         return high_watermark_value(top, top.columns[0])
 
 
+def landed_pages(spark: SparkSession, path: str, schema: Any = None, pages: tuple[Any, Any] | None = None) -> DataFrame:
+    """Landed pages, those between two times, both included, where ``pages`` names them: others are not opened."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    found = reader.json(path)
+    if pages is None:
+        return found
+    low, high = (F.lit(t.isoformat(sep=" ")).cast("timestamp") for t in pages)
+    return found.filter(F.col("_metadata.file_modification_time").between(low, high))
+
+
+def reporting_account(spark: SparkSession, rows: DataFrame, connection: Mapping[str, Any]) -> DataFrame:
+    """Rows with a ``customer_id`` that the configured account reports for, a manager for its first enabled client.
+
+    Clients are ordered by level and id.
+    """
+    customer, client = "customer STRUCT<id: STRING, manager: BOOLEAN>", "customerClient STRUCT<id: STRING, manager: BOOLEAN, status: STRING, level: INT>"
+    accounts = spark.read.schema(customer).json(resolve_prefix(connection["landing"], "accounts"))
+    clients = spark.read.schema(client).json(resolve_prefix(connection["landing"], "customer_clients"))
+    accounts = accounts.select(F.col("customer.id").alias("customer_id"), F.coalesce("customer.manager", F.lit(False)).alias("manager"))
+    of = lambda name: F.col(f"customerClient.{name}")
+    position = F.struct(F.coalesce(of("level"), F.lit(0)), of("id").cast("long"))
+    clients = clients.select(of("id").alias("customer_id"), F.coalesce(of("manager"), F.lit(False)).alias("manager"), of("status").alias("status"), position.alias("position"))
+    return payloads.manager_gate(rows, accounts, clients, str(connection["customer_id"]))
+
+
 def read_landed(
     spark: SparkSession,
     source_type: str,
     table: str,
     path: str,
     connection: Mapping[str, Any],
-    schema: str | None = None,
+    settings: Mapping[str, Any] | None = None,
+    pages: tuple[Any, Any] | None = None,
 ) -> DataFrame:
-    """Typed rows of landed API pages. ``schema`` is that of a page, where none is fixed."""
+    """Typed rows of landed API pages. ``schema`` in the settings is that of a page, where none is fixed."""
+    settings = settings or {}
     mapping = PAYLOAD_TABLES.get(source_type, {}).get(table)
     if mapping:
         extra = {"account_id": connection["account_id"]} if source_type == "linkedin_ads" else {}
-        raw = spark.read.schema(payloads.raw_schema(mapping)).json(path)
-        return payloads.map_payload(raw, mapping, keep=[F.col("_metadata.file_modification_time").alias(LANDED)], **extra)
+        schema, keep = payloads.raw_schema(mapping), [F.col("_metadata.file_modification_time").alias(LANDED)]
+        gated = source_type == "google_ads" and table in PERFORMANCE_TABLES and connection.get("customer_id") is not None
+        if gated:
+            schema = T.StructType([*schema.fields, T.StructField("customer", T.StructType([T.StructField("id", T.StringType())]))])
+            keep.append(F.col("customer.id").alias("customer_id"))
+        rows = payloads.map_payload(landed_pages(spark, path, schema, pages), mapping, keep=keep, **extra)
+        return reporting_account(spark, rows, connection).drop("customer_id") if gated else rows
+    if source_type == "linkedin_ads" and table == "audience_counts":
+        # Counts of the campaigns that were landed too; the time of a count is that of its page.
+        campaigns = read_landed(spark, source_type, "campaigns", resolve_prefix(connection["landing"], "campaigns"), connection)
+        counts = landed_pages(spark, path, "campaign STRING, audience_count BIGINT")
+        counts = counts.select("*", F.col("_metadata.file_modification_time").alias(LANDED))
+        return payloads.audience_counts(campaigns.select("id").distinct(), counts, F.col(LANDED), LANDED)
     if source_type == "zendesk":
-        pages = spark.read.schema(payloads.zendesk_page_schema(table)).json(path)
-        return payloads.zendesk_rows(pages, table)
-    pages = (spark.read.schema(schema) if schema else spark.read).json(path)
+        found = landed_pages(spark, path, payloads.zendesk_page_schema(table), pages)
+        return payloads.zendesk_rows(found, table)
+    found = landed_pages(spark, path, settings.get("schema"), pages)
     if source_type == "hubspot":
-        return payloads.hubspot_owners(pages) if table == "owners" else payloads.hubspot_objects(pages)
+        return payloads.hubspot_owners(found) if table == "owners" else payloads.hubspot_objects(found)
     if source_type == "salesforce":
-        return payloads.salesforce_records(payloads.unnest_pages(pages, "records"))
+        records = payloads.salesforce_records(payloads.unnest_pages(found, "records"), settings.get("binary_fields", ()))
+        fields = settings.get("fields") or records.columns
+        # The cursor is always among the fields, or the next load would not know where to go on.
+        cursor = [c for c in (SOURCE_TYPES[source_type].default_cursor,) if c in records.columns and c not in fields]
+        return payloads.salesforce_scan(records, [*fields, *cursor], settings.get("where_clause"))
     if source_type == "linkedin_ads" and table in ("ad_analytics", "ad_analytics_creative"):
-        elements = payloads.unnest_pages(pages, "elements")
+        elements = payloads.unnest_pages(found, "elements")
         return payloads.map_analytics(elements, "CREATIVE" if table.endswith("creative") else "CAMPAIGN")
-    return pages
+    return found
