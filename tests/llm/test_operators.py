@@ -52,6 +52,8 @@ def test_words_are_kept_whole_in_the_ledger(docs, empty):
     assert by[11].n_repeat_words == 15 and not by[6].n_repeat_words and by[12].word_chars == len("ÄÖüberßtraßeJ̌é\U0001f600ok")
     assert rules.rule_ledger(empty).count() == 0 and rules.keep_good(empty).columns == empty.columns
     assert {r.text for r in rules.keep_good(docs).collect()} == {r.text for r in got if not r.failed_bits & rules.mask(rules.POLICIES["v1"])}
+    clashing = rules.keep_good(docs.withColumns({"__m": F.lit(7), "n_words": F.lit("x"), "__row": F.lit(8)}))
+    assert {(r["__m"], r["n_words"], r["__row"]) for r in clashing.collect()} == {(7, "x", 8)} and clashing.count() == rules.keep_good(docs).count()
 
 
 def test_ablation_counts_what_a_rule_does_alone(docs):

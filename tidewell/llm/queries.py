@@ -139,6 +139,22 @@ def op4_quality_rules(spark, sf_dir):
     )
 
 
+@query(
+    f"""
+WITH ledger AS ({ORACLES["op4_quality_rules"]}),
+rules(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << i})" for i, r in enumerate(rules.POLICIES["v1"]))})
+SELECT rule, CAST(bit AS BIGINT) AS bit, CAST(count(*) FILTER (failed_bits & bit <> 0) AS BIGINT) AS n_failed,
+  CAST(count(*) FILTER (failed_bits = bit) AS BIGINT) AS n_only,
+  CAST(count(*) FILTER (failed_bits & (63 - bit) = 0) AS BIGINT) AS n_kept_without
+FROM ledger CROSS JOIN rules GROUP BY rule, bit
+"""
+)
+def rule_ablation(spark, sf_dir):
+    """What each rule of the first full policy fails, alone rejects, and leaves when it is taken out, over all documents."""
+    return rules.ablation(rules.rule_ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+
 @query()
 def op5_sharding(spark, sf_dir):
     """All documents in sixteen shards of row counts at most one apart."""

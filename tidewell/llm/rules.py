@@ -127,7 +127,7 @@ def ablation(ledger: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows that a policy keeps, with the columns of the input only."""
-    measured = struct_udf(lambda: measure, MEASURES)(F.col("text"))
-    inner = docs.withColumn("__m", measured)
-    flat = inner.select(F.struct(*docs.columns).alias("__row"), "__m.*").where(failed_bits().bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
+    # The input is put away first, so that none of its names can clash.
+    inner = docs.select(F.struct(*docs.columns).alias("__row"), struct_udf(lambda: measure, MEASURES)(F.col("text")).alias("__m"))
+    flat = inner.select("__row", "__m.*").where(failed_bits().bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
     return flat.select("__row.*")
