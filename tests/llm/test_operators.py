@@ -5,9 +5,11 @@ import math
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -103,6 +105,41 @@ def test_shards_hold_every_row_once(docs, empty, real):
     assert sharding.external_shuffle(empty).count() == 0
 
 
+def test_shards_read_back_as_written(spark, docs, empty, real, tmp_path):
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    same = spark.createDataFrame([(7, "one text")] * 300, "doc_id long, text string")
+    for i, frame in enumerate((docs, real, same)):
+        path = str(tmp_path / f"shards{i}")
+        sharding.write_shards(frame, path, bucket_bytes=4096)
+        total = 0
+        for shard in range(16):
+            slots = []
+            for file in sorted(Path(path, f"shard={shard}").glob("*.parquet")):
+                own = pq.ParquetFile(file).read().column("slot").to_pylist()
+                assert own == sorted(own)
+                slots += own
+            assert sorted(slots) == list(range(len(slots)))
+            total += len(slots)
+        assert total == frame.count()
+        asked = sharding.sharded(frame, bucket_bytes=4096).collect()
+        placed = sharding.external_shuffle(frame, bucket_bytes=4096).collect()
+        assert Counter((key(r), r.shard, r.slot) for r in asked) == Counter((key(r), r.shard, r.slot) for r in placed)
+    assert sharding.sharded(empty).count() == 0
+
+
+def test_shuffle_is_uniform_and_moves_rows_within_buckets(spark):
+    """Places of 8,000 rows against their ids, in 16 by 16 fields: chi-square of 225 degrees of freedom."""
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x" * 40).alias("text"))
+    got = sharding.external_shuffle(rows, bucket_bytes=1 << 14).collect()
+    fields = Counter((r.shard, r.doc_id // 500) for r in got)
+    assert len(got) == 8000 and sum((fields[a, b] - 31.25) ** 2 / 31.25 for a in range(16) for b in range(16)) < 330
+    # One bucket: the sorted order before the second pass is gone after it.
+    one = sharding.external_shuffle(rows.limit(512), shards=1, bucket_bytes=1 << 30)
+    order = [r.o for r in one.select(F.xxhash64(F.lit(~sharding.SEED), "doc_id", "text").alias("o"), "slot").orderBy("slot").collect()]
+    rises = sum(a < b for a, b in zip(order, order[1:]))
+    assert 200 < rises < 312
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
@@ -237,13 +274,20 @@ def brute_count(token, scores):
 
 def test_shared_prefixes_give_the_counts_of_each_word(docs, empty, real):
     scores = token_counts.vocabulary(PIECES)
-    for frame in (docs, real.limit(40)):
+    for frame, share in ((docs, 1), (docs, token_counts.SHARE), (real.limit(40), 200)):
         rows = frame.collect()
-        got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(frame, PIECES).collect())
+        got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(frame, PIECES, share).collect())
         assert got == Counter((r.doc_id, len(w), sum(brute_count("▁" + x.decode(), scores) for x in w)) for r in rows for w in [(r.text or "").encode().split()])
     assert token_counts.token_counts(empty, PIECES).count() == 0
 
 
+def test_long_words_with_one_start_part():
+    links = [b"http://a.example/%030d" % (i * 7919) for i in range(2000)]
+    assert len({token_counts.start_hash(x) for x in links}) == 1
+    assert len({token_counts.start_hash(b"http://a.example/%d/page-of-many" % (i * 7919)) for i in range(2000)}) > 100
+    assert token_counts.start_hash(b"internal") == token_counts.start_hash(b"internet")
+
+
 def brute_tree_scores(rows, depth, word_share, run_share):
     """Scores by the definition of the states, with dictionaries."""
     texts = [(i, [*(x or "").encode().lower().split(), b""]) for i, x in rows]

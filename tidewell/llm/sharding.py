@@ -2,7 +2,7 @@
 
 First pass: a seeded hash scatters records into buckets, as many as memory-sized buckets need.
 Second pass: each bucket, held by one task, is put in a defined order and shuffled by Fisher-Yates
-(Spark's ``shuffle``). Buckets follow one another, and the whole sequence is cut into shards of equal
+(Spark's ``shuffle``), and written. Buckets follow one another, and the whole sequence is cut into shards of equal
 row counts (at most one apart), so a bucket is written straight to its shard and no record moves twice.
 
 Bucket counts come from a pass of their own; the offsets they give are summed in two levels, so no task
@@ -21,9 +21,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.components import stored
 from tidewell.llm.text import without
+from tidewell.session import fresh_dir
 
 SHARDS = 16
 SEED = 1_000_003
@@ -66,6 +68,16 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     return placed.select("__row.*", "shard", (F.col("__place") - first).alias("slot"))
 
 
-def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder a shard; the files of a shard hold its records in order of their slots."""
-    shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """One folder a shard: the task that holds a bucket writes it, in order of its slots, and nothing is dealt out again."""
+    placed = external_shuffle(docs, shards, seed, bucket_bytes)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The shards written below the shared folder, and read from there."""
+    spark = docs.sparkSession
+    path = fresh_dir(spark, "shards")
+    write_shards(docs, path, shards, seed, bucket_bytes)
+    kinds = T.StructType([*without(docs, ["shard", "slot"]).schema, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(kinds).parquet(path)
