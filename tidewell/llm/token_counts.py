@@ -199,4 +199,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str, share: int = SHARE) -> D
         shares = math.ceil((blocks.agg(F.sum("n_words")).first()[0] or 1) / share)
         chunks = blocks.mapInArrow(to_shares(shares), CHUNKS)
         ends = stored(chunks.groupBy("share").applyInArrow(ends_of(held), ENDS), "token-ends")
+    blocks = blocks.select("block", "doc_ids", "sizes", "tokens", "n_words")
     return blocks.groupBy("block").cogroup(ends.groupBy("block")).applyInArrow(sums, RESULT)
