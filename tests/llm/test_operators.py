@@ -211,6 +211,24 @@ def test_containment_finds_every_item(spark, docs, empty):
     assert decontaminate.contained(empty, items).count() == 0 and decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(AWKWARD)
 
 
+def test_items_go_through_in_blocks_of_bounded_size(spark, docs, monkeypatch):
+    rows = [(i, " ".join(f"q{i * 31 % 997}x{j}" for j in range(60))) for i in range(900)]
+    items = spark.createDataFrame([*rows, (5000, LONG), (5001, None)], "item_id long, text string")
+    texts = [(i, f"before {rows[i][1]} between {rows[(i + 450) % 900][1].upper()}") for i in range(0, 900, 60)]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame([*texts, texts[0]], "doc_id long, text string"))
+    held, items_of = [], decontaminate.items_of
+    monkeypatch.setattr(decontaminate, "items_of", lambda rows, block: held.append(items_of(rows, block)) or held[-1])
+    count = lambda df: Counter((r.doc_id, r.text, tuple(sorted(map(tuple, r.matches)))) for r in df.collect())
+    whole = count(decontaminate.contained(frame, items))
+    assert len(held) == 1 and sum(n for r, n in whole.items() if len(r[2]) == 2) == len(texts) + 1
+    held.clear()
+    assert count(decontaminate.contained(frame, items, block_bytes=1 << 16)) == whole
+    sizes = [sum(len(x) for _, x in block) for block in held]
+    assert len(held) >= 5 and sum(map(len, held)) == 902 and max(sizes) < 2 * (1 << 16)
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and kept.count() == len(AWKWARD) - 2
+
+
 def test_sketches_lose_no_match():
     for n in range(1, 200):
         assert decontaminate.sketch_size(n) >= min(n, n - decontaminate.needed(n) + 1)

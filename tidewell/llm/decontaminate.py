@@ -9,8 +9,10 @@ shingle of its sketch: no match is lost. Documents are looked up by the hashes o
 shingles, and every hit is verified by the exact shingles.
 
 Items are the query set and go through the documents in blocks of bounded size
-(``BLOCK_BYTES`` of item text, by hash), so what is broadcast is bounded, and documents are not
-shuffled.
+(``BLOCK_BYTES`` of item text, by hash). The driver and the tasks hold one block at a time: it is collected, sent,
+searched for in all documents, its hits written below the shared folder under the digest of the text that has them,
+and released before the next. The hits of all blocks are then joined to the documents by that digest. If all items fit one
+block, the documents are searched for it where they are read, without the table of hits.
 
 Defined results: shingles are of five lower-cased words; an item of one to four words is one
 shingle of all its words; an item or document without words matches nothing; null texts are empty;
@@ -22,13 +24,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.components import stored
 from tidewell.llm.text import Bounded, lower_words, value_udf, without
 
 SHINGLE = 5
@@ -120,23 +124,42 @@ class Searcher:
         return out
 
 
-def item_blocks(spark: SparkSession, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int | None, bytes]]]:
-    """The distinct items in blocks of about ``block_bytes``."""
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """The distinct items with the ``block`` of each, and the number of blocks, each of about ``block_bytes``."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text.encode()) for r in rows.where(block == b).collect()] for b in range(n)]
+    return rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
+
+
+def items_of(rows: DataFrame, block: int) -> list[tuple[int | None, bytes]]:
+    """The items of one block, on the driver."""
+    return [(r.item_id, r.text.encode()) for r in rows.where(F.col("block") == block).collect()]
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with ``matches``: the items that each contains, with sizes and shared shingles."""
-    spark = docs.sparkSession
-    found = []
-    for block in item_blocks(spark, items, block_bytes):
-        held = spark.sparkContext.broadcast(block)
-        found.append(value_udf(searcher(held, threshold, size), MATCHES)(F.col("text")))
-    return without(docs, ["matches"]).withColumn("matches", F.concat(*found))
+    context = docs.sparkSession.sparkContext
+    docs = without(docs, ["matches"])
+    rows, blocks = item_blocks(items, block_bytes)
+    if blocks == 1:
+        held = context.broadcast(items_of(rows, 0))
+        return docs.withColumn("matches", value_udf(searcher(held, threshold, size), MATCHES)(F.col("text")))
+    rows = stored(rows, "items")
+    hits = []
+    for block in range(blocks):
+        held = context.broadcast(items_of(rows, block))
+        found = docs.select(text_key().alias("__key"), value_udf(searcher(held, threshold, size), MATCHES)(F.col("text")).alias("__found"))
+        hits.append(stored(found.where(F.size("__found") > 0).dropDuplicates(["__key"]), "hits"))
+        held.destroy()
+    hits = reduce(DataFrame.unionByName, hits).groupBy("__key").agg(F.flatten(F.collect_list("__found")).alias("__found"))
+    none = F.array().cast(MATCHES)
+    own = docs.select(text_key().alias("__own"), F.struct(*docs.columns).alias("__row"))
+    return own.join(hits, F.col("__own") == F.col("__key"), "left").select("__row.*", F.coalesce("__found", none).alias("matches"))
+
+
+def text_key() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def searcher(held, threshold: float, size: int) -> Callable[[], Searcher]:
