@@ -32,9 +32,8 @@ def test_all_source_types_are_known():
         (D.SQLSERVER_TYPES, "real", "float"), (D.SQLSERVER_TYPES, "float", "double"), (D.SQLSERVER_TYPES, "bit", "boolean"),
         (D.SQLSERVER_TYPES, "uniqueidentifier", "varchar"), (D.BSON_TYPES, "objectId", "varchar"),
         (D.CLICKHOUSE_TYPES, "UInt32", "bigint"), (D.CLICKHOUSE_TYPES, "Int32", "integer"), (D.SPANNER_TYPES, "INT64", "bigint"),
-        (D.PINOT_TYPES, "LONG", "bigint"), (D.CQL_TYPES, "time", "bigint"), (D.DELTA_TYPES, "timestamp_ntz", "timestamp"),
-        (D.PARQUET_FOOTER_TYPES, "large_utf8", "varchar"), (D.SALESFORCE_TYPES, "percent", "double"),
-        (D.HUBSPOT_TYPES, "enumeration", "varchar"),
+        (D.PINOT_TYPES, "LONG", "bigint"), (D.CQL_TYPES, "time", "bigint"), (D.ORACLE_TYPES, "binary_double", "double"),
+        (D.SNOWFLAKE_TYPES, "timestamp_ltz", "timestamp"), (D.DATABRICKS_TYPES, "struct", "json"),
     ],
 )
 def test_type_tables(spark, table, native, expected):
@@ -44,17 +43,14 @@ def test_type_tables(spark, table, native, expected):
     assert canonical_type(expected)
 
 
-@pytest.mark.parametrize("name,base", [("list<text>", "list"), ("frozen<map<a,b>>", "frozen"), ("INT", "int")])
-def test_cql_base(name, base):
-    assert D.cql_base_type(name) == base
-
-
-@pytest.mark.parametrize(
-    "name,base",
-    [("Nullable(Int32)", "Int32"), ("LowCardinality(String)", "String"), ("Nullable(Decimal(9, 2))", "Decimal"), ("DateTime64(3)", "DateTime64")],
-)
-def test_clickhouse_base(name, base):
-    assert D.clickhouse_base_type(name) == base
+def test_bare_types(spark):
+    want = {
+        "list<text>": "list", "frozen<map<a,b>>": "frozen", "INT": "INT", "Nullable(Int32)": "Int32",
+        "LowCardinality(Nullable(String))": "String", "Nullable(Decimal(9, 2))": "Decimal", "DateTime64(3)": "DateTime64",
+        "TIMESTAMP(6) WITH TIME ZONE": "TIMESTAMP", "LONG RAW": "LONG RAW", " STRING(MAX) ": "STRING", "": "",
+    }
+    rows = spark.createDataFrame([(x,) for x in [*want, None]], "n string")
+    assert {r[0]: r[1] for r in rows.select("n", D.bare_type(F.col("n"))).collect()} == {**want, None: None}
 
 
 CONNECTION = {"host": "db", "database": "shop", "user": "u", "password": "p"}
@@ -164,6 +160,43 @@ def test_catalog(spark, monkeypatch):
     assert out == {"id": ("bigint", True), "at": ("timestamp", False), "x": ("varchar", False)}
 
 
+@pytest.mark.parametrize(
+    "source,types,expected,keyed",
+    [
+        ("oracle", ("NUMBER", "TIMESTAMP(6)", "SDO_GEOMETRY"), ("numeric", "timestamp", "varchar"), True),
+        ("snowflake", ("NUMBER", "TIMESTAMP_NTZ", "GEOGRAPHY"), ("numeric", "timestamp", "varchar"), False),
+        ("databricks", ("decimal(10,2)", "array<int>", "void"), ("numeric", "json", "varchar"), True),
+        ("clickhouse", ("Nullable(Int32)", "DateTime64(3)", "Ring"), ("integer", "timestamp", "varchar"), False),
+    ],
+)
+def test_catalogs_of_dialects(spark, monkeypatch, source, types, expected, keyed):
+    rows = [("S", "T", name, i, kind) for i, (name, kind) in enumerate(zip(("ID", "AT", "X"), types))]
+    columns = spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string")
+    keys = spark.createDataFrame([("S", "T", "ID")], "table_schema string, table_name string, column_name string")
+    asked = {}
+    monkeypatch.setattr(J, "read_database", lambda s, src, c, table, config: asked.update({table: config["query"]}) or (columns if table == "columns" else keys))
+    out = {r["column_name"]: (r["data_type"], r["primary_key"]) for r in J.read_catalog(spark, source, {}).collect()}
+    assert out == {"ID": (expected[0], keyed), "AT": (expected[1], False), "X": (expected[2], False)}
+    assert ("keys" in asked) == keyed and ("all_tab_columns" in asked["columns"]) == (source == "oracle")
+
+
+def test_keys_and_names_of_dialects(spark, monkeypatch):
+    assert J.table_reference(D.DIALECTS["oracle"], "hr.t") == '"HR"."T"'
+    oracle = J.reader_options("oracle", {"host": "h", "service_name": "x"}, "t")
+    assert oracle["url"] == "jdbc:oracle:thin:@//h:1521/x" and oracle["dbtable"] == '"T"'
+    bricks = J.reader_options("databricks", {"host": "h", "http_path": "/x", "token": "k", "catalog": "c", "schema": "s"}, "t")
+    assert bricks["url"] == "jdbc:databricks://h:443;httpPath=/x;AuthMech=3;ConnCatalog=c;ConnSchema=s"
+    assert (bricks["user"], bricks["password"], bricks["dbtable"]) == ("token", "k", "`s`.`t`")
+    snow = J.reader_options("snowflake", {"account": "a", "warehouse": "w", "database": "d", "role": "r"}, "T")
+    assert snow["url"].endswith("&warehouse=w&role=r")
+    keys = spark.createDataFrame([("HR", "T", "ID"), ("default", "t", "k")], "table_schema string, table_name string, column_name string")
+    monkeypatch.setattr(J, "read_database", lambda *a, **k: keys)
+    assert J.primary_key_of(spark, "oracle", {"user": "hr"}, "t") == ("ID",) == J.primary_key_of(spark, "oracle", {}, "hr.t")
+    assert J.primary_key_of(spark, "databricks", {}, "t") == ("k",)
+    assert ConfiguredSource(spark, {"source_type": "oracle", "connection": {"user": "hr"}}).keys("t") == ("ID",)
+    assert ConfiguredSource(spark, {"source_type": "snowflake", "connection": {}}).keys("t") == ()
+
+
 def test_given_schema_spares_inference(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.jsonl").write_text('{"id": 1, "other": 2}\n')

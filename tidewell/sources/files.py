@@ -5,8 +5,9 @@ Listings are DataFrames over file metadata; file contents are never part of them
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
@@ -52,12 +53,12 @@ def detect_format(path: Column | str, blob: bool = False) -> Column:
 
 def resolve_prefix(base: str, table: str) -> str:
     """Folder of a table: below the base, or the base itself for ``*`` or no name."""
-    base = base.rstrip("/")
-    return f"{base}/{table.strip('/')}" if table and table != "*" else base
+    below = "" if table == "*" else (table or "").strip("/")
+    return posixpath.join(base, below).rstrip("/")
 
 
-def _flag(config: Mapping[str, Any], key: str, default: bool) -> bool:
-    return str(config.get(key, default)).lower() == "true"
+# Settings that a connection may give for all of its tables.
+SHARED_SETTINGS = ("file_format", "csv_delimiter", "csv_has_header")
 
 
 @dataclass(frozen=True)
@@ -81,19 +82,14 @@ class FileOptions:
 
     @staticmethod
     def from_config(connection: Mapping[str, Any], table: Mapping[str, Any]) -> FileOptions:
-        defaults = {k: connection[k] for k in ("file_format", "csv_delimiter", "csv_has_header") if k in connection}
-        merged = {**defaults, **table}
-        cap = merged.get("max_files_per_run")
-        return FileOptions(
-            file_format=merged.get("file_format"),
-            csv_delimiter=merged.get("csv_delimiter", ","),
-            csv_has_header=_flag(merged, "csv_has_header", True),
-            csv_multiline=_flag(merged, "csv_multiline", True),
-            csv_empty_text=_flag(merged, "csv_empty_text", False),
-            json_document=_flag(merged, "json_document", False),
-            schema=merged.get("schema"),
-            max_files=int(cap) if cap else None,
-        )
+        values = {}
+        for option in fields(FileOptions):
+            places = (table, connection) if option.name in SHARED_SETTINGS else (table,)
+            given = [x[option.name] for x in places if x.get(option.name) is not None]
+            if given and option.name not in ("max_files", "extra"):
+                values[option.name] = str(given[0]).lower() == "true" if option.type == "bool" else given[0]
+        cap = table.get("max_files_per_run")
+        return FileOptions(**values, max_files=int(cap) if cap else None)
 
 
 def read_files(

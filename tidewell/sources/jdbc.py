@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewell.model import default_schema
 from tidewell.operators.schema import lookup_type, primary_key_columns
-from tidewell.sources.dialects import DIALECTS, Dialect
+from tidewell.sources.dialects import DIALECTS, Dialect, bare_type
 
 
 def table_reference(dialect: Dialect, table: str, default: str | None = None) -> str:
@@ -51,6 +51,8 @@ def reader_options(
         "driver": dialect.driver,
         "fetchsize": str(config.get("fetch_size", dialect.fetch_size)),
     }
+    if connection.get("token"):
+        options.update(user="token", password=str(connection["token"]))
     options.update({k: str(connection[k]) for k in ("user", "password") if k in connection})
     if config.get("query") and not partition:
         options["query"] = config["query"]
@@ -109,30 +111,59 @@ KEY_COLUMNS_QUERY = (
     "AND c.table_name = k.table_name WHERE c.constraint_type = 'PRIMARY KEY'"
 )
 
+ORACLE_COLUMNS_QUERY = (
+    'SELECT owner AS "table_schema", table_name AS "table_name", column_name AS "column_name", '
+    'column_id AS "ordinal_position", data_type AS "data_type" FROM all_tab_columns'
+)
+ORACLE_KEY_COLUMNS_QUERY = (
+    'SELECT k.owner AS "table_schema", k.table_name AS "table_name", k.column_name AS "column_name" '
+    "FROM all_constraints c JOIN all_cons_columns k "
+    "ON c.owner = k.owner AND c.constraint_name = k.constraint_name WHERE c.constraint_type = 'P'"
+)
+SNOWFLAKE_COLUMNS_QUERY = (
+    'SELECT table_schema AS "table_schema", table_name AS "table_name", column_name AS "column_name", '
+    'ordinal_position AS "ordinal_position", data_type AS "data_type" FROM information_schema.columns'
+)
+COLUMN_CATALOGS = {
+    "postgres": POSTGRES_COLUMNS_QUERY,
+    "oracle": ORACLE_COLUMNS_QUERY,
+    "snowflake": SNOWFLAKE_COLUMNS_QUERY,
+}
+# Key columns of the dialects whose catalog can be asked for them by a query. That of Snowflake cannot: its keys are
+# told by a command alone, and a job over it needs them in its configuration.
+KEY_CATALOGS = {
+    "postgres": KEY_COLUMNS_QUERY,
+    "mysql": KEY_COLUMNS_QUERY,
+    "sqlserver": KEY_COLUMNS_QUERY,
+    "databricks": KEY_COLUMNS_QUERY,
+    "oracle": ORACLE_KEY_COLUMNS_QUERY,
+}
+# Dialects whose type names are told apart by case, or are numbers.
+EXACT_TYPES = ("postgres", "clickhouse", "spanner")
+
 
 def read_catalog(spark: SparkSession, source: str, connection: Mapping[str, Any]) -> DataFrame:
-    """Columns of all tables with their normalised type and their part in the primary key."""
+    """Columns of all tables with their normalised type and their part in the primary key, if the catalog tells it."""
     dialect = DIALECTS[source]
-    query = POSTGRES_COLUMNS_QUERY if source == "postgres" else COLUMNS_QUERY
+    query = COLUMN_CATALOGS.get(source, COLUMNS_QUERY)
     columns = read_database(spark, source, connection, "columns", config={"query": query})
-    keys = read_database(spark, source, connection, "keys", config={"query": KEY_COLUMNS_QUERY})
-    native = F.col("data_type") if source in ("postgres", "clickhouse", "spanner") else F.lower("data_type")
+    native = bare_type(F.col("data_type"))
+    native = native if source in EXACT_TYPES else F.lower(native)
     typed = columns.withColumn("data_type", lookup_type(dict(dialect.type_map), native))
-    return primary_key_columns(typed, keys)
-
-
-# Dialects whose catalog answers ``KEY_COLUMNS_QUERY``.
-KEY_CATALOGS = ("postgres", "mysql", "sqlserver")
+    if source not in KEY_CATALOGS:
+        return typed.withColumn("primary_key", F.lit(False))
+    return primary_key_columns(typed, read_database(spark, source, connection, "keys", config={"query": KEY_CATALOGS[source]}))
 
 
 def primary_key_of(spark: SparkSession, source: str, connection: Mapping[str, Any], table: str) -> tuple[str, ...]:
     """Key columns of one table by the catalog; none where it has no key or the catalog no such table.
 
     The filters are pushed to the database. An undotted table of a dialect without a default schema lies
-    in the connection's database.
+    in the connection's database, or in the schema of its user where names are upper-case.
     """
     dialect = DIALECTS[source]
-    schema, name = default_schema(table, connection.get("schema") or dialect.default_schema or connection.get("database", ""))
-    found = read_database(spark, source, connection, "keys", config={"query": KEY_COLUMNS_QUERY})
-    found = found.filter((F.col("table_schema") == schema) & (F.col("table_name") == name))
+    own = connection.get("user" if dialect.upper_names else "database", "")
+    schema, name = default_schema(table, connection.get("schema") or dialect.default_schema or own)
+    found = read_database(spark, source, connection, "keys", config={"query": KEY_CATALOGS[source]})
+    found = found.filter((F.col("table_schema") == dialect.folded(schema)) & (F.col("table_name") == dialect.folded(name)))
     return tuple(sorted(r["column_name"] for r in found.collect()))
