@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewell.llm import chat, decontaminate, packing, rules, sharding, simhash, suffix_tree, token_counts, toxicity, weak_labels
+from tidewell.session import work_dir
 
 SCHEMA = "doc_id long, text string, shard string, `N_WORDS` int, fp int"
 LONG = " ".join(f"w{i % 700}" for i in range(9000))
@@ -373,6 +374,29 @@ def test_a_rare_run_is_kept_in_a_large_corpus(spark):
     assert all(by[i].score > by[i].base_score + 10 for i, _ in rare)
 
 
+def test_suffix_tree_of_many_blocks(spark, real, monkeypatch):
+    """Small blocks and few ranges: most runs are in several blocks, and one word is half of some texts."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", 3000)
+    monkeypatch.setattr(suffix_tree, "RANGES", 5)
+    hot = [(10_000 + i, " ".join(f"the w{i * j % 13}" for j in range(40))) for i in range(60)]
+    rows = [(r.doc_id, r.text) for r in real.limit(60).collect()] + hot
+    want, states = brute_tree_scores(rows, 3, 0.0, 0.0)
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    key = lambda r: (r[0], r[1], r[2])
+    for g, w in zip(sorted(((r.doc_id, r.n_tokens, r.base_score, r.score) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9)
+    assert {len(c) for c in states} == {1, 2, 3}
+
+
+def test_suffix_tree_stores_less_than_its_input(spark):
+    """What it writes down, blocks and answers, against the documents it reads; no row of a run with its parts."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    on_disk = lambda: sum(x.stat().st_size for x in Path(work_dir(spark).removeprefix("file:")).rglob("*part-*"))
+    before, scored = on_disk(), suffix_tree.score(spark.read.parquet(str(path)))
+    after = on_disk()
+    assert scored.count() == 1000 and 0 < after - before < 2 * path.stat().st_size
+
+
 def test_toxicity_learns_without_the_held_out_labels(spark, docs, empty):
     clean = ["the sun and the sea", "a quiet house on the hill", "rain fell on green fields", "bread and soup again"]
     rows = [(i, f"{clean[i // 7 % 4]} {i} " + (" vile slurfoo" if i % 6 == 0 else "")) for i in range(900)]

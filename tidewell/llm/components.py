@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import fresh_dir
+from tidewell.session import fresh_dir, work_dir
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -18,6 +18,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by a key and written to the checkpoint folder: lineage ends there, and groups by the key need no shuffle."""
+    spark = df.sparkSession
+    work_dir(spark)
+    # An adaptive plan does not tell how its rows lie; there is nothing to adapt in this one.
+    with set_for(spark, "spark.sql.adaptive.enabled", "false"):
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).checkpoint()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
     """Arrow batches of at most about ``size`` for the jobs that run inside."""
